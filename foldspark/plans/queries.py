@@ -111,3 +111,98 @@ def nested_holdout(spark, sf_dir):
     f = D.expand_folds(D.stratified_kfold(churn_clean(spark, sf_dir).select("row_id", "label"), k=5), 5)
     train = f.filter(F.col("role") == "train").select("fold_id", "row_id", "label")
     return D.nested_holdout(train, fold="fold_id")
+
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column (the oracle rounds the same way; summation order differs)."""
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+# ---------------------------------------------------------------- H
+from foldspark.operators import metrics as H  # noqa: E402
+from foldspark.operators import roc as R  # noqa: E402
+from foldspark.operators import thresholds as T  # noqa: E402
+
+MF = ["model", "fold"]
+
+
+@register("confusion")
+def confusion(spark, sf_dir):
+    return H.confusion(X.scored_orders(spark, sf_dir), MF)
+
+
+@register("metrics_by_model_fold")
+def metrics_by_model_fold(spark, sf_dir):
+    return round_doubles(H.metrics(X.scored_orders(spark, sf_dir), MF))
+
+
+@register("roc_auc")
+def roc_auc(spark, sf_dir):
+    return round_doubles(R.roc_auc(X.scored_orders(spark, sf_dir), MF))
+
+
+@register("roc_points")
+def roc_points(spark, sf_dir):
+    return round_doubles(R.roc_points(X.scored_orders(spark, sf_dir), ["model"]))
+
+
+@register("threshold_sweep")
+def threshold_sweep(spark, sf_dir):
+    return round_doubles(T.threshold_sweep(X.scored_orders(spark, sf_dir), MF))
+
+
+@register("best_threshold")
+def best_threshold(spark, sf_dir):
+    sw = T.threshold_sweep(X.scored_orders(spark, sf_dir), MF, with_auc=False)
+    parts = [T.best_threshold(sw, m, MF).withColumn("objective", F.lit(m))
+             for m in ("f1", "balanced_accuracy", "mcc", "recall")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return round_doubles(out)
+
+
+@register("default_vs_tuned")
+def default_vs_tuned(spark, sf_dir):
+    """Tune on folds 1-4 (out-of-fold), report on fold 0 at 0.50 and at the tuned threshold."""
+    pred = X.scored_orders(spark, sf_dir)
+    sw = T.threshold_sweep(pred.filter(F.col("fold") != 0), ["model"], with_auc=False)
+    tuned = T.best_threshold(sw, "f1", ["model"]).select("model", "threshold")
+    return round_doubles(T.default_vs_tuned(pred.filter(F.col("fold") == 0), ["model"], tuned))
+
+
+@register("label_tie_rule")
+def label_tie_rule(spark, sf_dir):
+    pred = X.scored_orders(spark, sf_dir)
+    gt = H.confusion(pred, ["model"], 0.5, strict=True).withColumn("rule", F.lit("gt"))
+    ge = H.confusion(pred, ["model"], 0.5, strict=False).withColumn("rule", F.lit("ge"))
+    return gt.unionByName(ge)
+
+
+@register("fold_scores_long")
+def fold_scores_long(spark, sf_dir):
+    m = H.metrics(X.scored_orders(spark, sf_dir), MF)
+    return round_doubles(H.fold_scores_long(m.drop("tn", "fp", "fn", "tp"), MF))
+
+
+@register("cv_mean_std")
+def cv_mean_std(spark, sf_dir):
+    m = H.metrics(X.scored_orders(spark, sf_dir), MF)
+    long = H.fold_scores_long(m.drop("tn", "fp", "fn", "tp"), MF)
+    samp = H.summarize(long, ["model", "metric"], ddof=1)
+    pop = H.summarize(long, ["model", "metric"], ddof=0).select("model", "metric", F.col("std").alias("std_pop"))
+    return round_doubles(samp.join(pop, ["model", "metric"]))
+
+
+@register("cv_text_table")
+def cv_text_table(spark, sf_dir):
+    m = H.metrics(X.scored_orders(spark, sf_dir), MF)
+    s = H.summarize(H.fold_scores_long(m.drop("tn", "fp", "fn", "tp"), MF), ["model", "metric"], ddof=1)
+    return H.format_mean_std(s, "model")
+
+
+@register("leaderboard")
+def leaderboard(spark, sf_dir):
+    m = H.metrics(X.scored_orders(spark, sf_dir), ["model"])
+    return round_doubles(H.leaderboard(m, "roc_auc", "model", 1))

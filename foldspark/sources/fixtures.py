@@ -87,7 +87,7 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"),
         (F.col("o_orderstatus") == "F").cast("int").alias("label"))
-    o = o.withColumn("_h", hash_hex(SCORED_SEED, "row_id"))
+    o = o.withColumn("_h", hash_hex(SCORED_SEED, F.col("row_id")))
     ranked = hashed_rank(o, ["label"], "_h", tie=["row_id"], out="_r", max_groups=3)
     b = ranked.select("row_id", "label", ((F.col("_r") - 1) % SCORED_FOLDS).cast("int").alias("fold"))
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(w).cast("double").alias("w"))

@@ -211,3 +211,146 @@ SELECT fold_id, row_id, label,
                                     ORDER BY md5(concat(CAST(42 + fold_id AS VARCHAR), '|', row_id)), row_id)
                  <= round(0.2 * count(*) OVER (PARTITION BY fold_id, label)) THEN 'test' ELSE 'train' END AS inner_split
 FROM t""")
+
+# ---------------------------------------------------------------- H
+def metric_sql(tn="tn", fp="fp", fn="fn", tp="tp", digits=6) -> str:
+    """H2-H7, H9 from confusion counts, zero-division -> 0 (as the reference)."""
+    tn, fp, fn, tp = [f"CAST({c} AS DOUBLE)" for c in (tn, fp, fn, tp)]
+    pos, neg = f"({tp}+{fn})", f"({tn}+{fp})"
+    rec = f"(CASE WHEN {pos} > 0 THEN {tp}/{pos} ELSE 0.0 END)"
+    spec = f"(CASE WHEN {neg} > 0 THEN {tn}/{neg} ELSE 0.0 END)"
+    den = f"sqrt(({tp}+{fp})*({tp}+{fn})*({tn}+{fp})*({tn}+{fn}))"
+    exprs = {
+        "accuracy": f"({tp}+{tn})/({tp}+{tn}+{fp}+{fn})",
+        "balanced_accuracy": f"CASE WHEN {pos} > 0 AND {neg} > 0 THEN ({rec}+{spec})/2 WHEN {pos} > 0 THEN {rec} WHEN {neg} > 0 THEN {spec} END",
+        "precision": f"CASE WHEN {tp}+{fp} > 0 THEN {tp}/({tp}+{fp}) ELSE 0.0 END",
+        "recall_sensitivity": rec,
+        "specificity": spec,
+        "f1": f"CASE WHEN 2*{tp}+{fp}+{fn} > 0 THEN 2*{tp}/(2*{tp}+{fp}+{fn}) ELSE 0.0 END",
+        "mcc": f"CASE WHEN {den} > 0 THEN ({tp}*{tn}-{fp}*{fn})/{den} ELSE 0.0 END",
+    }
+    return ", ".join(f"round({e}, {digits}) AS {k}" for k, e in exprs.items())
+
+
+def confusion_sql(pred="proba >= 0.5") -> str:
+    return (f"CAST(count_if(label = 0 AND NOT ({pred})) AS BIGINT) AS tn, CAST(count_if(label = 0 AND ({pred})) AS BIGINT) AS fp, "
+            f"CAST(count_if(label = 1 AND NOT ({pred})) AS BIGINT) AS fn, CAST(count_if(label = 1 AND ({pred})) AS BIGINT) AS tp")
+
+
+def auc_sql(src: str, by: str) -> str:
+    """Rank-sum AUC (average ranks for ties), NULL for one class - an independent formula."""
+    return f"""
+SELECT {by}, CASE WHEN sum(label) > 0 AND sum(1 - label) > 0 THEN
+         (sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / 2.0) / (CAST(sum(label) AS DOUBLE) * sum(1 - label)) END AS roc_auc
+FROM (SELECT {by}, label, rank() OVER (PARTITION BY {by} ORDER BY proba)
+                          + (count(*) OVER (PARTITION BY {by}, proba) - 1) / 2.0 AS rk
+      FROM {src} WHERE proba IS NOT NULL) r
+GROUP BY {by}"""
+
+
+register("confusion", ("scored_orders",), f"""
+SELECT model, fold, {confusion_sql()} FROM scored_orders GROUP BY model, fold""")
+
+register("roc_auc", ("scored_orders",), f"""
+SELECT model, fold, round(roc_auc, 6) AS roc_auc FROM ({auc_sql('scored_orders', 'model, fold')}) a""")
+
+register("metrics_by_model_fold", ("scored_orders",), f"""
+WITH c AS (SELECT model, fold, {confusion_sql()} FROM scored_orders GROUP BY model, fold),
+a AS ({auc_sql('scored_orders', 'model, fold')})
+SELECT c.model, c.fold, tn, fp, fn, tp, {metric_sql()}, round(a.roc_auc, 6) AS roc_auc
+FROM c LEFT JOIN a ON c.model = a.model AND c.fold = a.fold""")
+
+register("roc_points", ("scored_orders",), """
+WITH c AS (SELECT model, proba AS score, count_if(label = 1) AS pos, count_if(label = 0) AS neg
+           FROM scored_orders WHERE proba IS NOT NULL GROUP BY model, proba),
+s AS (SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg,
+             lead(pos) OVER w2 AS next_pos, lead(neg) OVER w2 AS next_neg, row_number() OVER w2 AS rn,
+             sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N
+      FROM c
+      WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             w2 AS (PARTITION BY model ORDER BY score DESC))
+SELECT model, round(CASE WHEN N > 0 THEN cum_neg / N END, 6) AS fpr, round(CASE WHEN P > 0 THEN cum_pos / P END, 6) AS tpr,
+       round(score, 6) AS threshold
+FROM s WHERE rn = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+UNION ALL
+SELECT model, CASE WHEN sum(neg) > 0 THEN 0.0 END, CASE WHEN sum(pos) > 0 THEN 0.0 END, CAST(NULL AS DOUBLE)
+FROM c GROUP BY model""")
+
+_GRID = "(SELECT CAST(j AS DOUBLE) / 100.0::DOUBLE AS threshold FROM range(10, 91) t(j))"
+
+
+def sweep_sql(src: str, by: str, with_auc: bool = True) -> str:
+    """Brute force: every grid value scored separately (81 passes in effect)."""
+    auc_join = f" LEFT JOIN ({auc_sql(src, by)}) a USING ({by})" if with_auc else ""
+    auc_col = ", round(a.roc_auc, 6) AS roc_auc" if with_auc else ""
+    return f"""
+WITH c AS (SELECT {by}, g.threshold, {confusion_sql('proba >= g.threshold')}
+           FROM {src}, {_GRID} g WHERE proba IS NOT NULL GROUP BY {by}, g.threshold)
+SELECT c.*, {metric_sql()}{auc_col} FROM c{auc_join}"""
+
+
+register("threshold_sweep", ("scored_orders",), sweep_sql("scored_orders", "model, fold"))
+
+
+def best_sql(sweep: str, by: str, metric: str, col: str) -> str:
+    return f"""
+SELECT {by}, threshold, best_score, '{metric}' AS objective FROM (
+  SELECT {by}, threshold, {col} AS best_score,
+         row_number() OVER (PARTITION BY {by} ORDER BY {col} DESC, threshold ASC) AS rn FROM ({sweep}) s) b
+WHERE rn = 1"""
+
+
+register("best_threshold", ("scored_orders",), " UNION ALL ".join(
+    f"({best_sql(sweep_sql('scored_orders', 'model, fold', False), 'model, fold', m, c)})"
+    for m, c in (("f1", "f1"), ("balanced_accuracy", "balanced_accuracy"), ("mcc", "mcc"), ("recall", "recall_sensitivity"))))
+
+register("default_vs_tuned", ("scored_orders",), f"""
+WITH tuned AS ({best_sql(sweep_sql("(SELECT * FROM scored_orders WHERE fold <> 0)", "model", False), "model", "f1", "f1")}),
+k AS (SELECT model, 'default' AS kind, 0.5 AS threshold FROM tuned UNION ALL SELECT model, 'tuned', threshold FROM tuned),
+c AS (SELECT s.model, k.kind, k.threshold, {confusion_sql('proba >= k.threshold')}
+      FROM scored_orders s JOIN k ON s.model = k.model WHERE s.fold = 0 GROUP BY s.model, k.kind, k.threshold),
+a AS ({auc_sql("(SELECT * FROM scored_orders WHERE fold = 0)", "model")})
+SELECT c.model, kind, round(threshold, 6) AS threshold, tn, fp, fn, tp, {metric_sql()}, round(a.roc_auc, 6) AS roc_auc
+FROM c LEFT JOIN a ON c.model = a.model""")
+
+register("label_tie_rule", ("scored_orders",), f"""
+SELECT model, {confusion_sql('proba > 0.5')}, 'gt' AS rule FROM scored_orders GROUP BY model
+UNION ALL
+SELECT model, {confusion_sql('proba >= 0.5')}, 'ge' AS rule FROM scored_orders GROUP BY model""")
+
+_METRICS_MF = f"""
+m AS (SELECT c.model, c.fold, {metric_sql(digits=12)}, a.roc_auc
+      FROM (SELECT model, fold, {confusion_sql()} FROM scored_orders GROUP BY model, fold) c
+      LEFT JOIN ({auc_sql('scored_orders', 'model, fold')}) a ON c.model = a.model AND c.fold = a.fold),
+l AS (UNPIVOT m ON accuracy, balanced_accuracy, precision, recall_sensitivity, specificity, f1, roc_auc, mcc
+      INTO NAME metric VALUE value)"""
+
+register("fold_scores_long", ("scored_orders",), f"""
+WITH {_METRICS_MF}
+SELECT model, fold, metric, round(value, 6) AS value FROM l""")
+
+register("cv_mean_std", ("scored_orders",), f"""
+WITH {_METRICS_MF}
+SELECT model, metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0.0), 6) AS std,
+       count(value) AS n_folds, round(stddev_pop(value), 6) AS std_pop
+FROM l GROUP BY model, metric""")
+
+register("cv_text_table", ("scored_orders",), f"""
+WITH {_METRICS_MF},
+s AS (SELECT model, metric, printf('%.4f ± %.4f', avg(value), coalesce(stddev_samp(value), 0.0)) AS txt FROM l GROUP BY model, metric)
+SELECT model,
+  max(CASE WHEN metric = 'accuracy' THEN txt END) AS accuracy,
+  max(CASE WHEN metric = 'balanced_accuracy' THEN txt END) AS balanced_accuracy,
+  max(CASE WHEN metric = 'precision' THEN txt END) AS precision,
+  max(CASE WHEN metric = 'recall_sensitivity' THEN txt END) AS recall_sensitivity,
+  max(CASE WHEN metric = 'specificity' THEN txt END) AS specificity,
+  max(CASE WHEN metric = 'f1' THEN txt END) AS f1,
+  max(CASE WHEN metric = 'roc_auc' THEN txt END) AS roc_auc,
+  max(CASE WHEN metric = 'mcc' THEN txt END) AS mcc
+FROM s GROUP BY model""")
+
+register("leaderboard", ("scored_orders",), f"""
+WITH c AS (SELECT model, {confusion_sql()} FROM scored_orders GROUP BY model),
+a AS ({auc_sql('scored_orders', 'model')})
+SELECT c.model, tn, fp, fn, tp, {metric_sql()}, round(a.roc_auc, 6) AS roc_auc
+FROM c LEFT JOIN a ON c.model = a.model ORDER BY roc_auc DESC, c.model LIMIT 1""")
