@@ -206,3 +206,53 @@ def cv_text_table(spark, sf_dir):
 def leaderboard(spark, sf_dir):
     m = H.metrics(X.scored_orders(spark, sf_dir), ["model"])
     return round_doubles(H.leaderboard(m, "roc_auc", "model", 1))
+
+
+# ---------------------------------------------------------------- E
+from foldspark.operators import prep as E  # noqa: E402
+
+FOLD_IDS = [0, 1, 2, 3, 4]
+
+
+def churn_folds(spark, sf_dir) -> DataFrame:
+    return D.stratified_kfold(churn_clean(spark, sf_dir), k=5)
+
+
+def churn_roles(df) -> B.Roles:
+    return B.infer_roles(df, exclude=("row_id", "label", "fold", "fold_id", "role"))
+
+
+def churn_stats(spark, sf_dir, median="exact"):
+    f = churn_folds(spark, sf_dir)
+    return f, E.fit_prep(f, churn_roles(f), "fold", FOLD_IDS, median=median)
+
+
+@register("fold_medians")
+def fold_medians(spark, sf_dir):
+    _, st = churn_stats(spark, sf_dir)
+    return round_doubles(st.numeric.select("fold_id", "col_name", "position", "median"))
+
+
+@register("fold_modes")
+def fold_modes(spark, sf_dir):
+    _, st = churn_stats(spark, sf_dir)
+    return st.vocab.filter("is_mode").select("fold_id", "col_name", F.col("category").alias("mode"), "count")
+
+
+@register("fold_scaler")
+def fold_scaler(spark, sf_dir):
+    _, st = churn_stats(spark, sf_dir)
+    return round_doubles(st.numeric.select("fold_id", "col_name", "mean", "std"))
+
+
+@register("fold_vocabulary")
+def fold_vocabulary(spark, sf_dir):
+    _, st = churn_stats(spark, sf_dir)
+    return E.feature_names(st)
+
+
+@register("prep_apply_long")
+def prep_apply_long(spark, sf_dir):
+    f, st = churn_stats(spark, sf_dir)
+    x = E.apply_prep(D.expand_folds(f, 5), st, output="long")
+    return round_doubles(x.select("fold_id", "role", "row_id", "feature_idx", "value"))

@@ -354,3 +354,52 @@ WITH c AS (SELECT model, {confusion_sql()} FROM scored_orders GROUP BY model),
 a AS ({auc_sql('scored_orders', 'model')})
 SELECT c.model, tn, fp, fn, tp, {metric_sql()}, round(a.roc_auc, 6) AS roc_auc
 FROM c LEFT JOIN a ON c.model = a.model ORDER BY roc_auc DESC, c.model LIMIT 1""")
+
+# ---------------------------------------------------------------- E
+CHURN_NUMERIC = ["SeniorFlag", "tenure", "n_orders", "AcctBal", "AvgOrder", "TotalCharges"]
+CHURN_CATEGORICAL = ["Segment", "Nation", "Region", "LastPriority"]
+
+_PREP = """
+ids AS (SELECT CAST(unnest(range(0, 5)) AS INT) AS fold_id),
+num AS ({num}),
+cat AS ({cat}),
+tr AS (SELECT ids.fold_id, num.* FROM num JOIN ids ON num.fold <> ids.fold_id),
+med AS (SELECT fold_id, col_name, position, median(value) AS median FROM tr GROUP BY fold_id, col_name, position),
+imp AS (SELECT tr.fold_id, tr.col_name, coalesce(tr.value, med.median) AS v FROM tr JOIN med ON tr.fold_id = med.fold_id AND tr.col_name = med.col_name),
+sc AS (SELECT fold_id, col_name, avg(v) AS mean, stddev_pop(v) AS sd FROM imp GROUP BY fold_id, col_name),
+nstat AS (SELECT med.*, sc.mean, CASE WHEN sc.sd <= 1e-12 * greatest(abs(sc.mean), 1.0) THEN 1.0 ELSE sc.sd END AS std
+          FROM med JOIN sc ON med.fold_id = sc.fold_id AND med.col_name = sc.col_name),
+vt AS (SELECT ids.fold_id, col_name, position, value AS category, count(*) AS count
+       FROM cat JOIN ids ON cat.fold <> ids.fold_id WHERE value IS NOT NULL GROUP BY ids.fold_id, col_name, position, value),
+vocab AS (SELECT *, CAST(row_number() OVER (PARTITION BY fold_id, col_name ORDER BY category) - 1 AS INT) AS idx,
+                 row_number() OVER (PARTITION BY fold_id, col_name ORDER BY count DESC, category ASC) = 1 AS is_mode FROM vt),
+sizes AS (SELECT fold_id, col_name, position, count(*) AS sz FROM vocab GROUP BY fold_id, col_name, position),
+offs AS (SELECT fold_id, col_name, {p} + coalesce(sum(sz) OVER (PARTITION BY fold_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sizes),
+names AS (SELECT fold_id, position AS feature_idx, 'num__' || col_name AS name, col_name AS source_column, CAST(NULL AS VARCHAR) AS category FROM nstat
+          UNION ALL
+          SELECT v.fold_id, CAST(o.off + v.idx AS INT), 'cat__' || v.col_name || '_' || v.category, v.col_name, v.category
+          FROM vocab v JOIN offs o ON v.fold_id = o.fold_id AND v.col_name = o.col_name)""".format(
+    num=" UNION ALL ".join(f"SELECT row_id, fold, '{c}' AS col_name, {i} AS position, CAST({c} AS DOUBLE) AS value FROM churn_folds"
+                           for i, c in enumerate(CHURN_NUMERIC)),
+    cat=" UNION ALL ".join(f"SELECT row_id, fold, '{c}' AS col_name, {i} AS position, CAST({c} AS VARCHAR) AS value FROM churn_folds"
+                           for i, c in enumerate(CHURN_CATEGORICAL)),
+    p=len(CHURN_NUMERIC))
+
+register("fold_medians", ("churn_folds",), f"WITH {_PREP} SELECT fold_id, col_name, position, round(median, 6) AS median FROM med")
+register("fold_modes", ("churn_folds",), f"WITH {_PREP} SELECT fold_id, col_name, category AS mode, CAST(count AS BIGINT) AS count FROM vocab WHERE is_mode")
+register("fold_scaler", ("churn_folds",), f"WITH {_PREP} SELECT fold_id, col_name, round(mean, 6) AS mean, round(std, 6) AS std FROM nstat")
+register("fold_vocabulary", ("churn_folds",), f"WITH {_PREP} SELECT * FROM names")
+register("prep_apply_long", ("churn_folds",), f"""
+WITH {_PREP},
+ex AS (SELECT ids.fold_id, CASE WHEN f.fold = ids.fold_id THEN 'val' ELSE 'train' END AS role, f.row_id, f.fold FROM churn_folds f, ids),
+modes AS (SELECT fold_id, col_name, category AS mode FROM vocab WHERE is_mode)
+SELECT ex.fold_id, ex.role, ex.row_id, s.position AS feature_idx,
+       round(coalesce((coalesce(n.value, s.median) - s.mean) / s.std, 0.0), 6) AS value
+FROM ex JOIN num n ON n.row_id = ex.row_id JOIN nstat s ON s.fold_id = ex.fold_id AND s.col_name = n.col_name
+UNION ALL
+SELECT ex.fold_id, ex.role, ex.row_id, CAST(o.off + v.idx AS INT) AS feature_idx,
+       CASE WHEN coalesce(c.value, m.mode) = v.category THEN 1.0 ELSE 0.0 END AS value
+FROM ex JOIN cat c ON c.row_id = ex.row_id
+JOIN vocab v ON v.fold_id = ex.fold_id AND v.col_name = c.col_name
+JOIN offs o ON o.fold_id = v.fold_id AND o.col_name = v.col_name
+LEFT JOIN modes m ON m.fold_id = ex.fold_id AND m.col_name = c.col_name""")
