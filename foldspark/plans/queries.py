@@ -256,3 +256,42 @@ def prep_apply_long(spark, sf_dir):
     f, st = churn_stats(spark, sf_dir)
     x = E.apply_prep(D.expand_folds(f, 5), st, output="long")
     return round_doubles(x.select("fold_id", "role", "row_id", "feature_idx", "value"))
+
+
+# ---------------------------------------------------------------- F
+from foldspark.operators import smote as S  # noqa: E402
+
+
+def emb_train(spark, sf_dir) -> DataFrame:
+    """Training sides of 5 stratified folds over the embedding fixture (features = embedding)."""
+    e = D.stratified_kfold(X.embedding_binary(spark, sf_dir), k=5)
+    x = D.expand_folds(e, 5).filter(F.col("role") == "train")
+    return x.select("fold_id", "row_id", "label", F.col("embedding").cast("array<double>").alias("features"))
+
+
+@register("smote_budget")
+def smote_budget(spark, sf_dir):
+    return S.smote_budget(emb_train(spark, sf_dir), ratio=1.0)
+
+
+@register("smote_knn")
+def smote_knn(spark, sf_dir):
+    return round_doubles(S.nearest_minority(emb_train(spark, sf_dir), k=5))
+
+
+def _synth_summary(sy: DataFrame) -> DataFrame:
+    return sy.select("fold_id", "synth_id", "base_id", "nn_id", "gap",
+                     F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"), F.col("features")[2].alias("f2"),
+                     F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v).alias("norm2"))
+
+
+@register("smote_rows")
+def smote_rows(spark, sf_dir):
+    return round_doubles(_synth_summary(S.smote(emb_train(spark, sf_dir), ratio=1.0, k=5)))
+
+
+@register("smote_train_union")
+def smote_train_union(spark, sf_dir):
+    tr = emb_train(spark, sf_dir)
+    u = S.add_synthetic(tr, S.smote(tr, ratio=0.6, k=3))
+    return u.groupBy("fold_id", "synthetic", "label").agg(F.count(F.lit(1)).alias("n"))

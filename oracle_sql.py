@@ -403,3 +403,65 @@ FROM ex JOIN cat c ON c.row_id = ex.row_id
 JOIN vocab v ON v.fold_id = ex.fold_id AND v.col_name = c.col_name
 JOIN offs o ON o.fold_id = v.fold_id AND o.col_name = v.col_name
 LEFT JOIN modes m ON m.fold_id = ex.fold_id AND m.col_name = c.col_name""")
+
+# ---------------------------------------------------------------- F
+FIXTURE_SQL["emb_train"] = """
+emb_train AS (
+  WITH ef AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', CAST(row_id AS VARCHAR))), row_id) - 1) % 5 AS INT) AS fold
+              FROM embedding_binary)
+  SELECT CAST(i.fold_id AS INT) AS fold_id, row_id, label, embedding
+  FROM ef, (SELECT unnest(range(0, 5)) AS fold_id) i WHERE ef.fold <> i.fold_id)"""
+FIXTURE_DEPS["emb_train"] = ["embedding_binary"]
+
+
+def _u(expr: str) -> str:
+    return f"(('0x' || substr(md5({expr}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+_KNN = """
+m AS (SELECT fold_id, row_id, embedding FROM emb_train WHERE label = 1),
+pairs AS (SELECT a.fold_id, a.row_id, b.row_id AS nn_id,
+                 sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1),
+                      lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))) AS dist
+          FROM m a JOIN m b ON a.fold_id = b.fold_id AND a.row_id <> b.row_id),
+knn AS (SELECT fold_id, row_id, CAST(row_number() OVER (PARTITION BY fold_id, row_id ORDER BY dist, nn_id) AS INT) AS nn_rank, nn_id, dist
+        FROM pairs QUALIFY nn_rank <= {k})"""
+
+
+def _smote_sql(ratio: float, k: int) -> str:
+    return f"""
+WITH {_KNN.format(k=k)},
+budget AS (SELECT fold_id, CAST(count_if(label = 1) AS BIGINT) AS n_minor, CAST(count_if(label <> 1) AS BIGINT) AS n_major,
+                  CAST(floor({ratio} * count_if(label <> 1)) AS BIGINT) - CAST(count_if(label = 1) AS BIGINT) AS budget
+           FROM emb_train GROUP BY fold_id),
+s AS (SELECT fold_id, unnest(range(0, budget)) AS synth_id, n_minor, least({k}, n_minor - 1) AS kk FROM budget WHERE budget > 0),
+u AS (SELECT fold_id, synth_id,
+             floor({_u("concat_ws('|', '42', 'base', CAST(fold_id AS VARCHAR), CAST(synth_id AS VARCHAR))")} * n_minor) AS idx,
+             CAST(floor({_u("concat_ws('|', '42', 'nn', CAST(fold_id AS VARCHAR), CAST(synth_id AS VARCHAR))")} * kk) + 1 AS INT) AS nn_rank,
+             {_u("concat_ws('|', '42', 'gap', CAST(fold_id AS VARCHAR), CAST(synth_id AS VARCHAR))")} AS gap
+      FROM s),
+mi AS (SELECT fold_id, row_id, embedding,
+              row_number() OVER (PARTITION BY fold_id ORDER BY md5(concat('42|', CAST(row_id AS VARCHAR))), row_id) - 1 AS idx FROM m),
+sy AS (SELECT u.fold_id, u.synth_id, b.row_id AS base_id, k.nn_id, u.gap,
+              list_transform(range(1, len(b.embedding) + 1),
+                 lambda i: CAST(b.embedding[i] AS DOUBLE) + u.gap * (CAST(n.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))) AS x
+       FROM u JOIN mi b ON b.fold_id = u.fold_id AND b.idx = u.idx
+       JOIN knn k ON k.fold_id = u.fold_id AND k.row_id = b.row_id AND k.nn_rank = u.nn_rank
+       JOIN m n ON n.fold_id = u.fold_id AND n.row_id = k.nn_id)"""
+
+
+register("smote_budget", ("emb_train",), """
+SELECT fold_id, CAST(count_if(label <> 1) AS BIGINT) AS n_major, CAST(count_if(label = 1) AS BIGINT) AS n_minor,
+       CAST(floor(1.0 * count_if(label <> 1)) - count_if(label = 1) AS BIGINT) AS budget
+FROM emb_train GROUP BY fold_id""")
+
+register("smote_knn", ("emb_train",), f"WITH {_KNN.format(k=5)} SELECT fold_id, row_id, nn_rank, nn_id, round(dist, 6) AS dist FROM knn")
+
+register("smote_rows", ("emb_train",), _smote_sql(1.0, 5) + """
+SELECT fold_id, synth_id, base_id, nn_id, round(gap, 6) AS gap, round(x[1], 6) AS f0, round(x[2], 6) AS f1, round(x[3], 6) AS f2,
+       round(list_sum(list_transform(x, lambda v: v * v)), 6) AS norm2 FROM sy""")
+
+register("smote_train_union", ("emb_train",), _smote_sql(0.6, 3) + """
+SELECT fold_id, synthetic, label, count(*) AS n FROM (
+  SELECT fold_id, false AS synthetic, label FROM emb_train
+  UNION ALL SELECT fold_id, true, 1 FROM sy) t GROUP BY fold_id, synthetic, label""")
