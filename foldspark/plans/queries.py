@@ -295,3 +295,45 @@ def smote_train_union(spark, sf_dir):
     tr = emb_train(spark, sf_dir)
     u = S.add_synthetic(tr, S.smote(tr, ratio=0.6, k=3))
     return u.groupBy("fold_id", "synthetic", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- I, J
+from foldspark.operators import search as J  # noqa: E402
+from foldspark.operators import stats as I  # noqa: E402
+
+
+def scored_fold_long(spark, sf_dir) -> DataFrame:
+    m = H.metrics(X.scored_orders(spark, sf_dir), MF)
+    return H.fold_scores_long(m.drop("tn", "fp", "fn", "tp"), MF)
+
+
+@register("wilcoxon_greater")
+def wilcoxon_greater(spark, sf_dir):
+    return round_doubles(I.wilcoxon(scored_fold_long(spark, sf_dir), "LightGBM", "f1", "greater"))
+
+
+@register("wilcoxon_two_sided")
+def wilcoxon_two_sided(spark, sf_dir):
+    return round_doubles(I.wilcoxon(scored_fold_long(spark, sf_dir), "LightGBM", "roc_auc", "two-sided"))
+
+
+# A small search space evaluated against the scored table.
+THRESHOLD_SPACE = {"model": ["ExtraTrees", "RandomForest", "XGBoost", "LightGBM"],
+                   "threshold": ("loguniform", 0.2, 0.8)}
+
+
+@register("search_best_so_far")
+def search_best_so_far(spark, sf_dir):
+    """J1 + J3-J7: sampled candidates scored on the whole prediction table (mean F1 over folds),
+    then the early-stopping state machine."""
+    cand = J.sample_candidates(spark, THRESHOLD_SPACE, 20, seed=42).select(
+        "iteration", F.regexp_replace("model", '"', "").alias("model"), "threshold")
+    pred = X.scored_orders(spark, sf_dir)
+    j = pred.join(F.broadcast(cand), "model")  # 20 candidate rows: bounded by max_iter
+    c = j.groupBy("iteration", "fold").agg(
+        F.count_if((F.col("label") == 1) & (F.col("proba") >= F.col("threshold"))).alias("tp"),
+        F.count_if((F.col("label") == 0) & (F.col("proba") >= F.col("threshold"))).alias("fp"),
+        F.count_if((F.col("label") == 1) & (F.col("proba") < F.col("threshold"))).alias("fn"))
+    f1 = H.metric_columns(F.lit(0), "fp", "fn", "tp")["f1"]
+    hist = c.groupBy("iteration").agg(F.avg(f1).alias("score")).withColumn("status", F.lit("ok"))
+    return round_doubles(J.best_so_far(hist))

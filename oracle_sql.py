@@ -87,6 +87,8 @@ def with_fixtures(body: str, *names: str) -> str:
         add(n)
     ctes = ",\n".join(FIXTURE_SQL[n].strip() for n in order)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -229,6 +231,8 @@ def metric_sql(tn="tn", fp="fp", fn="fn", tp="tp", digits=6) -> str:
         "f1": f"CASE WHEN 2*{tp}+{fp}+{fn} > 0 THEN 2*{tp}/(2*{tp}+{fp}+{fn}) ELSE 0.0 END",
         "mcc": f"CASE WHEN {den} > 0 THEN ({tp}*{tn}-{fp}*{fn})/{den} ELSE 0.0 END",
     }
+    if digits is None:
+        return ", ".join(f"{e} AS {k}" for k, e in exprs.items())
     return ", ".join(f"round({e}, {digits}) AS {k}" for k, e in exprs.items())
 
 
@@ -465,3 +469,76 @@ register("smote_train_union", ("emb_train",), _smote_sql(0.6, 3) + """
 SELECT fold_id, synthetic, label, count(*) AS n FROM (
   SELECT fold_id, false AS synthetic, label FROM emb_train
   UNION ALL SELECT fold_id, true, 1 FROM sy) t GROUP BY fold_id, synthetic, label""")
+
+
+# ---------------------------------------------------------------- I, J
+_LONG_RAW = f"""
+m AS (SELECT c.model, c.fold, {metric_sql(digits=None)}, a.roc_auc
+      FROM (SELECT model, fold, {confusion_sql()} FROM scored_orders GROUP BY model, fold) c
+      LEFT JOIN ({auc_sql('scored_orders', 'model, fold')}) a ON c.model = a.model AND c.fold = a.fold),
+l AS (UNPIVOT m ON accuracy, balanced_accuracy, precision, recall_sensitivity, specificity, f1, roc_auc, mcc
+      INTO NAME metric VALUE value)"""
+
+
+def wilcoxon_sql(target: str, metric: str, alternative: str) -> str:
+    if alternative == "greater":
+        stat, hit, scale = "w_plus", "s >= w_plus - 1e-9", "1.0"
+    else:
+        stat, hit, scale = "least(w_plus, w_minus)", "s <= least(w_plus, n * (n + 1) / 2.0 - w_plus) + 1e-9", "2.0"
+    return f"""
+WITH {_LONG_RAW},
+lf AS (SELECT * FROM l WHERE metric = '{metric}'),
+t AS (SELECT fold, value AS tv FROM lf WHERE model = '{target}'),
+d AS (SELECT lf.model AS Compared_with, lf.fold, t.tv - lf.value AS d FROM lf JOIN t ON lf.fold = t.fold WHERE lf.model <> '{target}'),
+r AS (SELECT *, rank() OVER (PARTITION BY Compared_with ORDER BY abs(d))
+               + (count(*) OVER (PARTITION BY Compared_with, abs(d)) - 1) / 2.0 AS rk FROM d WHERE d <> 0),
+g AS (SELECT Compared_with, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0.0 END) AS w_plus,
+             sum(CASE WHEN d < 0 THEN rk ELSE 0.0 END) AS w_minus, list(rk ORDER BY fold) AS rks FROM r GROUP BY Compared_with),
+e AS (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN rks[i] ELSE 0.0 END)) AS s
+      FROM (SELECT *, unnest(range(0, 1 << n)) AS mask FROM g) x),
+p AS (SELECT Compared_with, least(1.0, {scale} * avg(CASE WHEN {hit} THEN 1.0 ELSE 0.0 END)) AS p FROM e GROUP BY Compared_with)
+SELECT c.Compared_with, '{metric}' AS metric, coalesce(g.n, 0) AS n, round(g.w_plus, 6) AS w_plus, round(g.w_minus, 6) AS w_minus,
+       round({stat.replace('w_', 'g.w_')}, 6) AS wilcoxon_stat, round(p.p, 6) AS p_value,
+       CASE WHEN g.n IS NULL THEN 'all differences are zero' END AS note
+FROM (SELECT DISTINCT Compared_with FROM d) c LEFT JOIN g ON g.Compared_with = c.Compared_with
+LEFT JOIN p ON p.Compared_with = c.Compared_with"""
+
+
+register("wilcoxon_greater", ("scored_orders",), wilcoxon_sql("LightGBM", "f1", "greater"))
+register("wilcoxon_two_sided", ("scored_orders",), wilcoxon_sql("LightGBM", "roc_auc", "two-sided"))
+
+import math as _math  # noqa: E402
+
+_LA, _LB = _math.log(0.2), _math.log(0.8)
+
+
+def _uni(*parts: str) -> str:
+    return _u("concat_ws('|', " + ", ".join(parts) + ")")
+
+
+register("search_best_so_far", ("scored_orders",), f"""
+WITH RECURSIVE cand AS (
+  SELECT CAST(i AS INT) AS iteration,
+         ['ExtraTrees', 'RandomForest', 'XGBoost', 'LightGBM'][CAST(floor({_uni("'42'", "'model'", "CAST(i AS VARCHAR)")} * 4) AS INT) + 1] AS model,
+         exp({_LA!r} + {_uni("'42'", "'threshold'", "CAST(i AS VARCHAR)")} * {(_LB - _LA)!r}) AS threshold
+  FROM range(1, 21) t(i)),
+c AS (SELECT iteration, fold,
+             CAST(count_if(label = 1 AND proba >= threshold) AS DOUBLE) AS tp,
+             CAST(count_if(label = 0 AND proba >= threshold) AS DOUBLE) AS fp,
+             CAST(count_if(label = 1 AND proba < threshold) AS DOUBLE) AS fn
+      FROM scored_orders s JOIN cand ON s.model = cand.model GROUP BY iteration, fold),
+hist AS (SELECT iteration, 'ok' AS status,
+                avg(CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END) AS score FROM c GROUP BY iteration),
+h AS (SELECT row_number() OVER (ORDER BY iteration) AS rn, * FROM hist),
+s AS (
+  SELECT rn, iteration, CASE WHEN status = 'failed' THEN 'failed' ELSE 'best' END AS status, score,
+         CASE WHEN status = 'failed' THEN '-inf'::DOUBLE ELSE score END AS best, 0 AS no_improve_count
+  FROM h WHERE rn = 1
+  UNION ALL
+  SELECT h.rn, h.iteration,
+         CASE WHEN h.status = 'failed' THEN 'failed' WHEN h.score > s.best + 1e-4 THEN 'best' ELSE 'no_improvement' END,
+         h.score,
+         CASE WHEN h.status <> 'failed' AND h.score > s.best + 1e-4 THEN h.score ELSE s.best END,
+         CASE WHEN h.status = 'failed' THEN s.no_improve_count WHEN h.score > s.best + 1e-4 THEN 0 ELSE s.no_improve_count + 1 END
+  FROM s JOIN h ON h.rn = s.rn + 1 WHERE s.no_improve_count < 6)
+SELECT iteration, status, round(score, 6) AS score, round(best, 6) AS best, no_improve_count FROM s""")
