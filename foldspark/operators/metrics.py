@@ -67,10 +67,17 @@ def metrics(pred: DataFrame, by: list[str], threshold: float = 0.5, strict: bool
     from foldspark.operators.roc import roc_auc
     m = with_metrics(confusion(pred, by, threshold, strict, proba, label))
     if auc:
-        m = m.join(roc_auc(pred, by, proba, label), by, "left") if by else m.crossJoin(roc_auc(pred, by, proba, label))
+        m = attach(m, roc_auc(pred, by, proba, label), by)
     return m
 
 
+def attach(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """Left join on ``by``; with no keys ``other`` is one row, joined on a constant key (broadcast, bounded)."""
+    if by:
+        return df.join(other, by, "left")
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(other.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+
+
 def fold_scores_long(m: DataFrame, by: list[str], metrics_: tuple[str, ...] = METRICS) -> DataFrame:
     """One row per (group, metric) via unpivot."""
     return m.unpivot(by, list(metrics_), "metric", "value")

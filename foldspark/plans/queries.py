@@ -337,3 +337,147 @@ def search_best_so_far(spark, sf_dir):
     f1 = H.metric_columns(F.lit(0), "fp", "fn", "tp")["f1"]
     hist = c.groupBy("iteration").agg(F.avg(f1).alias("score")).withColumn("status", F.lit("ok"))
     return round_doubles(J.best_so_far(hist))
+
+
+# ---------------------------------------------------------------- learned (rows-only)
+from foldspark.operators import learners as L  # noqa: E402
+
+
+def cv_logistic(spark, sf_dir, k: int = 3) -> DataFrame:
+    """Minimum slice: churn -> folds -> per-fold prep -> logistic regression per fold -> metrics."""
+    from pyspark.ml.functions import array_to_vector
+    from foldspark.plans.experiment import prepared
+    df = churn_clean(spark, sf_dir)
+    f = D.stratified_kfold(df, k=k)
+    x = prepared(f, churn_roles(f), "fold", list(range(k)))
+    x = x.withColumn("features", array_to_vector("features"))
+    parts = L.run_parallel([
+        (lambda fid=fid: L.fit_predict(x.filter((F.col("fold_id") == fid) & (F.col("role") == "train")),
+                                       x.filter((F.col("fold_id") == fid) & (F.col("role") == "val")),
+                                       L.Logistic(C=1.0, max_iter=200), ["row_id", "label"])
+         .withColumn("fold", F.lit(fid)).withColumn("model", F.lit("Logistic")))
+        for fid in range(k)], parallelism=k)
+    pred = parts[0]
+    for p in parts[1:]:
+        pred = pred.unionByName(p)
+    return pred
+
+
+@register("cv_logistic_summary")
+def cv_logistic_summary(spark, sf_dir):
+    pred = cv_logistic(spark, sf_dir)
+    m = H.metrics(pred, ["model", "fold"], 0.5, strict=True)
+    long = H.fold_scores_long(m.drop("tn", "fp", "fn", "tp"), ["model", "fold"])
+    return round_doubles(H.summarize(long, ["model", "metric"], ddof=1))
+
+
+# ---------------------------------------------------------------- L
+from foldspark.operators import explain as EX  # noqa: E402
+
+# A known linear churn score used as a closed-form scorer.
+FORMULA = {"intercept": -1.0, "tenure": 0.02, "n_orders": 0.05, "AcctBal": -0.0001, "segment_building": 0.3}
+PERM_FEATURES = ["tenure", "n_orders", "AcctBal", "Segment"]
+
+
+def formula_score(df: DataFrame) -> DataFrame:
+    z = (F.lit(FORMULA["intercept"]) + F.lit(FORMULA["tenure"]) * F.col("tenure")
+         + F.lit(FORMULA["n_orders"]) * F.col("n_orders") + F.lit(FORMULA["AcctBal"]) * F.col("AcctBal")
+         + F.when(F.col("Segment") == "BUILDING", F.lit(FORMULA["segment_building"])).otherwise(F.lit(0.0)))
+    return df.withColumn("proba", 1.0 / (1.0 + F.exp(-z)))
+
+
+def churn_test(spark, sf_dir) -> DataFrame:
+    h = D.stratified_holdout(churn_clean(spark, sf_dir))
+    return h.filter(F.col("split") == "test").select("row_id", "label", *PERM_FEATURES)
+
+
+@register("permutation_plan")
+def permutation_plan(spark, sf_dir):
+    return EX.permutation_plan(churn_test(spark, sf_dir), PERM_FEATURES, repeats=10)
+
+
+@register("permutation_importance_formula")
+def permutation_importance_formula(spark, sf_dir):
+    return round_doubles(EX.permutation_importance(churn_test(spark, sf_dir), PERM_FEATURES, formula_score,
+                                                   repeats=10, threshold=0.42, metric="f1"))
+
+
+@register("original_feature")
+def original_feature(spark, sf_dir):
+    _, st = churn_stats(spark, sf_dir)
+    names = E.feature_names(st).filter(F.col("fold_id") == 0)
+    return names.select("feature_idx", "name", EX.original_feature(F.col("name")).alias("original_parsed"),
+                        "source_column")
+
+
+@register("mean_abs_contribution")
+def mean_abs_contribution(spark, sf_dir):
+    return round_doubles(EX.mean_abs_contribution(X.contributions(spark, sf_dir), ["feature", "original_feature"]))
+
+
+@register("importance_by_original")
+def importance_by_original(spark, sf_dir):
+    m = EX.mean_abs_contribution(X.contributions(spark, sf_dir), ["feature"])
+    m = m.withColumn("original_feature", EX.original_feature(F.col("feature")))
+    return round_doubles(EX.by_original(m, "mean_abs_contribution"))
+
+
+@register("top_features")
+def top_features(spark, sf_dir):
+    m = EX.mean_abs_contribution(X.contributions(spark, sf_dir), ["feature"])
+    return round_doubles(EX.top_n(m, "mean_abs_contribution", 10, "feature"))
+
+
+@register("row_sample")
+def row_sample(spark, sf_dir):
+    return EX.row_sample(churn_clean(spark, sf_dir).select("row_id", "label", "tenure"), 500)
+
+
+# ---------------------------------------------------------------- G (long prediction table)
+from foldspark.operators import ensemble as G  # noqa: E402
+
+
+@register("soft_voting")
+def soft_voting(spark, sf_dir):
+    return round_doubles(G.soft_vote(X.scored_orders(spark, sf_dir), ["fold", "row_id", "label"]))
+
+
+@register("oof_accounting")
+def oof_accounting(spark, sf_dir):
+    p = X.scored_orders(spark, sf_dir)
+    per_row = p.groupBy("model", "row_id").agg(F.count(F.lit(1)).alias("times"))
+    return per_row.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("times").alias("n_predictions"),
+                                        F.max("times").alias("max_times"), F.min("times").alias("min_times"))
+
+
+@register("meta_features")
+def meta_features(spark, sf_dir):
+    p = X.scored_orders(spark, sf_dir)
+    return G.meta_features(p, ["fold", "row_id", "label"], list(dict(X.SCORED_MODELS)))
+
+
+# ---------------------------------------------------------------- K
+@register("fold_thresholds")
+def fold_thresholds(spark, sf_dir):
+    """K3/K4 on given probabilities: tune on an inner 20 % split (seed 42+fold) of each fold's
+    training side, report the chosen threshold, its tuning score and the F1 it gives on the fold."""
+    p = X.scored_orders(spark, sf_dir)
+    keys = p.select("row_id", "label", "fold").distinct()
+    ex = D.expand_folds(keys, 5).filter(F.col("role") == "train").select("fold_id", "row_id", "label")
+    inner = D.nested_holdout(ex, fold="fold_id").filter(F.col("inner_split") == "test").select("fold_id", "row_id")
+    tune = p.join(inner, "row_id")
+    sw = T.threshold_sweep(tune, ["model", "fold_id"], with_auc=False)
+    best = T.best_threshold(sw, "f1", ["model", "fold_id"]).withColumnRenamed("fold_id", "fold")
+    on_fold = T.metrics_at(p, ["model", "fold"], best, {"tuned": F.col("threshold")})
+    return round_doubles(best.join(on_fold.select("model", "fold", F.col("f1").alias("fold_f1")), ["model", "fold"]))
+
+
+@register("component_contribution")
+def component_contribution(spark, sf_dir):
+    """K6: mean difference of every model to the target over the same folds, per metric."""
+    long = scored_fold_long(spark, sf_dir)
+    t = long.filter(F.col("model") == "LightGBM").select("fold", "metric", F.col("value").alias("tv"))
+    o = long.filter(F.col("model") != "LightGBM")
+    d = o.join(t, ["fold", "metric"]).groupBy(F.col("model").alias("Compared_with"), "metric").agg(
+        F.avg(F.col("tv") - F.col("value")).alias("mean_diff"))
+    return round_doubles(d)

@@ -118,15 +118,19 @@ def embedding_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("row_id"), "embedding", (F.col("label") == 0).cast("int").alias("label"))
 
 
+def _row(feature, original: str, value):
+    return F.struct(feature.cast("string").alias("feature"), F.lit(original).cast("string").alias("original_feature"),
+                    value.cast("double").alias("contribution"))
+
+
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additive contributions of a known linear score, in long form."""
     c = customer_churn(spark, sf_dir)
     rows = F.array(
-        F.struct(F.lit("num__AcctBal").alias("feature"), F.lit("AcctBal").alias("original_feature"),
-                 (F.lit(0.0001) * F.col("AcctBal")).alias("contribution")),
-        F.struct(F.lit("num__tenure"), F.lit("tenure"), (F.lit(-0.02) * F.col("tenure"))),
-        F.struct(F.concat(F.lit("cat__Segment_"), F.col("Segment")), F.lit("Segment"), F.lit(0.3)),
-        F.struct(F.concat(F.lit("cat__Region_"), F.col("Region")), F.lit("Region"),
-                 F.when(F.col("SeniorFlag") == 1, F.lit(0.1)).otherwise(F.lit(-0.05))),
+        _row(F.lit("num__AcctBal"), "AcctBal", F.lit(0.0001) * F.col("AcctBal")),
+        _row(F.lit("num__tenure"), "tenure", F.lit(-0.02) * F.col("tenure")),
+        _row(F.concat(F.lit("cat__Segment_"), F.col("Segment")), "Segment", F.lit(0.3)),
+        _row(F.concat(F.lit("cat__Region_"), F.col("Region")), "Region",
+             F.when(F.col("SeniorFlag") == 1, F.lit(0.1)).otherwise(F.lit(-0.05))),
     )
     return c.select(F.col("customerID").alias("row_id"), F.inline(rows))

@@ -542,3 +542,108 @@ s AS (
          CASE WHEN h.status = 'failed' THEN s.no_improve_count WHEN h.score > s.best + 1e-4 THEN 0 ELSE s.no_improve_count + 1 END
   FROM s JOIN h ON h.rn = s.rn + 1 WHERE s.no_improve_count < 6)
 SELECT iteration, status, round(score, 6) AS score, round(best, 6) AS best, no_improve_count FROM s""")
+
+# ---------------------------------------------------------------- L
+_TEST = """
+tst AS (SELECT row_id, label, tenure, n_orders, AcctBal, Segment FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', row_id)), row_id) AS rk,
+         count(*) OVER (PARTITION BY label) AS n FROM churn_clean) x WHERE rk <= round(0.2 * n))"""
+
+_PLAN = """
+base AS (SELECT row_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'base', row_id)), row_id) AS i FROM tst),
+fr AS (SELECT f.feature, CAST(r.rep AS INT) AS repeat, t.row_id AS donor_id
+       FROM tst t, (SELECT unnest(['tenure', 'n_orders', 'AcctBal', 'Segment']) AS feature) f,
+            (SELECT unnest(range(0, 10)) AS rep) r),
+pr AS (SELECT *, row_number() OVER (PARTITION BY feature, repeat ORDER BY md5(concat_ws('|', '42', feature, CAST(repeat AS VARCHAR), donor_id)), donor_id) AS i FROM fr),
+plan AS (SELECT pr.feature, pr.repeat, base.row_id, pr.donor_id FROM pr JOIN base ON pr.i = base.i)"""
+
+register("permutation_plan", ("churn_clean",), f"WITH {_TEST}, {_PLAN} SELECT * FROM plan")
+
+
+def _formula(t="", seg="Segment", ten="tenure", nor="n_orders", acct="AcctBal"):
+    return (f"1.0 / (1.0 + exp(-(-1.0 + 0.02 * {ten} + 0.05 * {nor} + -0.0001 * {acct} "
+            f"+ CASE WHEN {seg} = 'BUILDING' THEN 0.3 ELSE 0.0 END)))")
+
+
+register("permutation_importance_formula", ("churn_clean",), f"""
+WITH {_TEST}, {_PLAN},
+d AS (SELECT p.feature, p.repeat, p.row_id, t.label,
+             CASE WHEN p.feature = 'tenure' THEN dn.tenure ELSE t.tenure END AS tenure,
+             CASE WHEN p.feature = 'n_orders' THEN dn.n_orders ELSE t.n_orders END AS n_orders,
+             CASE WHEN p.feature = 'AcctBal' THEN dn.AcctBal ELSE t.AcctBal END AS AcctBal,
+             CASE WHEN p.feature = 'Segment' THEN dn.Segment ELSE t.Segment END AS Segment
+      FROM plan p JOIN tst t ON t.row_id = p.row_id JOIN tst dn ON dn.row_id = p.donor_id),
+pc AS (SELECT feature, repeat, CAST(count_if(label = 1 AND pr >= 0.42) AS DOUBLE) AS tp,
+              CAST(count_if(label = 0 AND pr >= 0.42) AS DOUBLE) AS fp, CAST(count_if(label = 1 AND pr < 0.42) AS DOUBLE) AS fn
+       FROM (SELECT *, {_formula()} AS pr FROM d) x GROUP BY feature, repeat),
+pf AS (SELECT feature, repeat, CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END AS f1 FROM pc),
+bc AS (SELECT CAST(count_if(label = 1 AND pr >= 0.42) AS DOUBLE) AS tp,
+              CAST(count_if(label = 0 AND pr >= 0.42) AS DOUBLE) AS fp, CAST(count_if(label = 1 AND pr < 0.42) AS DOUBLE) AS fn
+       FROM (SELECT *, {_formula()} AS pr FROM tst) x),
+b AS (SELECT CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END AS baseline FROM bc)
+SELECT feature, round(baseline, 6) AS baseline, round(baseline - avg(f1), 6) AS importance_mean,
+       round(stddev_pop(f1), 6) AS importance_std
+FROM pf, b GROUP BY feature, baseline""")
+
+_ORIG = "CASE WHEN instr({r}, '_') > 0 THEN split_part({r}, '_', 1) ELSE {r} END"
+
+
+def orig_sql(c: str) -> str:
+    r = f"(CASE WHEN instr({c}, '__') > 0 THEN substr({c}, instr({c}, '__') + 2) ELSE {c} END)"
+    return _ORIG.format(r=r)
+
+
+register("original_feature", ("churn_folds",), f"""WITH {_PREP}
+SELECT feature_idx, name, {orig_sql('name')} AS original_parsed, source_column FROM names WHERE fold_id = 0""")
+
+register("mean_abs_contribution", ("contributions",), """
+SELECT feature, original_feature, round(avg(abs(contribution)), 6) AS mean_abs_contribution
+FROM contributions GROUP BY feature, original_feature""")
+
+register("importance_by_original", ("contributions",), f"""
+SELECT {orig_sql('feature')} AS original_feature, round(sum(m), 6) AS mean_abs_contribution FROM (
+  SELECT feature, avg(abs(contribution)) AS m FROM contributions GROUP BY feature) x
+GROUP BY 1""")
+
+register("top_features", ("contributions",), """
+SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs_contribution FROM contributions
+GROUP BY feature ORDER BY avg(abs(contribution)) DESC, feature LIMIT 10""")
+
+register("row_sample", ("churn_clean",), """
+SELECT row_id, label, tenure FROM churn_clean ORDER BY md5(concat('42|', row_id)), row_id LIMIT 500""")
+
+# ---------------------------------------------------------------- G
+register("soft_voting", ("scored_orders",), """
+SELECT fold, row_id, label, round(avg(proba), 6) AS proba, 'SoftVoting' AS model FROM scored_orders GROUP BY fold, row_id, label""")
+
+register("oof_accounting", ("scored_orders",), """
+SELECT model, count(*) AS n_rows, CAST(sum(times) AS BIGINT) AS n_predictions, max(times) AS max_times, min(times) AS min_times
+FROM (SELECT model, row_id, count(*) AS times FROM scored_orders GROUP BY model, row_id) x GROUP BY model""")
+
+register("meta_features", ("scored_orders",), """
+SELECT fold, row_id, label,
+  max(CASE WHEN model = 'ExtraTrees' THEN proba END) AS ExtraTrees,
+  max(CASE WHEN model = 'RandomForest' THEN proba END) AS RandomForest,
+  max(CASE WHEN model = 'XGBoost' THEN proba END) AS XGBoost,
+  max(CASE WHEN model = 'LightGBM' THEN proba END) AS LightGBM
+FROM scored_orders GROUP BY fold, row_id, label""")
+
+# ---------------------------------------------------------------- K
+register("fold_thresholds", ("scored_orders",), f"""
+WITH keys AS (SELECT DISTINCT row_id, label, fold FROM scored_orders),
+ex AS (SELECT CAST(i.fold_id AS INT) AS fold_id, row_id, label FROM keys, (SELECT unnest(range(0, 5)) AS fold_id) i WHERE fold <> i.fold_id),
+inner_t AS (SELECT fold_id, row_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY fold_id, label ORDER BY md5(concat(CAST(42 + fold_id AS VARCHAR), '|', CAST(row_id AS VARCHAR))), row_id) AS rk,
+         count(*) OVER (PARTITION BY fold_id, label) AS n FROM ex) x WHERE rk <= round(0.2 * n)),
+tune AS (SELECT s.*, inner_t.fold_id FROM scored_orders s JOIN inner_t ON s.row_id = inner_t.row_id),
+best AS ({best_sql(sweep_sql('tune', 'model, fold_id', False), 'model, fold_id', 'f1', 'f1')}),
+ev AS (SELECT s.model, s.fold, b.threshold, b.best_score, {confusion_sql('proba >= b.threshold')}
+       FROM scored_orders s JOIN best b ON s.model = b.model AND s.fold = b.fold_id GROUP BY s.model, s.fold, b.threshold, b.best_score)
+SELECT model, fold, round(threshold, 6) AS threshold, round(best_score, 6) AS best_score,
+       round(CASE WHEN 2*tp+fp+fn > 0 THEN 2.0*tp/(2*tp+fp+fn) ELSE 0.0 END, 6) AS fold_f1 FROM ev""")
+
+register("component_contribution", ("scored_orders",), f"""
+WITH {_LONG_RAW},
+t AS (SELECT fold, metric, value AS tv FROM l WHERE model = 'LightGBM')
+SELECT l.model AS Compared_with, l.metric, round(avg(t.tv - l.value), 6) AS mean_diff
+FROM l JOIN t ON l.fold = t.fold AND l.metric = t.metric WHERE l.model <> 'LightGBM' GROUP BY l.model, l.metric""")
