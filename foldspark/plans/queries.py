@@ -481,3 +481,39 @@ def component_contribution(spark, sf_dir):
     d = o.join(t, ["fold", "metric"]).groupBy(F.col("model").alias("Compared_with"), "metric").agg(
         F.avg(F.col("tv") - F.col("value")).alias("mean_diff"))
     return round_doubles(d)
+
+
+# ---------------------------------------------------------------- A
+from foldspark.sources import io as IO  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from foldspark.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/foldspark-io/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip")
+def csv_roundtrip(spark, sf_dir):
+    """A1/A5: the dirty churn table written as CSV with header and read back with the missing tokens."""
+    raw = X.customer_churn_raw(spark, sf_dir)
+    path = _scratch(spark, "churn-csv")
+    IO.write_table(raw, path, "csv")
+    return IO.read_table(spark, path, schema=raw.schema, required=("customerID", "Churn"))
+
+
+@register("config_overlay")
+def config_overlay(spark, sf_dir):
+    """A3/A4/A6 + J7: the best candidate of the search written as a best-config JSON, read back,
+    unwrapped and laid over the defaults."""
+    st = search_best_so_far(spark, sf_dir)
+    best = J.choose_best(st).join(
+        J.sample_candidates(spark, THRESHOLD_SPACE, 20, seed=42), "iteration").select(
+        F.lit("f1").alias("best_refit_metric"), F.col("best").alias("best_refit_score_cv_mean"),
+        F.struct(F.regexp_replace("model", '"', "").alias("model"),
+                 F.round("threshold", 6).alias("threshold")).alias("best_params"))
+    path = _scratch(spark, "best-config")
+    IO.write_table(best.coalesce(1), path, "json")
+    given = IO.read_config(spark, path)
+    return IO.overlay(spark, given, {**IO.DEFAULT_PARAMS, "model": "RandomForest", "threshold": "0.5"})

@@ -647,3 +647,45 @@ WITH {_LONG_RAW},
 t AS (SELECT fold, metric, value AS tv FROM l WHERE model = 'LightGBM')
 SELECT l.model AS Compared_with, l.metric, round(avg(t.tv - l.value), 6) AS mean_diff
 FROM l JOIN t ON l.fold = t.fold AND l.metric = t.metric WHERE l.model <> 'LightGBM' GROUP BY l.model, l.metric""")
+
+
+# ---------------------------------------------------------------- A
+# Missing-value tokens (same list as foldspark.sources.io).
+_NA = "(" + ", ".join("'" + t + "'" for t in ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')) + ")"
+
+
+def _na(c: str) -> str:
+    return f"CASE WHEN {c} IN {_NA} THEN NULL ELSE {c} END AS {c}"
+
+
+register("csv_roundtrip", ("customer_churn_raw",), f"""
+SELECT {_na('customerID')}, {_na('Segment')}, {_na('Nation')}, {_na('Region')}, SeniorFlag, tenure, n_orders, AcctBal, AvgOrder,
+       {_na('TotalCharges')}, {_na('LastPriority')}, {_na('Churn')}
+FROM customer_churn_raw""")
+
+_DEFAULTS = {
+    "model__final_estimator__C": "1.1329528224472597",
+    "model__final_estimator__class_weight": "balanced",
+    "model__passthrough": "true",
+    "smote__sampling_strategy": "0.6",
+    "smote__k_neighbors": "3",
+    "model__et__max_depth": "10",
+    "model__rf__max_depth": "10",
+    "model__xgb__max_depth": "4",
+    "model__xgb__learning_rate": "0.05",
+    "model__lgbm__learning_rate": "0.05",
+    "model__lgbm__num_leaves": "15",
+    "model": "RandomForest",
+    "threshold": "0.5",
+}
+
+_search_body = _BODIES["search_best_so_far"][1]
+_best_cte = _search_body[_search_body.index("WITH RECURSIVE ") + len("WITH RECURSIVE "):_search_body.rindex("SELECT iteration, status")].rstrip().rstrip(",")
+register("config_overlay", ("scored_orders",), f"""
+WITH RECURSIVE {_best_cte},
+bst AS (SELECT cand.model, round(cand.threshold, 6) AS threshold FROM s JOIN cand ON s.iteration = cand.iteration
+        WHERE s.status = 'best' ORDER BY s.iteration DESC LIMIT 1),
+given AS (SELECT 'model' AS key, model AS value FROM bst UNION ALL SELECT 'threshold', CAST(threshold AS VARCHAR) FROM bst),
+d AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _DEFAULTS.items())}) v(key, value))
+SELECT coalesce(d.key, g.key) AS key, CASE WHEN g.key IS NOT NULL THEN g.value ELSE d.value END AS value
+FROM d FULL JOIN given g ON d.key = g.key""")
