@@ -55,9 +55,23 @@ def _fold_ids_col(fold_ids) -> Column:
     return F.explode(F.array(*[F.lit(i) for i in fold_ids]))
 
 
+def _sides(d: DataFrame, fold_ids, direct: bool) -> DataFrame:
+    """Rows of ``d`` (keyed by ``_fold``) on the training side of each fold id.
+
+    complement (default): fold id k learns from the rows whose fold is not k.
+    direct: the rows are already the training rows of their own fold id.
+    """
+    if direct:
+        return d.withColumn("fold_id", F.col("_fold")).filter(F.col("fold_id").isin(*fold_ids))
+    return d.select("*", _fold_ids_col(fold_ids).alias("fold_id")).filter(F.col("_fold") != F.col("fold_id"))
+
+
 def fit_prep(df: DataFrame, roles: Roles, fold: str = "fold", fold_ids=(0, 1, 2, 3, 4),
-             median: str = "exact", kll_k: int = 2048) -> PrepStats:
-    """Statistics of the training side of each fold id (rows with ``fold != id``)."""
+             median: str = "exact", kll_k: int = 2048, direct: bool = False) -> PrepStats:
+    """Statistics of the training side of each fold id (rows with ``fold != id``).
+
+    ``direct=True``: ``df`` holds only training rows and ``fold`` is the fold id they train.
+    """
     fold_ids = list(fold_ids)
     num = _long(df, fold, roles.numeric, "double") if roles.numeric else None
     numeric = None
@@ -68,15 +82,15 @@ def fit_prep(df: DataFrame, roles: Roles, fold: str = "fold", fold_ids=(0, 1, 2,
         if median == "auto":
             median = "exact"  # callers at scale pass 'approx'; see EXACT_MEDIAN_ROW_LIMIT
         if median == "exact":
-            tr = num.select("*", _fold_ids_col(fold_ids).alias("fold_id")).filter(F.col("_fold") != F.col("fold_id"))
+            tr = _sides(num, fold_ids, direct)
             med = tr.groupBy("fold_id", "col_name").agg(F.percentile(F.col("value"), 0.5).alias("median"))
         else:
             sk = num.filter(F.col("value").isNotNull()).groupBy("_fold", "col_name").agg(
                 F.kll_sketch_agg_double("value", kll_k).alias("sk"))
-            trs = sk.select("*", _fold_ids_col(fold_ids).alias("fold_id")).filter(F.col("_fold") != F.col("fold_id"))
+            trs = _sides(sk, fold_ids, direct)
             med = trs.groupBy("fold_id", "col_name").agg(F.kll_merge_agg_double("sk").alias("sk")).select(
                 "fold_id", "col_name", F.kll_sketch_get_quantile_double("sk", F.lit(0.5)).alias("median"))
-        pt = per.select("*", _fold_ids_col(fold_ids).alias("fold_id")).filter(F.col("_fold") != F.col("fold_id"))
+        pt = _sides(per, fold_ids, direct)
         tot = pt.groupBy("fold_id", "col_name", "position").agg(
             F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum(F.col("nn") * F.col("mu")).alias("s"))
         tot = tot.join(med, ["fold_id", "col_name"], "left")
@@ -97,7 +111,7 @@ def fit_prep(df: DataFrame, roles: Roles, fold: str = "fold", fold_ids=(0, 1, 2,
     if roles.categorical:
         cat = _long(df, fold, roles.categorical, None).filter(F.col("value").isNotNull())
         vc = cat.groupBy("_fold", "col_name", "position", "value").agg(F.count(F.lit(1)).alias("c"))
-        vt = (vc.select("*", _fold_ids_col(fold_ids).alias("fold_id")).filter(F.col("_fold") != F.col("fold_id"))
+        vt = (_sides(vc, fold_ids, direct)
               .groupBy("fold_id", "col_name", "position", F.col("value").alias("category")).agg(F.sum("c").alias("count")))
         w_idx = Window.partitionBy("fold_id", "col_name").orderBy("category")
         w_mode = Window.partitionBy("fold_id", "col_name").orderBy(F.col("count").desc(), F.col("category").asc())

@@ -42,6 +42,7 @@ class ExperimentConfig:
     strict_default: bool = True          # step 1 predicts class 1 only when proba > 0.5
     parallelism: int = 4
     median: str = "exact"
+    passthrough: bool = False
     models: tuple[str, ...] = ALL_MODELS
     meta: L.Logistic = field(default_factory=lambda: L.Logistic(C=1.0, max_iter=2000, name="meta"))
     bases: list | None = None
@@ -85,7 +86,7 @@ def _fold_tasks(train: DataFrame, val: DataFrame, fold_ids, cfg: ExperimentConfi
                              .withColumn("fold", F.lit(fid)))
         if "OptimizedStacking" in want:
             tasks.append(lambda tr=tr, va=va, fid=fid:
-                         G.stack_fit_predict(tr, va, bases, cfg.meta, cfg.inner_k, False, seed=cfg.seed,
+                         G.stack_fit_predict(tr, va, bases, cfg.meta, cfg.inner_k, cfg.passthrough, seed=cfg.seed,
                                              parallelism=cfg.parallelism)
                          .withColumn("model", F.lit("OptimizedStacking")).withColumn("fold", F.lit(fid)))
     return tasks
