@@ -60,30 +60,47 @@ def oof_predict(train: DataFrame, bases: list, inner_k: int = 5, key: str = "row
     return cut_lineage(out)
 
 
-def stack_fit_predict(train: DataFrame, score: DataFrame, bases: list, meta: L.Logistic, inner_k: int = 5,
-                      passthrough: bool = False, key: str = "row_id", label: str = "label",
-                      features: str = "features", keep: list[str] | None = None, seed: int = 42,
-                      parallelism: int = 4, return_parts: bool = False):
-    """Stacking - meta logistic model on OOF base probabilities (+ features), bases refitted on all rows."""
-    keep = keep or [key, label]
+class StackModel:
+    """Fitted stack: base models refitted on all training rows + the meta model on their OOF probabilities."""
+
+    def __init__(self, base_models, names, meta_model, passthrough, features, oof):
+        self.base_models, self.names, self.meta_model = base_models, names, meta_model
+        self.passthrough, self.features, self.oof = passthrough, features, oof
+
+    def predict(self, score: DataFrame, keep: list[str]) -> DataFrame:
+        """(keep..., proba) for the rows of ``score`` (which must hold ``features``)."""
+        parts = [L.positive_proba(m.transform(score.select(*keep, self.features))).select(*keep, "proba")
+                 .withColumn("model", F.lit(n)) for m, n in zip(self.base_models, self.names)]
+        base_pred = parts[0]
+        for p in parts[1:]:
+            base_pred = base_pred.unionByName(p)
+        mscore = meta_features(base_pred, keep, self.names)
+        if self.passthrough:
+            mscore = mscore.join(score.select(*keep, self.features), keep)
+        mscore = _assemble(mscore, self.names, self.features if self.passthrough else None)
+        return L.positive_proba(self.meta_model.transform(mscore)).select(*keep, "proba")
+
+
+def stack_fit(train: DataFrame, bases: list, meta: L.Logistic, inner_k: int = 5, passthrough: bool = False,
+              key: str = "row_id", label: str = "label", features: str = "features", seed: int = 42,
+              parallelism: int = 4) -> StackModel:
+    """Meta logistic model on OOF base probabilities (+ features); bases refitted on all rows."""
     names = [b.name for b in bases]
     oof = oof_predict(train, bases, inner_k, key, label, features, seed, parallelism)
     mtrain = meta_features(oof, [key, label], names)
     if passthrough:
         mtrain = mtrain.join(train.select(key, features), key)
     mtrain = _assemble(mtrain, names, features if passthrough else None)
-    meta_model = L.fit(mtrain, meta, "meta_x", label)
-    refit = L.run_parallel([lambda s=s: L.fit_predict(train, score, s, keep, features, label).withColumn("model", F.lit(s.name))
-                            for s in bases], parallelism)
-    base_pred = refit[0]
-    for p in refit[1:]:
-        base_pred = base_pred.unionByName(p)
-    base_pred = cut_lineage(base_pred)
-    mscore = meta_features(base_pred, keep, names)
-    if passthrough:
-        mscore = mscore.join(score.select(key, features), key)
-    mscore = _assemble(mscore, names, features if passthrough else None)
-    out = L.positive_proba(meta_model.transform(mscore)).select(*keep, "proba")
-    if return_parts:
-        return out, oof, base_pred
-    return out
+    fits = [lambda: L.fit(mtrain, meta, "meta_x", label)] + [lambda s=s: L.fit(train, s, features, label) for s in bases]
+    models = L.run_parallel(fits, parallelism)
+    return StackModel(models[1:], names, models[0], passthrough, features, oof)
+
+
+def stack_fit_predict(train: DataFrame, score: DataFrame, bases: list, meta: L.Logistic, inner_k: int = 5,
+                      passthrough: bool = False, key: str = "row_id", label: str = "label",
+                      features: str = "features", keep: list[str] | None = None, seed: int = 42,
+                      parallelism: int = 4) -> DataFrame:
+    """Fit the stack on ``train`` and score ``score``."""
+    keep = keep or [key, label]
+    model = stack_fit(train, bases, meta, inner_k, passthrough, key, label, features, seed, parallelism)
+    return model.predict(score, keep)

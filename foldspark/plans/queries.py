@@ -517,3 +517,55 @@ def config_overlay(spark, sf_dir):
     IO.write_table(best.coalesce(1), path, "json")
     given = IO.read_config(spark, path)
     return IO.overlay(spark, given, {**IO.DEFAULT_PARAMS, "model": "RandomForest", "threshold": "0.5"})
+
+
+# ---------------------------------------------------------------- learned plans (rows-only; small learner settings)
+from foldspark.plans import experiment as XP  # noqa: E402
+from foldspark.sources.io import DEFAULT_PARAMS  # noqa: E402
+
+LIGHT = dict(n_estimators=5, k=3, inner_k=3, parallelism=8)
+
+
+@register("stacking_holdout")
+def stacking_holdout(spark, sf_dir):
+    """G8/G9 + F: tuned stack with passthrough on the churn hold-out (predictions per test row)."""
+    from foldspark.plans.tuning import stacking_config
+    df = churn_clean(spark, sf_dir)
+    cfg = stacking_config(DEFAULT_PARAMS, LIGHT["n_estimators"], XP.ExperimentConfig(**LIGHT))
+    return XP.evaluate_holdout(df, churn_roles(df), cfg)
+
+
+@register("oof_probabilities")
+def oof_probabilities(spark, sf_dir):
+    """Out-of-fold probabilities of two base learners over the churn training split."""
+    from pyspark.ml.functions import array_to_vector
+    df = churn_clean(spark, sf_dir)
+    h = D.stratified_holdout(df).withColumn("hfold", F.when(F.col("split") == "test", F.lit(0)).otherwise(F.lit(1)))
+    x = XP.prepared(h, churn_roles(df), "hfold", [0])
+    train = x.filter(F.col("role") == "train").withColumn("features", array_to_vector("features"))
+    bases = [L.RandomForest(5, 6), L.Boosted(5, 3, 0.2, "depth", name="XGBoost")]
+    return G.oof_predict(train, bases, inner_k=3, parallelism=8)
+
+
+@register("gain_importance")
+def gain_importance(spark, sf_dir):
+    """L2 + L4: booster gain importance on the transformed, oversampled training split, per original column."""
+    from foldspark.operators.prep import feature_names
+    df = churn_clean(spark, sf_dir)
+    roles = churn_roles(df)
+    h = D.stratified_holdout(df).withColumn("hfold", F.when(F.col("split") == "test", F.lit(0)).otherwise(F.lit(1)))
+    st = E.fit_prep(h, roles, "hfold", [0])
+    x = XP.prepared(h, roles, "hfold", [0])
+    train = XP.training_rows(x, 0.6, 3, 42)
+    booster = L.fit(train, L.Boosted(10, 4, 0.05, "depth", name="XGBoost"))
+    g = EX.gain_importance(booster, feature_names(st), fold_id=0)
+    return EX.by_original(g.withColumnRenamed("source_column", "original_feature"), "importance")
+
+
+@register("roc_report")
+def roc_report(spark, sf_dir):
+    """Step-5 report: ROC curve points of six hold-out models."""
+    from foldspark.plans.explanation import roc_report as rr
+    df = churn_clean(spark, sf_dir)
+    out = rr(df, churn_roles(df), DEFAULT_PARAMS, XP.ExperimentConfig(**{**LIGHT, "inner_k": 2}))
+    return round_doubles(out["roc_points"])
