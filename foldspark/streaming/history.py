@@ -1,0 +1,55 @@
+"""Following a search history as it is written (A7 + J4 on a stream).
+
+The reference has no streaming operator: its only incremental artefact is the
+search history, rewritten after every candidate so that a crash keeps the
+finished ones.  Here that history is a parquet folder that ``run_search``
+appends to (one batch per candidate or batch of candidates).
+``follow_best_so_far`` reads the folder as a Structured Streaming source and
+keeps the early-stopping state per search with ``applyInPandasWithState``:
+best score, candidates without improvement and whether the search has
+stopped.  The state per search is three numbers, whatever the history length.
+"""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+HISTORY_SCHEMA = "search string, iteration int, status string, score double"
+OUT_SCHEMA = "search string, iteration int, status string, score double, best double, no_improve_count int"
+STATE_SCHEMA = "best double, no_improve int, stopped boolean, last_iteration int"
+
+
+def follow_best_so_far(spark: SparkSession, path: str, min_delta: float = 1e-4, patience: int = 6) -> DataFrame:
+    """Streaming DataFrame of state-machine rows for every history row that arrives, per search."""
+    src = spark.readStream.schema(HISTORY_SCHEMA).parquet(path)
+
+    def step(key, pdfs, state):
+        if state.exists:
+            best, ni, stopped, last = state.get
+        else:
+            best, ni, stopped, last = -math.inf, 0, False, 0
+        rows = pd.concat(list(pdfs)).sort_values("iteration")
+        out = []
+        for it, st, sc in zip(rows["iteration"], rows["status"], rows["score"]):
+            if stopped or it <= last:
+                continue
+            last = int(it)
+            if st == "failed":
+                out.append((key[0], int(it), "failed", None, best, ni))
+                continue
+            if sc > best + min_delta:
+                best, ni, s = float(sc), 0, "best"
+            else:
+                ni, s = ni + 1, "no_improvement"
+            out.append((key[0], int(it), s, float(sc), best, ni))
+            if ni >= patience:
+                stopped = True
+        state.update((best, ni, stopped, last))
+        yield pd.DataFrame(out, columns=["search", "iteration", "status", "score", "best", "no_improve_count"])
+
+    return src.groupBy("search").applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append",
+                                                        GroupStateTimeout.NoTimeout)

@@ -1,0 +1,27 @@
+"""Streaming follow of a search history equals the batch state machine."""
+import tempfile
+
+from foldspark.operators import search as J
+from foldspark.streaming.history import HISTORY_SCHEMA, follow_best_so_far
+from test_properties import HISTORY
+
+
+def test_follow_equals_batch(spark):
+    base = tempfile.mkdtemp(prefix="foldspark-stream-")
+    path, ckpt = f"{base}/history", f"{base}/ckpt"
+    rows = [("s1",) + r for r in HISTORY] + [("s2", 1, "ok", 0.5), ("s2", 2, "ok", 0.7)]
+    spark.createDataFrame(rows[:5], HISTORY_SCHEMA).write.mode("append").parquet(path)
+    q = (follow_best_so_far(spark, path).writeStream.format("memory").queryName("follow_hist")
+         .outputMode("append").option("checkpointLocation", ckpt).start())
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame(rows[5:], HISTORY_SCHEMA).write.mode("append").parquet(path)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted((r["search"], r["iteration"], r["status"], r["no_improve_count"])
+                 for r in spark.sql("SELECT * FROM follow_hist").collect())
+    h = spark.createDataFrame(rows, HISTORY_SCHEMA)
+    exp = sorted((r["search"], r["iteration"], r["status"], r["no_improve_count"])
+                 for r in J.best_so_far(h, ["search"]).collect())
+    assert got == exp
