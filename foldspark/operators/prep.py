@@ -80,10 +80,15 @@ def fit_prep(df: DataFrame, roles: Roles, fold: str = "fold", fold_ids=(0, 1, 2,
             F.count(F.lit(1)).alias("n"), F.count("value").alias("nn"),
             F.avg("value").alias("mu"), (F.var_pop("value") * F.count("value")).alias("m2"))
         if median == "auto":
-            median = "exact"  # callers at scale pass 'approx'; see EXACT_MEDIAN_ROW_LIMIT
+            # one small action (folds x columns rows): the largest training side decides the method
+            big = _sides(per, fold_ids, direct).groupBy("fold_id", "col_name").agg(F.sum("nn").alias("m")) \
+                .agg(F.max("m")).first()[0] or 0
+            median = "sorted" if big > EXACT_MEDIAN_ROW_LIMIT else "exact"
         if median == "exact":
             tr = _sides(num, fold_ids, direct)
             med = tr.groupBy("fold_id", "col_name").agg(F.percentile(F.col("value"), 0.5).alias("median"))
+        elif median == "sorted":
+            med = _sorted_median(_sides(num.filter(F.col("value").isNotNull()), fold_ids, direct))
         else:
             sk = num.filter(F.col("value").isNotNull()).groupBy("_fold", "col_name").agg(
                 F.kll_sketch_agg_double("value", kll_k).alias("sk"))
@@ -121,6 +126,19 @@ def fit_prep(df: DataFrame, roles: Roles, fold: str = "fold", fold_ids=(0, 1, 2,
     return PrepStats(numeric, vocab, roles, fold_ids)
 
 
+def _sorted_median(tr: DataFrame) -> DataFrame:
+    """Exact median without holding a group in one task: a distributed sort (``ordered_rank``)
+    gives every training value its rank; only the one or two middle ranks are kept."""
+    from foldspark.operators.rank import ordered_rank
+    keys = ["fold_id", "col_name"]
+    n = tr.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nn"))
+    r = ordered_rank(tr.select(*keys, "value"), keys, ["value"], out="_r")
+    k1 = F.floor((F.col("_nn") - 1) / 2) + 1
+    k2 = F.ceil((F.col("_nn") - 1) / 2) + 1
+    mid = r.join(F.broadcast(n), keys).filter((F.col("_r") == k1) | (F.col("_r") == k2))  # folds x columns rows
+    return mid.groupBy(*keys).agg(F.avg("value").alias("median"))
+
+
 def _wide_stats(stats: PrepStats) -> DataFrame:
     """One row per fold id: median/mean/std per numeric column, mode and sorted vocabulary per categorical column."""
     parts = []

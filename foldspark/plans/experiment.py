@@ -41,7 +41,7 @@ class ExperimentConfig:
     test_size: float = 0.2
     strict_default: bool = True          # step 1 predicts class 1 only when proba > 0.5
     parallelism: int = 4
-    median: str = "exact"
+    median: str = "auto"
     passthrough: bool = False
     models: tuple[str, ...] = ALL_MODELS
     meta: L.Logistic = field(default_factory=lambda: L.Logistic(C=1.0, max_iter=2000, name="meta"))

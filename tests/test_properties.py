@@ -211,3 +211,12 @@ def test_logistic_learns_real_signal(spark):
     pred = L.fit_predict(x.filter("split = 'train'"), x.filter("split = 'test'"), L.Logistic(C=10.0), ["row_id", "label"])
     auc = R.roc_auc(pred, []).collect()[0]["roc_auc"]
     assert auc > 0.7
+
+
+def test_sorted_median_equals_percentile(spark):
+    df = D.stratified_kfold(churn_clean(spark, SF_SMALL), k=5)
+    roles = churn_roles(df)
+    a = {(r[0], r[1]): r[2] for r in E.fit_prep(df, roles, "fold", [0, 1, 2]).numeric.select("fold_id", "col_name", "median").collect()}
+    b = {(r[0], r[1]): r[2] for r in E.fit_prep(df, roles, "fold", [0, 1, 2], median="sorted").numeric.select("fold_id", "col_name", "median").collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k] - b[k]) <= 1e-9 * max(1.0, abs(a[k])) for k in a)
