@@ -22,7 +22,7 @@ def score_counts(pred: DataFrame, by: list[str], proba: str = "proba", label: st
 
 
 def roc_auc(pred: DataFrame, by: list[str], proba: str = "proba", label: str = "label",
-            buckets: int = 1024, max_groups: int = 1024) -> DataFrame:
+            buckets: int = 256, max_groups: int = 1024) -> DataFrame:
     """AUC = (P*N - sum(pos * cum_neg) + sum(pos * neg) / 2) / (P*N), cum_neg over scores >= s."""
     s = descending_scan(score_counts(pred, by, proba, label), by, "score", ["pos", "neg"],
                         buckets=buckets, max_groups=max_groups)
@@ -35,7 +35,7 @@ def roc_auc(pred: DataFrame, by: list[str], proba: str = "proba", label: str = "
 
 
 def roc_points(pred: DataFrame, by: list[str], proba: str = "proba", label: str = "label",
-               drop_intermediate: bool = True, buckets: int = 1024, max_groups: int = 1024) -> DataFrame:
+               drop_intermediate: bool = True, buckets: int = 256, max_groups: int = 1024) -> DataFrame:
     """(fpr, tpr, threshold) at each distinct score, descending, plus the origin.
 
     With ``drop_intermediate`` a point is kept when it is the first or last one

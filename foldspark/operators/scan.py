@@ -21,12 +21,22 @@ from pyspark.sql import functions as F
 from foldspark.operators.rank import BROADCAST_ROW_LIMIT
 
 
-def descending_scan(d: DataFrame, by: list[str], score: str, cols: list[str], buckets: int = 1024,
-                    lo: float = 0.0, hi: float = 1.0, max_groups: int = 1024) -> DataFrame:
+def descending_scan(d: DataFrame, by: list[str], score: str, cols: list[str], buckets: int = 256,
+                    lo: float = 0.0, hi: float = 1.0, max_groups: int = 1024, adaptive: bool = True) -> DataFrame:
+    """``adaptive``: bin edges are approximate quantiles of the distinct scores of each group
+    (a mergeable sketch), so a crowded score range is split as finely as a sparse one;
+    otherwise fixed-width bins over [lo, hi] (scores outside go to the two end bins)."""
     by = list(by)
-    width = (hi - lo) / buckets
-    bkt = F.least(F.greatest(F.floor((F.col(score) - F.lit(lo)) / F.lit(width)), F.lit(-1)), F.lit(buckets))
-    b = d.withColumn("_b", bkt.cast("int"))
+    if adaptive:
+        qs = [i / buckets for i in range(1, buckets)]
+        edges = d.groupBy(*by).agg(F.percentile_approx(F.col(score), qs, 10 * buckets).alias("_edges"))
+        edges = F.broadcast(edges) if max_groups * buckets <= BROADCAST_ROW_LIMIT else edges
+        b = (d.join(edges, by) if by else d.withColumn("_one", F.lit(1)).join(edges.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+        b = b.withColumn("_b", F.size(F.filter("_edges", lambda e: e <= F.col(score))).cast("int")).drop("_edges")
+    else:
+        width = (hi - lo) / buckets
+        bkt = F.least(F.greatest(F.floor((F.col(score) - F.lit(lo)) / F.lit(width)), F.lit(-1)), F.lit(buckets))
+        b = d.withColumn("_b", bkt.cast("int"))
     top = F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.col(score))
     t = b.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols], top.alias("_top"))
     wb = Window.partitionBy(*by).orderBy(F.col("_b").desc())
