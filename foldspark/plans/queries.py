@@ -569,3 +569,17 @@ def roc_report(spark, sf_dir):
     df = churn_clean(spark, sf_dir)
     out = rr(df, churn_roles(df), DEFAULT_PARAMS, XP.ExperimentConfig(**{**LIGHT, "inner_k": 2}))
     return round_doubles(out["roc_points"])
+
+
+@register("tree_contributions")
+def tree_contributions_q(spark, sf_dir):
+    """Per-row additive contributions of a booster on 500 sampled test rows, mean |.| per feature."""
+    from pyspark.ml.functions import array_to_vector
+    from foldspark.operators.contrib import tree_contributions
+    df = churn_clean(spark, sf_dir)
+    h = D.stratified_holdout(df).withColumn("hfold", F.when(F.col("split") == "test", F.lit(0)).otherwise(F.lit(1)))
+    x = XP.prepared(h, churn_roles(df), "hfold", [0])
+    booster = L.fit(XP.training_rows(x, 0.6, 3, 42), L.Boosted(10, 4, 0.05, "depth", name="XGBoost"))
+    test = x.filter(F.col("role") == "val").withColumn("features", array_to_vector("features"))
+    c = tree_contributions(booster, EX.row_sample(test, 500))
+    return EX.mean_abs_contribution(c, ["feature_idx"])

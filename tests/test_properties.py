@@ -220,3 +220,46 @@ def test_sorted_median_equals_percentile(spark):
     b = {(r[0], r[1]): r[2] for r in E.fit_prep(df, roles, "fold", [0, 1, 2], median="sorted").numeric.select("fold_id", "col_name", "median").collect()}
     assert a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) <= 1e-9 * max(1.0, abs(a[k])) for k in a)
+
+
+def test_tree_shap_sums_to_margin_and_matches_brute_force(spark):
+    from itertools import combinations
+    from math import factorial
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from foldspark.operators import learners as L
+    from foldspark.operators.contrib import gbt_trees, tree_contributions
+    rng = np.random.default_rng(1)
+    X_ = rng.normal(size=(300, 4))
+    y_ = ((X_[:, 0] + 0.5 * X_[:, 1] * X_[:, 2]) > 0).astype(int)
+    df = spark.createDataFrame([(i, int(y_[i]), X_[i].tolist()) for i in range(300)], "row_id int, label int, x array<double>")
+    df = df.withColumn("features", array_to_vector("x"))
+    m = L.fit(df, L.Boosted(4, 3, 0.3, "depth"))
+    sub = df.filter("row_id < 12")
+    c = tree_contributions(m, sub)
+    got = {(r[0], r[1]): r[2] for r in c.collect()}
+    margin = {r[0]: r[1] for r in m.transform(sub).select("row_id", vector_to_array("rawPrediction")[1]).collect()}
+    for rid, mg in margin.items():
+        assert abs(sum(got[(rid, f)] for f in range(-1, 4)) - mg) < 1e-9
+    trees = gbt_trees(m)
+
+    def cond_exp(x, S, t, j=0):
+        if t["left"][j] < 0:
+            return t["value"][j]
+        d = t["feature"][j]
+        if d in S:
+            nxt = t["left"][j] if x[d] <= t["threshold"][j] else t["right"][j]
+            return cond_exp(x, S, t, nxt)
+        l, r = t["left"][j], t["right"][j]
+        return (t["cover"][l] * cond_exp(x, S, t, l) + t["cover"][r] * cond_exp(x, S, t, r)) / t["cover"][j]
+
+    for rid in range(3):
+        x = X_[rid]
+        for f in range(4):
+            others = [g for g in range(4) if g != f]
+            phi = 0.0
+            for k in range(4):
+                for S in combinations(others, k):
+                    wgt = factorial(k) * factorial(4 - k - 1) / factorial(4)
+                    for w, t in trees:
+                        phi += w * wgt * (cond_exp(x, set(S) | {f}, t) - cond_exp(x, set(S), t))
+            assert abs(phi - got[(rid, f)]) < 1e-9
