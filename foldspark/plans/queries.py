@@ -583,3 +583,32 @@ def tree_contributions_q(spark, sf_dir):
     test = x.filter(F.col("role") == "val").withColumn("features", array_to_vector("features"))
     c = tree_contributions(booster, EX.row_sample(test, 500))
     return EX.mean_abs_contribution(c, ["feature_idx"])
+
+
+# A logistic-regression search space for the learned search query.
+LOGISTIC_SPACE = {"C": ("loguniform", 0.05, 20.0), "class_weight": [None, "balanced"]}
+
+
+@register("search_run")
+def search_run(spark, sf_dir):
+    """J1, J2, J5-J7 with learners: 6 sampled logistic settings, each scored by 3-fold CV (mean F1) on the
+    churn table with fold-batched preprocessing; early stopping with patience 2."""
+    import json as _json
+    from pyspark.ml.functions import array_to_vector
+    from foldspark.plans.experiment import prepared
+    df = churn_clean(spark, sf_dir)
+    f = D.stratified_kfold(df, k=3)
+    x = prepared(f, churn_roles(f), "fold", [0, 1, 2]).withColumn("features", array_to_vector("features"))
+
+    def evaluate(p):
+        spec = L.Logistic(C=float(p["C"]), class_weight=_json.loads(p["class_weight"]), max_iter=100)
+        parts = [L.fit_predict(x.filter((F.col("fold_id") == k) & (F.col("role") == "train")),
+                               x.filter((F.col("fold_id") == k) & (F.col("role") == "val")), spec, ["row_id", "label"])
+                 .withColumn("fold", F.lit(k)) for k in range(3)]
+        pred = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        m = H.metrics(pred, ["fold"], 0.5, strict=True, auc=False)
+        return {"score": m.agg(F.avg("f1")).first()[0]}
+
+    cands = [r.asDict() for r in J.sample_candidates(spark, LOGISTIC_SPACE, 6).orderBy("iteration").collect()]
+    hist = J.run_search(spark, cands, evaluate, patience=2, parallelism=2)
+    return hist.select("iteration", "status", "score", "no_improve_count", "params")
