@@ -612,3 +612,18 @@ def search_run(spark, sf_dir):
     cands = [r.asDict() for r in J.sample_candidates(spark, LOGISTIC_SPACE, 6).orderBy("iteration").collect()]
     hist = J.run_search(spark, cands, evaluate, patience=2, parallelism=2)
     return hist.select("iteration", "status", "score", "no_improve_count", "params")
+
+
+# ---------------------------------------------------------------- G stage 2: histogram root split
+from foldspark.operators import boost as BO  # noqa: E402
+
+SPLIT_FEATURES = ["SeniorFlag", "tenure", "n_orders", "AcctBal", "AvgOrder", "TotalCharges"]
+
+
+@register("boost_root_split")
+def boost_root_split(spark, sf_dir):
+    """Root split of a logistic booster from base score 0.5: g = 0.5 - y, h = 0.25, 16 quantile bins, lambda 1."""
+    df = churn_clean(spark, sf_dir).select("label", *SPLIT_FEATURES)
+    df = df.withColumn("g", F.lit(0.5) - F.col("label")).withColumn("h", F.lit(0.25))
+    edges = BO.quantile_edges(df, SPLIT_FEATURES, 16)
+    return round_doubles(BO.best_splits(BO.histogram(df, SPLIT_FEATURES, edges), edges))

@@ -689,3 +689,26 @@ given AS (SELECT 'model' AS key, model AS value FROM bst UNION ALL SELECT 'thres
 d AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _DEFAULTS.items())}) v(key, value))
 SELECT coalesce(d.key, g.key) AS key, CASE WHEN g.key IS NOT NULL THEN g.value ELSE d.value END AS value
 FROM d FULL JOIN given g ON d.key = g.key""")
+
+
+# ---------------------------------------------------------------- G stage 2
+_SPLIT_FEATURES = ['SeniorFlag', 'tenure', 'n_orders', 'AcctBal', 'AvgOrder', 'TotalCharges']
+_lf = " UNION ALL ".join(f"SELECT '{c}' AS col_name, {i} AS position, CAST({c} AS DOUBLE) AS value, 0.5 - label AS g, 0.25 AS h FROM churn_clean"
+                         for i, c in enumerate(_SPLIT_FEATURES))
+register("boost_root_split", ("churn_clean",), f"""
+WITH lf AS ({_lf}),
+ed AS (SELECT col_name, list_sort(list_distinct(quantile_cont(value, [{", ".join(repr(i / 16) for i in range(1, 16))}]))) AS edges
+       FROM lf WHERE value IS NOT NULL GROUP BY col_name),
+b AS (SELECT lf.col_name, position, CASE WHEN value IS NULL THEN -1 ELSE len(list_filter(edges, lambda e: e < value)) END AS bin, g, h, edges
+      FROM lf JOIN ed ON lf.col_name = ed.col_name),
+hist AS (SELECT col_name, position, bin, sum(g) AS G, sum(h) AS H, any_value(edges) AS edges FROM b GROUP BY col_name, position, bin),
+tot AS (SELECT col_name, sum(G) AS Gt, sum(H) AS Ht FROM hist GROUP BY col_name),
+cum AS (SELECT col_name, position, bin, edges,
+               sum(G) OVER (PARTITION BY col_name ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS GL,
+               sum(H) OVER (PARTITION BY col_name ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS HL
+        FROM hist WHERE bin >= 0),
+c AS (SELECT cum.col_name, position, CAST(bin AS INT) AS bin, edges[bin + 1] AS threshold,
+             GL * GL / (HL + 1.0) + (Gt - GL) * (Gt - GL) / (Ht - HL + 1.0) - Gt * Gt / (Ht + 1.0) AS gain
+      FROM cum JOIN tot ON cum.col_name = tot.col_name WHERE bin < len(edges))
+SELECT col_name, position, bin, round(threshold, 6) AS threshold, round(gain, 6) AS gain FROM (
+  SELECT *, row_number() OVER (PARTITION BY col_name ORDER BY gain DESC, bin ASC) AS r FROM c) x WHERE r = 1""")
