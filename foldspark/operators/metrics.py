@@ -72,10 +72,26 @@ def metrics(pred: DataFrame, by: list[str], threshold: float = 0.5, strict: bool
 
 
 def attach(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
-    """Left join on ``by``; with no keys ``other`` is one row, joined on a constant key (broadcast, bounded)."""
+    """Left join on ``by``.  Without keys both sides are small aggregates (one row per
+    threshold / feature on the left, one row on the right): they are stacked and the
+    right side's values spread with a window over that tiny union - no join at all."""
     if by:
         return df.join(other, by, "left")
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(other.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    extra = [c for c in other.columns if c not in df.columns]
+    u = df.withColumn("_src", F.lit(0)).unionByName(other.select(*extra).withColumn("_src", F.lit(1)),
+                                                    allowMissingColumns=True)
+    whole = Window.partitionBy()
+    u = u.select(*[c for c in df.columns], *[F.max(F.when(F.col("_src") == 1, F.col(c))).over(whole).alias(c) for c in extra],
+                 "_src")
+    return u.filter(F.col("_src") == 0).drop("_src")
+
+
+def one_row(df: DataFrame) -> dict:
+    """Collect a one-row aggregate (a scalar result, bounded by construction)."""
+    rows = df.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("expected exactly one row")
+    return rows[0].asDict()
 
 
 def fold_scores_long(m: DataFrame, by: list[str], metrics_: tuple[str, ...] = METRICS) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.metrics import attach
+from foldspark.operators.metrics import one_row
 from foldspark.operators.scan import descending_scan
 
 
@@ -46,7 +46,11 @@ def roc_points(pred: DataFrame, by: list[str], proba: str = "proba", label: str
     s = descending_scan(score_counts(pred, by, proba, label), by, "score", ["pos", "neg"],
                         buckets=buckets, max_groups=max_groups)
     tot = s.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    pts = attach(s, tot, by)
+    if by:
+        pts = s.join(tot, by)
+    else:  # one group: its two totals are scalars
+        t = one_row(tot)
+        pts = s.withColumn("P", F.lit(t["P"]).cast("bigint")).withColumn("N", F.lit(t["N"]).cast("bigint"))
     is_last = F.col("next_pos").isNull()
     keep = F.col("is_first") | is_last | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     if drop_intermediate:

@@ -31,7 +31,11 @@ def descending_scan(d: DataFrame, by: list[str], score: str, cols: list[str], bu
         qs = [i / buckets for i in range(1, buckets)]
         edges = d.groupBy(*by).agg(F.percentile_approx(F.col(score), qs, 10 * buckets).alias("_edges"))
         edges = F.broadcast(edges) if max_groups * buckets <= BROADCAST_ROW_LIMIT else edges
-        b = (d.join(edges, by) if by else d.withColumn("_one", F.lit(1)).join(edges.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+        if by:
+            b = d.join(edges, by)
+        else:  # one group: at most ``buckets`` edges, as a literal
+            e = edges.first()["_edges"] or []
+            b = d.withColumn("_edges", F.array(*[F.lit(float(v)) for v in e]).cast("array<double>"))
         b = b.withColumn("_b", F.size(F.filter("_edges", lambda e: e <= F.col(score))).cast("int")).drop("_edges")
     else:
         width = (hi - lo) / buckets
