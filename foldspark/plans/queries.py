@@ -627,3 +627,16 @@ def boost_root_split(spark, sf_dir):
     df = df.withColumn("g", F.lit(0.5) - F.col("label")).withColumn("h", F.lit(0.25))
     edges = BO.quantile_edges(df, SPLIT_FEATURES, 16)
     return round_doubles(BO.best_splits(BO.histogram(df, SPLIT_FEATURES, edges), edges))
+
+
+@register("booster_oof")
+def booster_oof(spark, sf_dir):
+    """G3 stage 2 + G7: one batched histogram booster fit for all 3 folds of the document-quality table
+    (8 rounds, depth 3); out-of-fold probabilities."""
+    dq = X.doc_quality(spark, sf_dir)
+    ex = D.expand_folds(D.stratified_kfold(dq, k=3), 3).withColumn(
+        "features", F.array(F.col("uniq_ratio"), F.col("alpha_ratio"), F.log1p(F.col("n_words").cast("double")),
+                            F.col("toxic").cast("double")))
+    m = BO.fit_booster(ex.filter(F.col("role") == "train"), ["fold_id"], n_rounds=8, max_depth=3, rate=0.2)
+    return m.predict(ex.filter(F.col("role") == "val"), ["fold_id", "row_id", "label"]).select(
+        "fold_id", "row_id", "label", "proba")

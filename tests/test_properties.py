@@ -263,3 +263,18 @@ def test_tree_shap_sums_to_margin_and_matches_brute_force(spark):
                     for w, t in trees:
                         phi += w * wgt * (cond_exp(x, set(S) | {f}, t) - cond_exp(x, set(S), t))
             assert abs(phi - got[(rid, f)]) < 1e-9
+
+
+def test_batched_booster_equals_separate_and_learns(spark):
+    from foldspark.operators.boost import fit_booster
+    dq = X.doc_quality(spark, SF_MID)
+    ex = D.expand_folds(D.stratified_kfold(dq, k=3), 3).withColumn(
+        "features", F.array(F.col("uniq_ratio"), F.col("alpha_ratio"), F.log1p(F.col("n_words").cast("double"))))
+    tr = ex.filter("role = 'train'")
+    both = fit_booster(tr.filter("fold_id < 2"), ["fold_id"], n_rounds=3, max_depth=2)
+    one = fit_booster(tr.filter("fold_id = 0"), ["fold_id"], n_rounds=3, max_depth=2)
+    for tb, to in zip(both.trees, one.trees):
+        for a, b in zip(tb[(0,)], to[(0,)]):
+            assert np.allclose(a, b)
+    p = both.predict(ex.filter("role = 'val' AND fold_id < 2"), ["fold_id", "row_id", "label"])
+    assert all(r["roc_auc"] > 0.85 for r in R.roc_auc(p, ["fold_id"]).collect())
