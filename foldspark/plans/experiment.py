@@ -43,6 +43,7 @@ class ExperimentConfig:
     parallelism: int = 4
     median: str = "auto"
     passthrough: bool = False
+    booster: str = "mllib"               # 'batched': boosted base models of all folds grown in the same jobs
     models: tuple[str, ...] = ALL_MODELS
     meta: L.Logistic = field(default_factory=lambda: L.Logistic(C=1.0, max_iter=2000, name="meta"))
     bases: list | None = None
@@ -71,15 +72,35 @@ def training_rows(x: DataFrame, ratio: float | None, k_nn: int, seed: int) -> Da
     return cut_lineage(out.withColumn("features", array_to_vector("features")))
 
 
+def _batched_boost(train: DataFrame, val: DataFrame, spec: L.Boosted) -> DataFrame:
+    """One fit for every fold: the booster groups by fold id."""
+    import math
+    from pyspark.ml.functions import vector_to_array
+    from foldspark.operators.boost import fit_booster
+    depth = spec.max_depth if spec.growth == "depth" else max(1, math.ceil(math.log2(spec.num_leaves)))
+    tr = train.withColumn("features", vector_to_array("features"))
+    va = val.withColumn("features", vector_to_array("features"))
+    m = fit_booster(tr, ["fold_id"], n_rounds=spec.n_estimators, max_depth=depth, rate=spec.learning_rate)
+    return m.predict(va, ["fold_id", "row_id", "label"]).select(
+        "row_id", "label", "proba", F.lit(spec.name).alias("model"), F.col("fold_id").alias("fold"))
+
+
 def _fold_tasks(train: DataFrame, val: DataFrame, fold_ids, cfg: ExperimentConfig):
     bases = cfg.base_specs()
     want = set(cfg.models)
     tasks = []
+    if cfg.booster == "batched":
+        for spec in bases:
+            if isinstance(spec, L.Boosted) and (spec.name in want or "SoftVoting" in want):
+                tasks.append(lambda s=spec: _batched_boost(train, val, s))
+        bases_per_fold = [b for b in bases if not isinstance(b, L.Boosted)]
+    else:
+        bases_per_fold = bases
     for fid in fold_ids:
         tr = train.filter(F.col("fold_id") == fid)
         va = val.filter(F.col("fold_id") == fid)
         need_bases = want & (set(BASE_NAMES) | {"SoftVoting"})
-        for spec in bases:
+        for spec in bases_per_fold:
             if spec.name in need_bases or "SoftVoting" in want:
                 tasks.append(lambda s=spec, tr=tr, va=va, fid=fid:
                              L.fit_predict(tr, va, s, ["row_id", "label"]).withColumn("model", F.lit(s.name))
