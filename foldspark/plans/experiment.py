@@ -43,7 +43,7 @@ class ExperimentConfig:
     parallelism: int = 4
     median: str = "auto"
     passthrough: bool = False
-    booster: str = "mllib"               # 'batched': boosted base models of all folds grown in the same jobs
+    booster: str = "mllib"               # 'batched': boosters and extra trees of all folds grown in the same jobs
     models: tuple[str, ...] = ALL_MODELS
     meta: L.Logistic = field(default_factory=lambda: L.Logistic(C=1.0, max_iter=2000, name="meta"))
     bases: list | None = None
@@ -85,6 +85,16 @@ def _batched_boost(train: DataFrame, val: DataFrame, spec: L.Boosted) -> DataFra
         "row_id", "label", "proba", F.lit(spec.name).alias("model"), F.col("fold_id").alias("fold"))
 
 
+def _batched_extra_trees(train: DataFrame, val: DataFrame, spec: L.ExtraTrees) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+    from foldspark.operators.boost import fit_extra_trees
+    tr = train.withColumn("features", vector_to_array("features"))
+    va = val.withColumn("features", vector_to_array("features"))
+    m = fit_extra_trees(tr, ["fold_id"], n_trees=spec.n_estimators, max_depth=L._depth(spec.max_depth))
+    return m.predict(va, ["fold_id", "row_id", "label"]).select(
+        "row_id", "label", "proba", F.lit(spec.name).alias("model"), F.col("fold_id").alias("fold"))
+
+
 def _fold_tasks(train: DataFrame, val: DataFrame, fold_ids, cfg: ExperimentConfig):
     bases = cfg.base_specs()
     want = set(cfg.models)
@@ -93,7 +103,9 @@ def _fold_tasks(train: DataFrame, val: DataFrame, fold_ids, cfg: ExperimentConfi
         for spec in bases:
             if isinstance(spec, L.Boosted) and (spec.name in want or "SoftVoting" in want):
                 tasks.append(lambda s=spec: _batched_boost(train, val, s))
-        bases_per_fold = [b for b in bases if not isinstance(b, L.Boosted)]
+            if isinstance(spec, L.ExtraTrees) and (spec.name in want or "SoftVoting" in want):
+                tasks.append(lambda s=spec: _batched_extra_trees(train, val, s))
+        bases_per_fold = [b for b in bases if not isinstance(b, (L.Boosted, L.ExtraTrees))]
     else:
         bases_per_fold = bases
     for fid in fold_ids:

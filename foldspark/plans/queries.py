@@ -640,3 +640,15 @@ def booster_oof(spark, sf_dir):
     m = BO.fit_booster(ex.filter(F.col("role") == "train"), ["fold_id"], n_rounds=8, max_depth=3, rate=0.2)
     return m.predict(ex.filter(F.col("role") == "val"), ["fold_id", "row_id", "label"]).select(
         "fold_id", "row_id", "label", "proba")
+
+
+@register("extra_trees_oof")
+def extra_trees_oof(spark, sf_dir):
+    """G1 stage 2 + G7: batched extremely randomised trees (10 trees, depth 6) for all 3 folds of the
+    document-quality table; out-of-fold probabilities."""
+    dq = X.doc_quality(spark, sf_dir)
+    ex = D.expand_folds(D.stratified_kfold(dq, k=3), 3).withColumn(
+        "features", F.array(F.col("uniq_ratio"), F.col("alpha_ratio"), F.log1p(F.col("n_words").cast("double")),
+                            F.col("toxic").cast("double")))
+    m = BO.fit_extra_trees(ex.filter(F.col("role") == "train"), ["fold_id"], n_trees=10, max_depth=6)
+    return m.predict(ex.filter(F.col("role") == "val"), ["fold_id", "row_id", "label"])

@@ -278,3 +278,18 @@ def test_batched_booster_equals_separate_and_learns(spark):
             assert np.allclose(a, b)
     p = both.predict(ex.filter("role = 'val' AND fold_id < 2"), ["fold_id", "row_id", "label"])
     assert all(r["roc_auc"] > 0.85 for r in R.roc_auc(p, ["fold_id"]).collect())
+
+
+def test_batched_extra_trees_equal_separate_and_learn(spark):
+    from foldspark.operators.boost import fit_extra_trees
+    dq = X.doc_quality(spark, SF_MID)
+    ex = D.expand_folds(D.stratified_kfold(dq, k=3), 3).withColumn(
+        "features", F.array(F.col("uniq_ratio"), F.col("alpha_ratio"), F.log1p(F.col("n_words").cast("double"))))
+    tr = ex.filter("role = 'train'")
+    both = fit_extra_trees(tr.filter("fold_id < 2"), ["fold_id"], n_trees=3, max_depth=3)
+    one = fit_extra_trees(tr.filter("fold_id = 0"), ["fold_id"], n_trees=3, max_depth=3)
+    for t in range(3):
+        for a, b in zip(both.trees[((0,), t)], one.trees[((0,), t)]):
+            assert np.allclose(a, b)
+    p = both.predict(ex.filter("role = 'val' AND fold_id < 2"), ["fold_id", "row_id", "label"])
+    assert all(r["roc_auc"] > 0.85 for r in R.roc_auc(p, ["fold_id"]).collect())
