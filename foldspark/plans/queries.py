@@ -652,3 +652,29 @@ def extra_trees_oof(spark, sf_dir):
                             F.col("toxic").cast("double")))
     m = BO.fit_extra_trees(ex.filter(F.col("role") == "train"), ["fold_id"], n_trees=10, max_depth=6)
     return m.predict(ex.filter(F.col("role") == "val"), ["fold_id", "row_id", "label"])
+
+
+@register("search_candidates")
+def search_candidates(spark, sf_dir):
+    """J1 + J2-style scoring: the 20 sampled candidates and their mean F1 over folds on the prediction table."""
+    cand = J.sample_candidates(spark, THRESHOLD_SPACE, 20, seed=42).select(
+        "iteration", F.regexp_replace("model", '"', "").alias("model"), "threshold")
+    pred = X.scored_orders(spark, sf_dir)
+    j = pred.join(F.broadcast(cand), "model")  # 20 candidate rows: bounded by max_iter
+    c = j.groupBy("iteration", "model", "threshold", "fold").agg(
+        F.count_if((F.col("label") == 1) & (F.col("proba") >= F.col("threshold"))).alias("tp"),
+        F.count_if((F.col("label") == 0) & (F.col("proba") >= F.col("threshold"))).alias("fp"),
+        F.count_if((F.col("label") == 1) & (F.col("proba") < F.col("threshold"))).alias("fn"))
+    f1 = H.metric_columns(F.lit(0), "fp", "fn", "tp")["f1"]
+    return round_doubles(c.groupBy("iteration", "model", "threshold").agg(F.avg(f1).alias("f1_mean"),
+                                                                         F.stddev_pop(f1).alias("f1_std")))
+
+
+@register("ablation_run")
+def ablation_run(spark, sf_dir):
+    """K1-K6 with small learner settings: per-fold metrics of the six variants (2 folds)."""
+    from foldspark.plans import ablation as K
+    df = churn_clean(spark, sf_dir)
+    cfg = XP.ExperimentConfig(n_estimators=3, k=2, inner_k=2, parallelism=8)
+    m, _ = K.run_variants(df, churn_roles(df), DEFAULT_PARAMS, cfg)
+    return round_doubles(m)

@@ -712,3 +712,19 @@ c AS (SELECT cum.col_name, position, CAST(bin AS INT) AS bin, edges[bin + 1] AS
       FROM cum JOIN tot ON cum.col_name = tot.col_name WHERE bin < len(edges))
 SELECT col_name, position, bin, round(threshold, 6) AS threshold, round(gain, 6) AS gain FROM (
   SELECT *, row_number() OVER (PARTITION BY col_name ORDER BY gain DESC, bin ASC) AS r FROM c) x WHERE r = 1""")
+
+
+register("search_candidates", ("scored_orders",), f"""
+WITH cand AS (
+  SELECT CAST(i AS INT) AS iteration,
+         ['ExtraTrees', 'RandomForest', 'XGBoost', 'LightGBM'][CAST(floor({_uni("'42'", "'model'", "CAST(i AS VARCHAR)")} * 4) AS INT) + 1] AS model,
+         exp({_LA!r} + {_uni("'42'", "'threshold'", "CAST(i AS VARCHAR)")} * {(_LB - _LA)!r}) AS threshold
+  FROM range(1, 21) t(i)),
+c AS (SELECT iteration, cand.model, threshold, fold,
+             CAST(count_if(label = 1 AND proba >= threshold) AS DOUBLE) AS tp,
+             CAST(count_if(label = 0 AND proba >= threshold) AS DOUBLE) AS fp,
+             CAST(count_if(label = 1 AND proba < threshold) AS DOUBLE) AS fn
+      FROM scored_orders s JOIN cand ON s.model = cand.model GROUP BY iteration, cand.model, threshold, fold),
+f AS (SELECT *, CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END AS f1 FROM c)
+SELECT iteration, model, round(threshold, 6) AS threshold, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std
+FROM f GROUP BY iteration, model, threshold""")
