@@ -61,13 +61,30 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     return counts.select("*", *[c.alias(k) for k, c in metric_columns().items()])
 
 
+def confusion_counts(sc: DataFrame, by: list[str], threshold: float = 0.5, strict: bool = False) -> DataFrame:
+    """H1 from the collapsed (by, score, pos, neg) table: no second pass over the predictions."""
+    s = F.col("score")
+    p = (s > threshold) if strict else (s >= threshold)
+    return sc.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(~p, F.col("neg"))), F.lit(0)).alias("tn"),
+        F.coalesce(F.sum(F.when(p, F.col("neg"))), F.lit(0)).alias("fp"),
+        F.coalesce(F.sum(F.when(~p, F.col("pos"))), F.lit(0)).alias("fn"),
+        F.coalesce(F.sum(F.when(p, F.col("pos"))), F.lit(0)).alias("tp"))
+
+
 def metrics(pred: DataFrame, by: list[str], threshold: float = 0.5, strict: bool = False,
             proba: str = "proba", label: str = "label", auc: bool = True) -> DataFrame:
-    """H1-H9 per group: tn fp fn tp + the eight metrics."""
-    from foldspark.operators.roc import roc_auc
-    m = with_metrics(confusion(pred, by, threshold, strict, proba, label))
+    """H1-H9 per group: tn fp fn tp + the eight metrics.
+
+    One aggregate collapses the predictions to (group, distinct score) counts; the confusion
+    matrix and the AUC both read that small table (its exchange is reused), so the prediction
+    table is scanned once.
+    """
+    from foldspark.operators.roc import roc_auc_counts, score_counts
+    sc = score_counts(pred, by, proba, label)
+    m = with_metrics(confusion_counts(sc, by, threshold, strict))
     if auc:
-        m = attach(m, roc_auc(pred, by, proba, label), by)
+        m = attach(m, roc_auc_counts(sc, by), by)
     return m
 
 

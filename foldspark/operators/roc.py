@@ -24,8 +24,12 @@ def score_counts(pred: DataFrame, by: list[str], proba: str = "proba", label: st
 def roc_auc(pred: DataFrame, by: list[str], proba: str = "proba", label: str = "label",
             buckets: int = 256, max_groups: int = 1024) -> DataFrame:
     """AUC = (P*N - sum(pos * cum_neg) + sum(pos * neg) / 2) / (P*N), cum_neg over scores >= s."""
-    s = descending_scan(score_counts(pred, by, proba, label), by, "score", ["pos", "neg"],
-                        buckets=buckets, max_groups=max_groups)
+    return roc_auc_counts(score_counts(pred, by, proba, label), by, buckets, max_groups)
+
+
+def roc_auc_counts(sc: DataFrame, by: list[str], buckets: int = 256, max_groups: int = 1024) -> DataFrame:
+    """AUC from the collapsed (by, score, pos, neg) table."""
+    s = descending_scan(sc, by, "score", ["pos", "neg"], buckets=buckets, max_groups=max_groups)
     g = s.groupBy(*by).agg(
         F.sum(F.col("pos").cast("double")).alias("P"), F.sum(F.col("neg").cast("double")).alias("N"),
         F.sum(F.col("pos").cast("double") * F.col("cum_neg")).alias("pc"),
