@@ -139,8 +139,3 @@ def objective(m: DataFrame, metric: str) -> Column:
     if metric not in OBJECTIVES:
         raise ValueError(f"unknown metric {metric!r}; known: {sorted(OBJECTIVES)}")
     return F.col(OBJECTIVES[metric])
-
-
-def rank_models(m: DataFrame, metric: str, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.col(metric).desc())
-    return m.withColumn("rank", F.rank().over(w))

@@ -68,7 +68,8 @@ def roc_points(pred: DataFrame, by: list[str], proba: str = "proba", label: str
 
 
 def trapezoid_area(points: DataFrame, by: list[str]) -> DataFrame:
-    """Area under (fpr, tpr) points by the trapezoid rule (a check of H8 against H10)."""
+    """Area under (fpr, tpr) points by the trapezoid rule (a check of H8 against H10; curve points
+    are few per group after dropping collinear ones)."""
     from pyspark.sql import Window
     w = Window.partitionBy(*by).orderBy("fpr", "tpr")
     seg = points.select(*by, "fpr", "tpr", F.lag("fpr").over(w).alias("f0"), F.lag("tpr").over(w).alias("t0"))
