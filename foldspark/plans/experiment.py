@@ -74,13 +74,16 @@ def training_rows(x: DataFrame, ratio: float | None, k_nn: int, seed: int) -> Da
 
 def _batched_boost(train: DataFrame, val: DataFrame, spec: L.Boosted) -> DataFrame:
     """One fit for every fold: the booster groups by fold id."""
-    import math
     from pyspark.ml.functions import vector_to_array
     from foldspark.operators.boost import fit_booster
-    depth = spec.max_depth if spec.growth == "depth" else max(1, math.ceil(math.log2(spec.num_leaves)))
+    from foldspark.operators.boost import fit_booster_leafwise
     tr = train.withColumn("features", vector_to_array("features"))
     va = val.withColumn("features", vector_to_array("features"))
-    m = fit_booster(tr, ["fold_id"], n_rounds=spec.n_estimators, max_depth=depth, rate=spec.learning_rate)
+    if spec.growth == "leaf":
+        m = fit_booster_leafwise(tr, ["fold_id"], n_rounds=spec.n_estimators, num_leaves=spec.num_leaves,
+                                 rate=spec.learning_rate)
+    else:
+        m = fit_booster(tr, ["fold_id"], n_rounds=spec.n_estimators, max_depth=spec.max_depth, rate=spec.learning_rate)
     return m.predict(va, ["fold_id", "row_id", "label"]).select(
         "row_id", "label", "proba", F.lit(spec.name).alias("model"), F.col("fold_id").alias("fold"))
 

@@ -293,3 +293,19 @@ def test_batched_extra_trees_equal_separate_and_learn(spark):
             assert np.allclose(a, b)
     p = both.predict(ex.filter("role = 'val' AND fold_id < 2"), ["fold_id", "row_id", "label"])
     assert all(r["roc_auc"] > 0.85 for r in R.roc_auc(p, ["fold_id"]).collect())
+
+
+def test_leafwise_booster_batched_equals_separate_and_loss_falls(spark):
+    from foldspark.operators.boost import fit_booster_leafwise
+    dq = X.doc_quality(spark, SF_MID)
+    ex = D.expand_folds(D.stratified_kfold(dq, k=3), 3).withColumn(
+        "features", F.array(F.col("uniq_ratio"), F.col("alpha_ratio"), F.log1p(F.col("n_words").cast("double"))))
+    tr = ex.filter("role = 'train'")
+    both = fit_booster_leafwise(tr.filter("fold_id < 2"), ["fold_id"], n_rounds=2, num_leaves=4)
+    one = fit_booster_leafwise(tr.filter("fold_id = 0"), ["fold_id"], n_rounds=2, num_leaves=4)
+    for tb, to in zip(both.trees, one.trees):
+        for a, b in zip(tb[(0,)], to[(0,)]):
+            assert np.allclose(a, b)
+    loss = F.avg(-(F.col("label") * F.log("proba") + (1 - F.col("label")) * F.log(1 - F.col("proba"))))
+    p = one.predict(tr.filter("fold_id = 0"), ["fold_id", "row_id", "label"]).agg(loss).first()[0]
+    assert p < math.log(2) - 0.05   # below the loss of the 0.5 base score
