@@ -27,10 +27,12 @@ def wilcoxon(long: DataFrame, target: str, metric: str = "f1", alternative: str
     An absent target gives an empty table; no non-zero difference gives NULLs and a note.
     """
     lf = long.filter(F.col("metric") == metric)
-    t = lf.filter(F.col(model) == target).select(fold, F.col(value).alias("_tv"))
-    o = lf.filter(F.col(model) != target).select(F.col(model).alias("Compared_with"), fold, value)
-    d = o.join(t, fold).select("Compared_with", fold, (F.col("_tv") - F.col(value)).alias("d"))
-    comps = o.select("Compared_with").distinct()
+    # the target's score of each fold next to every model's, read in one pass (no self-join)
+    tv = F.max(F.when(F.col(model) == target, F.col(value))).over(Window.partitionBy(fold))
+    x = lf.select(F.col(model).alias("Compared_with"), fold, value, tv.alias("_tv"))
+    d = x.filter((F.col("Compared_with") != target) & F.col("_tv").isNotNull()).select(
+        "Compared_with", fold, (F.col("_tv") - F.col(value)).alias("d"))
+    comps = d.select("Compared_with").distinct()      # absent target: no comparison rows
     nz = d.filter(F.col("d") != 0)
     w = Window.partitionBy("Compared_with").orderBy(F.abs("d"))
     ties = Window.partitionBy("Compared_with", F.abs(F.col("d")))

@@ -309,3 +309,8 @@ def test_leafwise_booster_batched_equals_separate_and_loss_falls(spark):
     loss = F.avg(-(F.col("label") * F.log("proba") + (1 - F.col("label")) * F.log(1 - F.col("proba"))))
     p = one.predict(tr.filter("fold_id = 0"), ["fold_id", "row_id", "label"]).agg(loss).first()[0]
     assert p < math.log(2) - 0.05   # below the loss of the 0.5 base score
+
+
+def test_wilcoxon_absent_target_is_empty(spark):
+    long = spark.createDataFrame([("A", 0, "f1", 0.5), ("B", 0, "f1", 0.4)], "model string, fold int, metric string, value double")
+    assert I.wilcoxon(long, "T", "f1").count() == 0
