@@ -128,15 +128,28 @@ def _fold_tasks(train: DataFrame, val: DataFrame, fold_ids, cfg: ExperimentConfi
     return tasks
 
 
+def _timed(task):
+    """Driver clock around a fit task (fits are the actions), kept as a literal column."""
+    import time
+
+    def run():
+        t0 = time.time()
+        df = task()
+        return df.withColumn("runtime_seconds", F.lit(round(time.time() - t0, 3)))
+    return run
+
+
 def _predictions(train, val, fold_ids, cfg) -> DataFrame:
-    parts = L.run_parallel(_fold_tasks(train, val, fold_ids, cfg), cfg.parallelism)
+    parts = L.run_parallel([_timed(t) for t in _fold_tasks(train, val, fold_ids, cfg)], cfg.parallelism)
     pred = parts[0]
     for p in parts[1:]:
         pred = pred.unionByName(p)
-    pred = cut_lineage(pred.select("model", F.col("fold").cast("int").alias("fold"), "row_id", "label", "proba"))
+    pred = cut_lineage(pred.select("model", F.col("fold").cast("int").alias("fold"), "row_id", "label", "proba",
+                                   "runtime_seconds"))
     if "SoftVoting" in cfg.models:
         sv = G.soft_vote(pred.filter(F.col("model").isin(*BASE_NAMES)), ["fold", "row_id", "label"])
-        pred = pred.unionByName(sv.select("model", "fold", "row_id", "label", "proba"))
+        pred = pred.unionByName(sv.select("model", "fold", "row_id", "label", "proba",
+                                          F.lit(None).cast("double").alias("runtime_seconds")))
     keep = [m for m in cfg.models]
     return pred.filter(F.col("model").isin(*keep))
 
@@ -161,6 +174,11 @@ def evaluate_holdout(df: DataFrame, roles: Roles, cfg: ExperimentConfig) -> Data
     return _predictions(train, val, [0], cfg)
 
 
+def runtimes(pred: DataFrame) -> DataFrame:
+    """Fit seconds per (model, fold); not part of any compare (wall-clock)."""
+    return pred.groupBy("model", "fold").agg(F.max("runtime_seconds").alias("runtime_seconds"))
+
+
 def cv_report(pred: DataFrame, cfg: ExperimentConfig) -> tuple[DataFrame, DataFrame]:
     """Per-fold metrics and mean/std summary (sample std, as step 1)."""
     m = H.metrics(pred, ["model", "fold"], 0.5, strict=cfg.strict_default)
