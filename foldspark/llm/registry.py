@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldspark.llm import line_dedup
 from foldspark.llm.common import table
+from foldspark.llm.language_id import identify
 from foldspark.llm.packing import pack_documents
+from foldspark.llm.sentence_spans import repeated_spans
 from foldspark.llm.setjoin import jaccard_components
 from foldspark.llm.token_files import token_files
 
@@ -14,6 +17,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -22,4 +29,14 @@ def op9_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_best_fit_packing, op9_shingle_jaccard)}
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op4_best_fit_packing, op8_sentence_spans,
+                                   op9_shingle_jaccard, op10_line_dedup)}
+ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
