@@ -9,11 +9,13 @@ is one row per document with the size of its set and the smallest doc_id of its
    2-subset of its prefix; a large one emits the members of its prefix as entries of inverted lists, and so do the
    small sets that a large one can reach by size.  The boundary is the size at which the summed cost is least,
    from the histogram of all set sizes.
-3. The lists are sorted by key and streamed; keys held by one document vanish.  A set that finds too few shared
-   members in its whole prefix cannot link and leaves.  Every shared key names its smallest document, so the sets to
-   compare meet in a cluster per such document instead of once per key.
+3. The lists are sorted by key and streamed; keys held by one set vanish.  A set that finds too few shared members
+   in its whole prefix cannot link and leaves.  Every shared key names its smallest holder, so the sets to compare
+   meet in a cluster per such holder instead of once per key; crowded holders are passed over as far as exactness allows.
 4. A cluster is cut by size class and into blocks of bounded bytes; only blocks whose sizes can link are paired.
-   A task counts the overlaps of a block pair exactly and keeps one star for each connected set, not all pairs.
+   A task scans the lists of a block pair: it counts the shared prefix members of each pair against the number that a
+   link needs, and keeps one star for each connected set, not all pairs.  Connected candidates are a cluster again;
+   now whole sets are compared in the same way, and the overlaps decide exactly.
 5. Connected components of the stars by alternating star contraction.
 
 No pair of documents is ever a row; hot keys cost a row per holder; nothing is capped.
@@ -98,9 +100,13 @@ def required_overlap(a: np.ndarray, b: np.ndarray, numerator: int = 75) -> np.nd
     return -(-numerator * (a + b) // (100 + numerator))
 
 
+#: Large sets must share one prefix member, and one more for every so many of their members.
+_SHARE = 8
+
+
 def _shared(size: int) -> int:
     """Prefix members that two large sets must share: grows slowly with the size."""
-    return 1 + size // 20
+    return 1 + size // _SHARE
 
 
 def prefix_length(size: int, shared: int, numerator: int = 75) -> int:
@@ -190,7 +196,7 @@ def candidate_keys(classes: DataFrame, boundary: int, numerator: int = 75) -> Da
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(hub, class_id, listed) for every key held by two classes or more; hub is the smallest of its holders.
+    """(key, hub, class_id, listed) for every key held by two classes or more; hub is the smallest of its holders.
 
     Rows are sorted by key and streamed: the state is one key, however many documents hold it.
     """
@@ -213,67 +219,60 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             hub = np.where(run >= 0, hubs[np.maximum(run, 0)], last[2]) if len(begins) and last is not None else (
                 hubs[run] if len(begins) else np.full(len(key), last[2]))
             keep = np.where(run >= 0, (lengths > 1)[np.maximum(run, 0)], True) if len(begins) else np.ones(len(key), bool)
-            out_hub, out_doc, out_kind = hub[keep], doc[keep], listed[keep]
+            found = [key[keep], hub[keep], doc[keep], listed[keep]]
             if goes_on and not told:
-                out_hub, out_doc = np.r_[last[2], out_hub], np.r_[last[2], out_doc]
-                out_kind = np.r_[last[1], out_kind]
+                found = [np.r_[x, y] for x, y in zip((last[0], last[2], last[2], last[1]), found, strict=True)]
             alone = len(begins) > 0 and lengths[-1] == 1
             last, told = (key[-1], listed[-1], hub[-1]), not alone
-            yield pa.RecordBatch.from_arrays([pa.array(out_hub), pa.array(out_doc), pa.array(out_kind.astype(bool))],
-                                             names=["hub", "class_id", "listed"])
+            found[3] = found[3].astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["key", "hub", "class_id", "listed"])
 
-    return ordered.mapInArrow(runs, "hub long, class_id long, listed boolean")
+    return ordered.mapInArrow(runs, "key long, hub long, class_id long, listed boolean")
 
 
-def _size_class(size: np.ndarray, numerator: int) -> np.ndarray:
-    """Sets that can link lie in the same class or in neighbouring ones."""
-    return np.floor(np.log(size) / np.log(100 / numerator) + 1e-9).astype(np.int64)
+def overlaps(sides: np.ndarray, members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two blocks and the exact sizes of the intersections of their sets.
 
-
-def forest_of_run(ids: np.ndarray, sides: np.ndarray, members: list[np.ndarray], numerator: int = 75) -> list[tuple]:
-    """Links of one block pair as stars, one for each connected set.  sides: 0 and 1 name the blocks, 2 a block paired with itself."""
-    sizes = np.array([len(m) for m in members], np.int64)
-    n = len(ids)
-    left = np.flatnonzero(sides != 1)
-    right = np.flatnonzero(sides != 0)
-    flat = np.concatenate(members)
-    _, code, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), sizes)
+    sides: 0 and 1 name the blocks, 2 is a block paired with itself.
+    """
+    n = len(members)
+    left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+    _, code, seen = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(m) for m in members])
     common = seen[code] > 1
-    code, owner = code[common], owner[common]
-    used, code = np.unique(code, return_inverse=True)
-    overlap = np.zeros((len(left), len(right)), np.float32)   # exact: counts below 2^24
-    place = np.full(n, -1)
-    place[left] = np.arange(len(left))
-    side = np.full(n, -1)
-    side[right] = np.arange(len(right))
+    used, code = np.unique(code[common], return_inverse=True)
     order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
+    code, owner = code[order], owner[common][order]
+    place, side = np.full(n, -1), np.full(n, -1)
+    place[left], side[right] = np.arange(len(left)), np.arange(len(right))
+    shared = np.zeros((len(left), len(right)), np.float32)   # exact: counts below 2^24
     step = max(64, (1 << 22) // max(1, n))
     for begin in range(0, len(used), step):
         a, b = np.searchsorted(code, [begin, begin + step])
-        c, o = code[a:b] - begin, owner[a:b]
         width = min(step, len(used) - begin)
-        x = np.zeros((len(left), width), np.float32)
-        rows = place[o]
-        x[rows[rows >= 0], c[rows >= 0]] = 1
-        if len(left) == n and len(right) == n:
-            y = x
-        else:
-            y = np.zeros((len(right), width), np.float32)
-            rows = side[o]
-            y[rows[rows >= 0], c[rows >= 0]] = 1
-        overlap += x @ y.T
-    linked = overlap >= required_overlap(sizes[left][:, None], sizes[right][None, :], numerator)
+        sides_of = []
+        for rows, height in ((place, len(left)), (side, len(right))):
+            x = np.zeros((height, width), np.float32)
+            at = rows[owner[a:b]]
+            x[at[at >= 0], code[a:b][at >= 0] - begin] = 1
+            sides_of.append(x)
+        shared += sides_of[0] @ sides_of[1].T
+    return left, right, shared
+
+
+def stars(ids: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """One star for each connected set of the links between two blocks."""
+    n = len(ids)
     near = np.zeros((n, n), dtype=bool)
     near[np.ix_(left, right)] = linked
     near |= near.T
+    near[np.arange(n), np.arange(n)] = False
     edges, free = [], near.any(axis=0)
-    while free.any():                       # one star for each component of the block pair
+    while free.any():
         seed = int(np.argmax(free))
         reached = np.zeros(n, dtype=bool)
-        front = np.array([seed])
         reached[seed] = True
+        front = np.array([seed])
         while len(front):
             fresh = near[front].any(axis=0) & ~reached
             reached |= fresh
@@ -283,93 +282,183 @@ def forest_of_run(ids: np.ndarray, sides: np.ndarray, members: list[np.ndarray],
     return edges
 
 
-def links(classes: DataFrame, documents: DataFrame, words: int = 5, numerator: int = 75,
-          block_bytes: int = 4 << 20, block_rows: int = 512, list_cost: float = 3.0) -> DataFrame:
-    """(a, b): links between classes that connect exactly what all links connect."""
-    histogram = {r["n_shingles"]: r["n"] for r in classes.filter("n_shingles <= 256").groupBy("n_shingles")
-                 .agg(F.count("*").alias("n")).collect()}   # 256 rows at most
-    boundary = choose_boundary(histogram, numerator, list_cost)
-    met = shared_keys(candidate_keys(classes, boundary, numerator))
-    met = materialise(met.groupBy("class_id", "hub").agg(
-        F.sum(F.when(F.col("listed"), 1).otherwise(0)).alias("listed"),
-        F.sum(F.when(F.col("listed"), 0).otherwise(1)).alias("subsets")), "met")
-    sizes = classes.select("class_id", "n_shingles")
-    # a set must share at least as many prefix members as the smaller partner's prefix guarantees
-    floor = F.lit(1) + F.floor(F.ceil(F.col("n_shingles") * numerator / 100) / 20)
-    found = met.groupBy("class_id").agg(F.sum("listed").alias("total")).join(sizes, "class_id") \
-        .withColumn("enough", F.col("total") >= floor)
-    members = met.join(found, "class_id").filter((F.col("subsets") > 0) | F.col("enough")) \
-        .select("hub", "class_id", "n_shingles")
-    members = materialise(members, "members")
+def block_pairs(members: DataFrame, numerator: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """Cut clusters ``members (cluster, class_id, n_shingles)`` and pair what can link by size.
+
+    Sets that can link lie in the same size class or in neighbouring ones (a class spans the ratio of the threshold).
+    (cluster, class_id, low, i, next, j, side): the set takes part in the pair of block ``i`` of size class ``low`` and
+    block ``j`` of the same (next = 0) or the next class (next = 1).
+    """
     ratio = float(np.log(100 / numerator))
-    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / ratio + 1e-9)
-    members = members.withColumn("class", size_class)
-    # blocks of a cluster and size class, by rows and by bytes of the largest set of the class
+    members = members.withColumn("class", F.floor(F.log(F.col("n_shingles").cast("double")) / ratio + 1e-9))
     rows = F.least(F.lit(block_rows), F.greatest(F.lit(16), F.floor(F.lit(block_bytes) / (F.max("n_shingles") * 8))))
-    counts = members.groupBy("hub", "class").agg(F.count("*").alias("n"), rows.alias("per_block"))
-    counts = counts.withColumn("blocks", F.ceil(F.col("n") / F.col("per_block"))).select("hub", "class", "blocks", "n")
-    around = counts.select("hub", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below")) \
-        .join(counts, ["hub", "class"], "full_outer")
-    around = around.join(counts.select("hub", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above")),
-                         ["hub", "class"], "left").filter("blocks is not null")
-    around = around.filter("n > 1 or below is not null or above is not null")
-    placed = members.join(around, ["hub", "class"]).withColumn(
-        "block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
-    # a task per pair of blocks: (class, i) with (class, j >= i) and with every block of the next class
-    pairs = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
-            F.col("class").alias("low"), F.least(F.col("block"), j).alias("i"), F.lit(0).alias("next"),
-            F.greatest(F.col("block"), j).alias("j"),
-            F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1).alias("side"))),
-        F.when(F.col("above").isNull(), F.array().cast("array<struct<low:bigint,i:bigint,next:int,j:bigint,side:int>>"))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.struct(
-            F.col("class").alias("low"), F.col("block").alias("i"), F.lit(1).alias("next"), j.alias("j"),
-            F.lit(0).alias("side")))),
-        F.when(F.col("below").isNull(), F.array().cast("array<struct<low:bigint,i:bigint,next:int,j:bigint,side:int>>"))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: F.struct(
-            (F.col("class") - 1).alias("low"), j.alias("i"), F.lit(1).alias("next"), F.col("block").alias("j"),
-            F.lit(1).alias("side")))))
-    tasks = placed.select("class_id", "hub", F.explode(pairs).alias("p")).select("class_id", "hub", "p.*")
-    texts = documents.select(F.col("doc_id").cast("long").alias("holder"), F.col("text").cast("binary").alias("text"))
+    counts = members.groupBy("cluster", "class").agg(F.count("*").alias("n"), F.ceil(F.count("*") / rows).alias("blocks"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [text_shingles(t.as_buffer() if t.is_valid else b"", words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([digest(f) for f in found], pa.int64()),
-                 pa.array([f.tobytes() for f in found], pa.binary())], names=["holder", "digest_a", "members"])
+    def neighbour(step: int, name: str) -> DataFrame:
+        return counts.select("cluster", (F.col("class") + step).alias("class"), F.col("blocks").alias(name))
 
-    wanted = placed.select("class_id").distinct().join(classes.select("class_id", "holder", "digest_a"), "class_id")
-    wanted = materialise(wanted, "wanted")
-    sets = texts.join(wanted.select("holder").distinct(), "holder", "left_semi") \
-        .mapInArrow(hashed, "holder long, digest_a long, members binary") \
-        .join(wanted, ["holder", "digest_a"]).dropDuplicates(["class_id"]).select("class_id", "members")
-    work = tasks.join(sets, "class_id").repartition("hub", "low", "i", "next", "j") \
-        .sortWithinPartitions("hub", "low", "i", "next", "j", "side", "class_id")
+    around = counts.join(neighbour(1, "below"), ["cluster", "class"], "left") \
+        .join(neighbour(-1, "above"), ["cluster", "class"], "left") \
+        .filter("n > 1 or below is not null or above is not null")
+    placed = members.join(around, ["cluster", "class"]) \
+        .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    kind = "array<struct<low:bigint,i:bigint,next:int,j:bigint,side:int>>"
 
-    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sides, members = None, [], [], []
+    def pairs(count, low, i, step, j, side):
+        made = F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), lambda other: F.struct(
+            low.alias("low"), i(other).alias("i"), F.lit(step).alias("next"), j(other).alias("j"),
+            side(other).alias("side")))
+        return F.when(F.col(count).isNull(), F.array().cast(kind)).otherwise(made.cast(kind))
+
+    own, block = F.col("class"), F.col("block")
+    tasks = F.concat(
+        pairs("blocks", own, lambda o: F.least(block, o), 0, lambda o: F.greatest(block, o),
+              lambda o: F.when(block == o, 2).when(block < o, 0).otherwise(1)),
+        pairs("above", own, lambda o: block, 1, lambda o: o, lambda o: F.lit(0)),
+        pairs("below", own - 1, lambda o: o, 1, lambda o: block, lambda o: F.lit(1)))
+    return placed.select("cluster", "class_id", F.explode(tasks).alias("p")).select("cluster", "class_id", "p.*")
+
+
+def compare(tasks: DataFrame, sets: DataFrame, rule) -> DataFrame:
+    """(a, b): stars of the pairs of each task that satisfy ``rule(left, right, shared)``.
+
+    ``sets`` is (class_id, members, facts): 64-bit members and integers that the rule needs, as binary.
+    """
+    pair = ["cluster", "low", "i", "next", "j"]
+    work = tasks.join(sets, "class_id").repartition(*pair).sortWithinPartitions(*pair, "side", "class_id") \
+        .select(*pair, "side", "class_id", "members", "facts")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sides, members, facts = None, [], [], [], []
 
-        def close() -> list[tuple]:
-            if len(ids) < 2:
+        def close() -> list[tuple[int, int]]:
+            if len(ids) < 2 or sides[0] == sides[-1] != 2:
                 return []
-            return forest_of_run(np.array(ids), np.array(sides), members, numerator)
+            left, right, shared = overlaps(np.array(sides), members)
+            told = np.array(facts, np.int64)
+            return stars(np.array(ids), left, right, rule(told[left][:, None], told[right][None], shared))
 
         for batch in batches:
-            edges: list[tuple] = []
+            edges: list[tuple[int, int]] = []
             columns = [batch.column(i).to_pylist() for i in range(7)]
-            for at, (*pair, side, class_id) in enumerate(zip(*columns, strict=True)):
-                if pair != key:
+            for at, (*now, side, class_id) in enumerate(zip(*columns, strict=True)):
+                if now != key:
                     edges += close()
-                    key, ids, sides, members = pair, [], [], []
+                    key, ids, sides, members, facts = now, [], [], [], []
                 ids.append(class_id)
                 sides.append(side)
                 members.append(np.frombuffer(batch.column(7)[at].as_py(), np.uint64))
+                facts.append(np.frombuffer(batch.column(8)[at].as_py(), np.int64))
             yield _edge_batch(edges)
         yield _edge_batch(close())
 
-    work = work.select("hub", "low", "i", "next", "j", "side", "class_id", "members")
-    return work.mapInArrow(forests, "a long, b long").distinct()
+    return work.mapInArrow(runs, "a long, b long").distinct()
+
+
+def _candidate_rule(numerator: int):
+    """Pairs that share as many prefix members as a link needs.  Facts: size, prefix length, last prefix member.
+
+    Up to the smaller of the two last prefix members both prefixes are complete, and a link leaves at most the rest of
+    the set that ends there outside.
+    """
+
+    def rule(a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        need = required_overlap(a[..., 0], b[..., 0], numerator)
+        rest = np.where(a[..., 2].astype(np.uint64) <= b[..., 2].astype(np.uint64),
+                        a[..., 0] - a[..., 1], b[..., 0] - b[..., 1])
+        least, most = np.minimum(a[..., 0], b[..., 0]), np.maximum(a[..., 0], b[..., 0])
+        return (shared >= np.maximum(1, need - rest)) & (100 * least >= numerator * most)
+
+    return rule
+
+
+def _link_rule(numerator: int):
+    def rule(a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        return shared >= required_overlap(a[..., 0], b[..., 0], numerator)
+
+    return rule
+
+
+def candidate_clusters(classes: DataFrame, numerator: int, block_bytes: int, block_rows: int,
+                       list_cost: float) -> DataFrame:
+    """(class_id, cluster): sets that can link with another one, connected by what can link."""
+    histogram = {r["n_shingles"]: r["n"] for r in classes.filter("n_shingles <= 256").groupBy("n_shingles")
+                 .agg(F.count("*").alias("n")).collect()}   # 256 rows at most
+    boundary = choose_boundary(histogram, numerator, list_cost)
+    met = materialise(shared_keys(candidate_keys(classes, boundary, numerator)), "shared-keys")
+    # what a set shares: at most its prefix.  A set that shares less than the smaller partner's prefix guarantees goes
+    probes = met.filter("listed").groupBy("class_id").agg(F.collect_list("key").alias("keys"),
+                                                          F.collect_list("hub").alias("hubs"))
+    need = F.lit(1) + F.floor(F.ceil(F.col("n_shingles") * numerator / 100) / _SHARE)
+    probes = probes.join(classes.select("class_id", "n_shingles"), "class_id").filter(F.size("keys") >= need)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).offsets.to_numpy()
+            keys, hubs = batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy()
+            sizes, members, facts, heads, shares = batch.column(3).to_pylist(), [], [], [], []
+            for size, a, b, top in zip(sizes, at[:-1], at[1:], batch.column(4).to_pylist(), strict=True):
+                members.append(np.unique(keys[a:b]).tobytes())
+                facts.append(np.array([size, prefix_length(size, _shared(size), numerator), top], np.int64).tobytes())
+                head, share = np.unique(hubs[a:b], return_counts=True)
+                heads.append(head)
+                shares.append(share)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(3), pa.array(heads, pa.list_(pa.int64())),
+                 pa.array(shares, pa.list_(pa.int64())), pa.array(members, pa.binary()), pa.array(facts, pa.binary())],
+                names=["class_id", "n_shingles", "hubs", "shares", "members", "facts"])
+
+    # the last prefix member: prefixes ascend as unsigned numbers, and the list-prefix may be shorter than the one stored
+    size = F.col("n_shingles")
+    length = F.least(size, size - F.ceil(size * numerator / 100) + 1 + F.floor(size / _SHARE)).cast("int")
+    tops = classes.select("class_id", F.element_at("prefix", length).alias("top"))
+    probes = probes.join(tops, "class_id").select("class_id", "keys", "hubs", "n_shingles", "top")
+    probes = materialise(probes.mapInArrow(
+        pack, "class_id long, n_shingles long, hubs array<long>, shares array<long>, members binary, facts binary"),
+        "probes")
+    # a second prefix: linked sets share ``need`` keys, so they meet among all but ``need - 1`` keys of each in any common
+    # order; the order is by how many sets a hub draws, so the crowded hubs are left out first
+    drawn = probes.select("class_id", "n_shingles", F.explode(F.arrays_zip("hubs", "shares")).alias("h")) \
+        .select("class_id", "n_shingles", F.col("h.hubs").alias("cluster"), F.col("h.shares").alias("share"))
+    crowd = drawn.groupBy("cluster").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    of_set = Window.partitionBy("class_id")
+    ordered = of_set.orderBy("crowd", "cluster").rowsBetween(Window.unboundedPreceding, -1)
+    members = drawn.join(crowd, "cluster").withColumn("before", F.coalesce(F.sum("share").over(ordered), F.lit(0))) \
+        .withColumn("all", F.sum("share").over(of_set)).filter(F.col("before") <= F.col("all") - need) \
+        .select("cluster", "class_id", "n_shingles")
+    members = materialise(members, "members")
+    met_lists = compare(block_pairs(members, numerator, block_rows, block_bytes),
+                        probes.select("class_id", "members", "facts"), _candidate_rule(numerator))
+    met_subsets = met.filter("not listed and hub <> class_id").select(
+        F.col("class_id").alias("a"), F.col("hub").alias("b")).distinct()
+    found = connected_components(met_lists.unionByName(met_subsets))
+    return found.select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
+
+
+def links(classes: DataFrame, documents: DataFrame, words: int = 5, numerator: int = 75,
+          block_bytes: int = 4 << 20, block_rows: int = 1024, list_cost: float = 3.0) -> DataFrame:
+    """(a, b): links between classes that connect exactly what all links connect."""
+    clusters = candidate_clusters(classes, numerator, block_bytes, block_rows, list_cost)
+    members = materialise(clusters.join(classes.select("class_id", "n_shingles", "holder", "digest_a"), "class_id"),
+                          "clusters")
+    texts = documents.select(F.col("doc_id").cast("long").alias("holder"), F.col("text").cast("binary").alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_shingles(t.as_buffer() if t.is_valid else b"", words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([digest(f) for f in found], pa.int64()),
+                 pa.array([f.tobytes() for f in found], pa.binary()),
+                 pa.array([np.array([len(f)], np.int64).tobytes() for f in found], pa.binary())],
+                names=["holder", "digest_a", "members", "facts"])
+
+    # the same plan at every size: the texts are dealt by document, the list of documents is never broadcast
+    sets = texts.hint("merge").join(members.select("holder").distinct().hint("merge"), "holder", "left_semi") \
+        .mapInArrow(hashed, "holder long, digest_a long, members binary, facts binary") \
+        .join(members.select("class_id", "holder", "digest_a"), ["holder", "digest_a"]) \
+        .dropDuplicates(["class_id"]).select("class_id", "members", "facts")
+    tasks = block_pairs(members.select("cluster", "class_id", "n_shingles"), numerator, block_rows, block_bytes)
+    return compare(tasks, sets, _link_rule(numerator))
 
 
 def _edge_batch(edges: list[tuple]) -> pa.RecordBatch:
