@@ -8,7 +8,8 @@ lines of fewer than ``min_words`` words are never removed.  A line goes if an ea
 1. Equal lines meet by a 128-bit hash; only the hash, place and pigeonhole keys of a line are shuffled.
 2. One edit leaves the first or the last ``m`` words as they are, for any ``m`` up to half the words.  Lines that
    share neither with another line cannot have a copy and leave (``m`` depends on the power of two below the words).
-3. Of the rest, all variants are emitted as hashed keys: the line itself and the line without each one of its words.
+3. Of the rest, all variants are emitted as hashed keys: the line itself and the line without each one of its words
+   (outside a shared half: an edit cannot lie in it).
    Equal variants with the same gap differ in one word at most; a line that equals a variant of another lacks one.
 4. For each key only the earliest holder is kept (aggregated before the shuffle); every other holder is compared with it,
    so a key held by many lines costs a row per holder, never a pair of holders.  The words are compared exactly.
@@ -31,7 +32,7 @@ def split_lines(text: Column) -> Column:
 
 def line_words(line: Column) -> Column:
     """Words between spaces and tabs."""
-    return F.filter(F.split(line, "[ \t]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, "\t", " "), " "), "")
 
 
 def _hashes(line: Column) -> tuple[Column, Column]:
@@ -42,46 +43,59 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _half_keys(hashed: Column, n: Column, level: Column) -> Column:
-    """Hashes of the first and of the last 2^(level-1) words."""
-    m = F.pow(F.lit(2), level - 1).cast("int")
-    return F.array(F.xxhash64(F.lit(1), level, F.slice(hashed, F.lit(1), m)),
-                   F.xxhash64(F.lit(2), level, F.slice(hashed, n - m + 1, m)))
+def _half_length(n: Column, below: Column) -> Column:
+    """Words of a half: half the power of two at or under ``n``, or half of that where ``below`` is 1."""
+    return F.pow(F.lit(2), F.floor(F.log2(n.cast("double")) + 1e-9) - 1 - below).cast("int")
+
+
+def _half_keys(words: Column, n: Column, m: Column) -> list[Column]:
+    """Hashes of the first and of the last ``m`` words."""
+    return [F.xxhash64(F.lit(1), m, F.slice(words, F.lit(1), m)), F.xxhash64(F.lit(2), m, F.slice(words, n - m + 1, m))]
 
 
 def distinct_lines(documents: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """(h1, h2, doc_id, line_no, n, halves): every different line with its earliest place and its keys of step 2."""
+    """(h1, h2, doc_id, line_no, n, halves): every different line with its earliest place and its keys of step 2.
+
+    A line of a power of two words also meets lines with one word less, whose halves are half as long: it has both
+    lengths' keys, first and last words in turn.
+    """
+    def read(line: Column) -> Column:   # once for each line: the words are used many times below
+        h1, h2 = _hashes(line)
+        return F.struct(h1.alias("h1"), h2.alias("h2"), line_words(line).alias("words"))
+
     lines = documents.filter("doc_id is not null and text is not null").select(
-        F.col("doc_id"), F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
-    lines = lines.withColumn("hashed", _word_hashes(line_words(F.col("line")))).withColumn("n", F.size("hashed")) \
-        .filter(F.col("n") >= min_words)
-    h1, h2 = _hashes(F.col("line"))
-    level = F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int")
-    at_edge = F.col("n") == F.pow(F.lit(2), level).cast("int")
-    halves = F.when(F.col("n") >= near_words, F.concat(
-        _half_keys(F.col("hashed"), F.col("n"), level),
-        F.when(at_edge, _half_keys(F.col("hashed"), F.col("n"), level - 1)).otherwise(F.array().cast("array<bigint>"))))
-    keyed = lines.select(h1.alias("h1"), h2.alias("h2"), "doc_id", "line_no", "n", halves.alias("halves"))
+        "doc_id", F.posexplode(F.transform(split_lines(F.col("text")), read)).alias("line_no", "line"))
+    lines = lines.select("doc_id", "line_no", "line.*").withColumn("n", F.size("words")).filter(F.col("n") >= min_words)
+    words, n = F.col("words"), F.col("n")
+    m, less = _half_length(n, F.lit(0)), _half_length(n, F.lit(1))
+    halves = F.when(n < near_words, None).when(n == 2 * m, F.array(*_half_keys(words, n, m), *_half_keys(words, n, less))) \
+        .otherwise(F.array(*_half_keys(words, n, m)))
+    keyed = lines.select("h1", "h2", "doc_id", "line_no", "n", halves.alias("halves"))
     return keyed.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"),
         F.first("halves").alias("halves")).select("h1", "h2", "first.doc_id", "first.line_no", "n", "halves")
 
 
 def near_candidates(distinct: DataFrame) -> DataFrame:
-    """Places of the lines that share a half with another line."""
-    halves = distinct.filter("halves is not null").select("doc_id", "line_no", F.explode("halves").alias("half"))
+    """(doc_id, line_no, first_gap, last_gap): lines that share a half with another, and where an edit can be."""
+    halves = distinct.filter("halves is not null").select(
+        "doc_id", "line_no", "n", F.posexplode("halves").alias("kind", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("holders")).filter("holders > 1").select("half")
-    return halves.join(shared, "half").select("doc_id", "line_no").distinct()
+    m = _half_length(F.col("n"), F.floor(F.col("kind") / 2))
+    first = F.col("kind") % 2 == 0
+    return halves.join(shared, "half").groupBy("doc_id", "line_no").agg(
+        F.min(F.when(first, m + 1).otherwise(1)).alias("first_gap"),
+        F.max(F.when(first, F.col("n")).otherwise(F.col("n") - m)).alias("last_gap"))
 
 
 def line_variants(lines: DataFrame) -> DataFrame:
     """(variant, left, gap, doc_id, line_no): the line (gap 0) and the line without its word number ``gap``."""
     hashed, n = F.col("hashed"), F.size("hashed")
     whole = F.struct(F.xxhash64("hashed").alias("variant"), n.alias("left"), F.lit(0).alias("gap"))
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+    without = F.transform(F.sequence(F.col("first_gap"), F.col("last_gap")), lambda i: F.struct(
         F.xxhash64(F.slice(hashed, F.lit(1), i - 1), F.slice(hashed, i + 1, n)).alias("variant"),
         (n - 1).alias("left"), i.alias("gap")))
-    rows = lines.select("doc_id", "line_no", _word_hashes(F.col("words")).alias("hashed"))
+    rows = lines.select("doc_id", "line_no", "first_gap", "last_gap", _word_hashes(F.col("words")).alias("hashed"))
     return rows.select("doc_id", "line_no", F.explode(F.concat(F.array(whole), without)).alias("v")) \
         .select("v.variant", "v.left", "v.gap", "doc_id", "line_no")
 
@@ -94,14 +108,16 @@ def _without(words: Column, gap: Column) -> Column:
 def near_copies(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no): first places of lines with an earlier line one word edit away."""
     wanted = materialise(near_candidates(distinct), "near-lines")
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers"))  # at most the lines of a document
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "first_gap", "last_gap")).alias("numbers"))  # at most the lines of a document
     texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    lines = texts.join(by_doc, "doc_id").select(
-        "doc_id", F.explode("numbers").alias("line_no"), split_lines(F.col("text")).alias("lines"))
+    # the same plan at every size: the texts are dealt by document, the list of lines is never broadcast
+    lines = texts.hint("merge").join(by_doc.hint("merge"), "doc_id").select(
+        "doc_id", F.inline("numbers"), split_lines(F.col("text")).alias("lines"))
     lines = lines.filter("line_no < size(lines)").select(
-        "doc_id", "line_no", line_words(F.element_at("lines", F.col("line_no") + 1)).alias("words"))
-    lines = materialise(lines.distinct(), "candidate-lines")
+        "doc_id", "line_no", "first_gap", "last_gap", line_words(F.element_at("lines", F.col("line_no") + 1)).alias("words"))
+    lines = materialise(lines.dropDuplicates(["doc_id", "line_no", "words"]), "candidate-lines")
     variants = materialise(line_variants(lines), "variants")
+    lines = lines.select("doc_id", "line_no", "words")
     # same words around the same gap: the earliest holder stands for the key
     gaps = variants.filter("gap > 0")
     leader = gaps.groupBy("variant", "left", "gap").agg(
@@ -143,7 +159,8 @@ def removed_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8)
     lines = documents.filter("doc_id is not null and text is not null").select(
         F.col("doc_id"), F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
     h1, h2 = _hashes(F.col("line"))
-    places = lines.filter(F.size(line_words(F.col("line"))) >= min_words).select(
+    # shorter lines have too few words; those left that are no line of step 1 find no partner
+    places = lines.filter(F.length("line") >= 2 * min_words - 1).select(
         "doc_id", "line_no", h1.alias("h1"), h2.alias("h2"))
     first = distinct.select("h1", "h2", F.col("doc_id").alias("kept_doc_id"), F.col("line_no").alias("kept_line_no"))
     again = places.join(first, ["h1", "h2"]).filter(
