@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foldspark.session import ensure_checkpoint_dir
@@ -55,3 +57,10 @@ def expand_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(ends[-1]) if len(ends) else 0
     shift = np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
     return np.arange(total, dtype=np.int64) + shift
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: a text, its copies and its results are in a worker's memory at once."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldspark.llm.common import slices
+
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -48,7 +50,7 @@ def context_counts(labelled: DataFrame, order: int = 3) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found: dict[str, dict[int, int]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = np.frombuffer(bytes(order) + normalise(text or ""), np.uint8).astype(np.int64)
@@ -221,7 +223,7 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t if t is not None and _LETTER.search(t) else None for t in batch.column(batch.num_columns - 1).to_pylist()]
             clear = [normalise(t) for t in texts if t is not None]
             names, chance, mean = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))

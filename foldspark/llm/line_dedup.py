@@ -172,7 +172,8 @@ def removed_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8)
 def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8) -> DataFrame:
     """The documents without the lines that go; all columns are kept, and ``n_chars`` follows the text if present."""
     gone = removed_lines(documents.select("doc_id", "text"), min_words, near_words)
-    by_doc = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
+    by_doc = materialise(gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone")),
+                         "gone-lines")
     joined = documents.join(by_doc, F.col("doc_id") == F.col("__doc"), "left")
     stays = F.filter(split_lines(F.col("text")), lambda line, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))

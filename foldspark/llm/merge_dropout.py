@@ -30,6 +30,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.llm.common import slices
+
 SPACE = "▁"
 _PARTS = re.compile(r" *[^ ]+| +")
 _MASK = (1 << 64) - 1
@@ -204,13 +206,6 @@ def _encoder(*parameters) -> Encoder:
     return _ENCODERS[parameters]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Smaller batches: texts, ids and decoded texts of a batch are in memory at once."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, rows):
-            yield batch.slice(begin, rows)
-
-
 def encode(documents: DataFrame, dropout: float = 0.1, seed: int = 42, variants: int = 4,
            model: str | None = None) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers."""
@@ -218,7 +213,7 @@ def encode(documents: DataFrame, dropout: float = 0.1, seed: int = 42, variants:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(*parameters)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = [None if t is None else own.ids(t, own.variant(d))
                      for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "ids"])
@@ -233,7 +228,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Decoder(MergeModel(path))
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = [None if i is None else own.text(i) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "text"])
 
@@ -248,7 +243,7 @@ def round_trip(documents: DataFrame, dropout: float = 0.1, seed: int = 42, varia
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Decoder(MergeModel(path))
-        for batch in _slices(batches):
+        for batch in slices(batches):
             ids = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([None if i is None else len(i) // 4 for i in ids], pa.int64()),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import materialise
+from foldspark.llm.common import materialise, slices
 from foldspark.llm.tokens import encoder, tokenizer_path
 
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,7 +43,7 @@ def document_pieces(documents: DataFrame, capacity: int = 2048, tokenizer: str |
 
         enc, end, width = encoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
         row_id = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = memoryview(enc.encode(text) + end)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import materialise, mix64
+from foldspark.llm.common import materialise, mix64, slices
 
 _END = re.compile(r"[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\S+")
@@ -95,15 +95,13 @@ def document_spans(documents: DataFrame, span_words: int = 20, long_words: int =
         F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for at in range(0, len(ids), 256):
-                found = [text_spans(t, span_words, long_words) for t in batch.column(1)[at:at + 256].to_pylist()]
-                own = np.repeat(ids[at:at + 256], [len(f[0]) for f in found])
-                key, begin, end = (np.concatenate([f[i] for f in found]) for i in range(3))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(own, pa.int64()), pa.array(begin.astype(np.int32)),
-                     pa.array(end.astype(np.int32))], names=["key", "doc_id", "begin", "end"])
+        for batch in slices(batches, 256):
+            found = [text_spans(t, span_words, long_words) for t in batch.column(1).to_pylist()]
+            own = np.repeat(batch.column(0).to_numpy(), [len(f[0]) for f in found])
+            key, begin, end = (np.concatenate([f[i] for f in found]) for i in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(own, pa.int64()), pa.array(begin.astype(np.int32)),
+                 pa.array(end.astype(np.int32))], names=["key", "doc_id", "begin", "end"])
 
     return rows.mapInArrow(spans, "key long, doc_id long, begin int, end int")
 
@@ -132,8 +130,8 @@ def repeated_spans(documents: DataFrame, span_words: int = 20, long_words: int =
 def remove_repeats(documents: DataFrame, span_words: int = 20, long_words: int = 24) -> DataFrame:
     """The documents without repeated passages; all columns are kept, and ``n_chars`` follows the text if present."""
     passages = repeated_spans(documents, span_words, long_words)
-    by_doc = passages.groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.sort_array(F.collect_list(F.struct("char_start", "char_end"))).alias("__gone"))
+    by_doc = materialise(passages.groupBy(F.col("doc_id").alias("__doc")).agg(
+        F.sort_array(F.collect_list(F.struct("char_start", "char_end"))).alias("__gone")), "passages")
     joined = documents.join(by_doc, F.col("doc_id") == F.col("__doc"), "left")
     # code points kept: the stretches between the passages
     starts = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda g: g["char_end"]))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import expand_ranges, materialise, mix64, shuffle_partitions
+from foldspark.llm.common import expand_ranges, materialise, mix64, slices
 from foldspark.llm.components import connected_components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd: has an inverse modulo 2^64
@@ -141,7 +141,7 @@ def shingle_sets(documents: DataFrame, words: int = 5, numerator: int = 75) -> D
         from pyspark import TaskContext
 
         row_id = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             sizes, first, second, prefixes = [], [], [], []
             for text in batch.column(1):
                 found = text_shingles(text.as_buffer() if text.is_valid else b"", words)
@@ -444,7 +444,7 @@ def links(classes: DataFrame, documents: DataFrame, words: int = 5, numerator: i
     texts = documents.select(F.col("doc_id").cast("long").alias("holder"), F.col("text").cast("binary").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [text_shingles(t.as_buffer() if t.is_valid else b"", words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([digest(f) for f in found], pa.int64()),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import shared_path, shuffle_partitions
+from foldspark.llm.common import shared_path, shuffle_partitions, slices
 from foldspark.llm.tokens import encoder, tokenizer_path
 
 BLOCK_SCHEMA = ("shard int, block int, first_id long, n_ids long, bits int, payload binary, "
@@ -94,7 +94,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
                  pa.array([lengths], pa.list_(pa.int64()))],
                 names=["shard", "block", "first_id", "n_ids", "bits", "payload", "doc_id", "doc_start", "doc_len"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc_ids.append(doc_id)
                 parts.append(enc.encode(text) + end)

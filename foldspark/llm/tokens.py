@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept by a worker (about 200 bytes each); beyond it words are encoded each time they occur, same result.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 700_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
