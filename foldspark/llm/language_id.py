@@ -84,6 +84,8 @@ class Model:
     def fit(cls, rows: dict[str, tuple[np.ndarray, np.ndarray]], order: int = 3) -> Model:
         """rows: language -> (grams, counts)."""
         languages = sorted(rows)
+        if not languages:
+            return cls([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32), order)
         grams = np.concatenate([rows[x][0] for x in languages] or [np.empty(0, np.int64)])
         seen = np.unique(np.r_[0, *(((grams >> (8 * i)) & 255) for i in range(order + 1))]).astype(np.int64)
         symbol = np.zeros(256, np.int64)

@@ -29,7 +29,7 @@ from foldspark.llm.common import materialise
 from foldspark.llm.vectors import matrices, packed_parts, shard_by_block, usable, work_rows
 
 #: Pruning factor of the registered query: recall 0.9 and more on the test tables.
-RELAX = 5.0
+RELAX = 1.5
 
 
 class VantageTree:
