@@ -111,13 +111,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pack_group(lengths: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """(sequence of each piece, whether it is final).  Without a certificate the pieces of the emptiest sequences,
-    a quarter of them and two at least, are released."""
+    half of them and two at least, are released."""
     place = best_fit_decreasing(lengths, capacity)
     n = int(place.max()) + 1
     final = np.ones(len(lengths), dtype=bool)
     if not last and n > lower_bound(lengths, capacity):
         used = np.bincount(place, weights=lengths, minlength=n)
-        loose = np.argsort(used, kind="stable")[:max(2, n // 4)]
+        loose = np.argsort(used, kind="stable")[:max(2, n // 2)]
         final = ~np.isin(place, loose[used[loose] < capacity])
     return place, final
 

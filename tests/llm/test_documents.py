@@ -159,7 +159,7 @@ def test_packing_in_many_groups_and_bounds(spark):
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 100, 3000)
     df = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "row_id long, piece int, length long")
-    out = packing.pack(df, 100, group_pieces=200).collect()
+    out = packing.pack(df, 100, group_pieces=1000).collect()
     assert len(out) == 3000
     sums = {}
     for r in out:
