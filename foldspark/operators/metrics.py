@@ -22,10 +22,15 @@ OBJECTIVES = {"f1": "f1", "balanced_accuracy": "balanced_accuracy", "mcc": "mcc"
               "precision": "precision", "specificity": "specificity", "recall_sensitivity": "recall_sensitivity"}
 
 
+def known(proba: str) -> Column:
+    """The probability; a row without one is an error, so that no row drops out of a count unseen."""
+    return F.coalesce(F.col(proba), F.raise_error(F.lit(f"{proba} is null in a prediction")).cast("double"))
+
+
 def confusion(pred: DataFrame, by: list[str], threshold: float = 0.5, strict: bool = False,
               proba: str = "proba", label: str = "label") -> DataFrame:
     """H1: tn, fp, fn, tp per group (labels fixed to [0, 1])."""
-    p = threshold_predict(proba, threshold, strict)
+    p = threshold_predict(known(proba), threshold, strict)
     y = F.col(label)
     return pred.groupBy(*by).agg(
         F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 0) & (p == 1)).alias("fp"),

@@ -44,6 +44,15 @@ class PrepStats:
         return self
 
 
+#: Fixed value: distance from 1.0 to the next double.
+_EPS = 2.220446049250313e-16
+
+
+def _constant(variance: Column, mean: Column, n: Column) -> Column:
+    """A column counts as constant when its variance is within rounding of its own mean and row count."""
+    return variance <= n * _EPS * variance + F.pow(n * _EPS * mean, F.lit(2.0))
+
+
 def _long(df: DataFrame, fold: str, cols: list[str], cast: str | None) -> DataFrame:
     items = [F.struct(F.lit(c).alias("col_name"), F.lit(i).alias("position"),
                       (F.col(c).cast(cast) if cast else F.col(c).cast("string")).alias("value"))
@@ -110,7 +119,7 @@ def fit_prep(df: DataFrame, roles: Roles, fold: str = "fold", fold_ids=(0, 1, 2,
             .alias("_m2"), "n", (F.col("nn") == 0).alias("all_null"))
         sd = F.sqrt(F.greatest(F.col("_m2"), F.lit(0.0)) / F.col("n"))
         numeric = numeric.select("fold_id", "col_name", "position", "median", "mean",
-                                 F.when(sd <= F.lit(1e-12) * F.greatest(F.abs(F.col("mean")), F.lit(1.0)), F.lit(1.0))
+                                 F.when(_constant(sd * sd, F.col("mean"), F.col("n")), F.lit(1.0))
                                   .otherwise(sd).alias("std"), "all_null")
     vocab = None
     if roles.categorical:

@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.metrics import one_row
+from foldspark.operators.metrics import known, one_row
 from foldspark.operators.scan import descending_scan
 
 
 def score_counts(pred: DataFrame, by: list[str], proba: str = "proba", label: str = "label") -> DataFrame:
-    return (pred.filter(F.col(proba).isNotNull())
-            .groupBy(*by, F.col(proba).alias("score"))
+    return (pred.groupBy(*by, known(proba).alias("score"))
             .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
 
 

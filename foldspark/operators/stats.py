@@ -2,12 +2,10 @@
 the same folds (I1-I3, K6).
 
 Zero differences are dropped; |d| gets average ranks for ties; W+ / W- are
-the rank sums of positive / negative differences.  With at most
-``EXACT_MAX_N`` non-zero pairs the p-value is exact: all 2^n sign vectors are
-enumerated by ``explode(sequence(0, 2^n - 1))`` and their rank sums counted
-(ties included, which is the exact permutation distribution).  Above that the
-normal approximation with tie correction is used.  The pairs of a comparison
-are its folds - a bounded list - so the ranks may be gathered per comparison.
+the rank sums of positive / negative differences.  The p-value is exact for any
+number of pairs: the distribution of the rank sum under random signs (ties
+included) is built rank by rank, in n^3 steps.  The pairs of a comparison are
+its folds - a bounded list - so the ranks may be gathered per comparison.
 """
 
 from __future__ import annotations
@@ -15,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_MAX_N = 12
-
 
 def wilcoxon(long: DataFrame, target: str, metric: str = "f1", alternative: str = "greater",
              model: str = "model", fold: str = "fold", value: str = "value") -> DataFrame:
@@ -42,50 +38,26 @@ def wilcoxon(long: DataFrame, target: str, metric: str = "f1", alternative: str
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("d") > 0, F.col("rk")).otherwise(F.lit(0.0))).alias("w_plus"),
         F.sum(F.when(F.col("d") < 0, F.col("rk")).otherwise(F.lit(0.0))).alias("w_minus"),
-        F.sum(F.col("rk") * F.col("rk")).alias("_r2"),
         F.sort_array(F.collect_list(F.struct(fold, "rk"))).alias("_ranks"))
     stat = F.col("w_plus") if alternative == "greater" else F.least("w_plus", "w_minus")
-    # exact: enumerate sign vectors (n <= EXACT_MAX_N)
-    ex = g.filter(F.col("n") <= EXACT_MAX_N).select(
-        "Compared_with", "n", "w_plus", F.col("_ranks.rk").alias("rks"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2), F.col("n")).cast("bigint") - 1)).alias("mask"))
-    s = F.aggregate(F.sequence(F.lit(0), F.col("n").cast("int") - 1), F.lit(0.0),
-                    lambda acc, i: acc + F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("bigint")) != 0,
-                                                F.element_at(F.col("rks"), i + 1)).otherwise(F.lit(0.0)))
-    eps = 1e-9
+    # exact for any n: the distribution of twice the rank sum (mid-ranks become whole numbers), one rank at a time
+    ranks = F.transform(F.col("_ranks.rk"), lambda r: (r * 2).cast("int"))
+    start = F.transform(F.sequence(F.lit(0), (F.col("n") * (F.col("n") + 1)).cast("int")),
+                        lambda s: F.when(s == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    chance = F.aggregate(ranks, start, lambda acc, r: F.transform(
+        acc, lambda p, s: (p + F.when(s >= r, F.element_at(acc, s - r + 1)).otherwise(F.lit(0.0))) / 2.0))
+    dist = g.select("*", chance.alias("_chance"))
     if alternative == "greater":
-        hit = s >= F.col("w_plus") - eps
+        tail = F.slice("_chance", (F.col("w_plus") * 2).cast("int") + 1, F.size("_chance"))
+        scale = 1.0
     else:
-        lo = F.least(F.col("w_plus"), F.col("n") * (F.col("n") + 1) / 2.0 - F.col("w_plus"))
-        hit = s <= lo + eps
-    exact = ex.groupBy("Compared_with", "n").agg((F.count_if(hit) / F.count(F.lit(1))).alias("_p"))
-    if alternative != "greater":
-        exact = exact.withColumn("_p", F.least(F.lit(1.0), 2 * F.col("_p")))
-    out = g.join(exact.select("Compared_with", "_p"), "Compared_with", "left")
-    # normal approximation with tie correction (n > EXACT_MAX_N)
-    mu = F.col("n") * (F.col("n") + 1) / 4.0
-    sd = F.sqrt(F.col("_r2") / 4.0)
-    z = (stat - mu) / sd
-    out = out.withColumn("_z", z)
-    p_norm = _normal_sf(F.col("_z")) if alternative == "greater" else F.least(F.lit(1.0), 2 * _normal_cdf(F.col("_z")))
-    out = out.select("Compared_with", F.lit(metric).alias("metric"), "n", "w_plus", "w_minus",
-                     stat.alias("wilcoxon_stat"),
-                     F.when(F.col("n") <= EXACT_MAX_N, F.col("_p")).otherwise(p_norm).alias("p_value"))
+        tail = F.slice("_chance", F.lit(1), (F.least("w_plus", "w_minus") * 2).cast("int") + 1)
+        scale = 2.0
+    p_value = F.least(F.lit(1.0), F.aggregate(tail, F.lit(0.0), lambda acc, p: acc + p) * scale)
+    out = dist.select("Compared_with", F.lit(metric).alias("metric"), "n", "w_plus", "w_minus",
+                      stat.alias("wilcoxon_stat"), p_value.alias("p_value"))
     full = comps.join(out, "Compared_with", "left").select(
         "Compared_with", F.lit(metric).alias("metric"), F.coalesce(F.col("n"), F.lit(0)).alias("n"),
         "w_plus", "w_minus", "wilcoxon_stat", "p_value",
         F.when(F.col("n").isNull(), F.lit("all differences are zero")).alias("note"))
     return full
-
-
-def _normal_cdf(z):
-    """Standard normal CDF from a JVM-side rational approximation of erf (Abramowitz-Stegun 7.1.26)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = 1.0 - poly * F.exp(-x * x)
-    return F.when(z >= 0, 0.5 * (1.0 + erf)).otherwise(0.5 * (1.0 - erf))
-
-
-def _normal_sf(z):
-    return 1.0 - _normal_cdf(z)

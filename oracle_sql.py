@@ -370,8 +370,8 @@ cat AS ({cat}),
 tr AS (SELECT ids.fold_id, num.* FROM num JOIN ids ON num.fold <> ids.fold_id),
 med AS (SELECT fold_id, col_name, position, median(value) AS median FROM tr GROUP BY fold_id, col_name, position),
 imp AS (SELECT tr.fold_id, tr.col_name, coalesce(tr.value, med.median) AS v FROM tr JOIN med ON tr.fold_id = med.fold_id AND tr.col_name = med.col_name),
-sc AS (SELECT fold_id, col_name, avg(v) AS mean, stddev_pop(v) AS sd FROM imp GROUP BY fold_id, col_name),
-nstat AS (SELECT med.*, sc.mean, CASE WHEN sc.sd <= 1e-12 * greatest(abs(sc.mean), 1.0) THEN 1.0 ELSE sc.sd END AS std
+sc AS (SELECT fold_id, col_name, avg(v) AS mean, stddev_pop(v) AS sd, count(*) AS n_train FROM imp GROUP BY fold_id, col_name),
+nstat AS (SELECT med.*, sc.mean, CASE WHEN sc.sd * sc.sd <= sc.n_train * 2.220446049250313e-16 * sc.sd * sc.sd + pow(sc.n_train * 2.220446049250313e-16 * sc.mean, 2) THEN 1.0 ELSE sc.sd END AS std
           FROM med JOIN sc ON med.fold_id = sc.fold_id AND med.col_name = sc.col_name),
 vt AS (SELECT ids.fold_id, col_name, position, value AS category, count(*) AS count
        FROM cat JOIN ids ON cat.fold <> ids.fold_id WHERE value IS NOT NULL GROUP BY ids.fold_id, col_name, position, value),
@@ -663,8 +663,9 @@ SELECT {_na('customerID')}, {_na('Segment')}, {_na('Nation')}, {_na('Region')},
        {_na('TotalCharges')}, {_na('LastPriority')}, {_na('Churn')}
 FROM customer_churn_raw""")
 
+# Step-5 fall-backs for the tuned settings when no best config is given.
 _DEFAULTS = {
-    "model__final_estimator__C": "1.1329528224472597",
+    "model__final_estimator__C": "1.132953262747208",
     "model__final_estimator__class_weight": "balanced",
     "model__passthrough": "true",
     "smote__sampling_strategy": "0.6",

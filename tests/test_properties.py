@@ -314,3 +314,58 @@ def test_leafwise_booster_batched_equals_separate_and_loss_falls(spark):
 def test_wilcoxon_absent_target_is_empty(spark):
     long = spark.createDataFrame([("A", 0, "f1", 0.5), ("B", 0, "f1", 0.4)], "model string, fold int, metric string, value double")
     assert I.wilcoxon(long, "T", "f1").count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_nearest_minority_ties_by_id(spark, partitions):
+    """Tied distances: the smallest ids, whatever the order and number of partitions (one-hot like rows)."""
+    import numpy as np
+    from foldspark.operators.smote import nearest_minority
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2, (60, 3)).astype(float)
+    x[:40] = x[0]
+    rows = [(0, i, [float(v) for v in x[i]], 1) for i in rng.permutation(60).tolist()]
+    df = spark.createDataFrame(rows, "fold_id int, row_id int, features array<double>, label int").repartition(partitions)
+    got = {(r.row_id, r.nn_rank): r.nn_id for r in nearest_minority(df, k=3, block_rows=17).collect()}
+    want = {}
+    for i in range(60):
+        near = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in range(60) if j != i)[:3]
+        want.update({(i, r + 1): j for r, (_, j) in enumerate(near)})
+    assert got == want
+
+
+def test_wilcoxon_is_exact_for_many_pairs(spark):
+    """Fifteen pairs with ties against the listing of all sign vectors."""
+    import itertools
+    import numpy as np
+    from foldspark.operators.stats import wilcoxon
+    d = [0.5, -0.25, 1, 1, 2, -3, 4, 0, 5, 6, -6, 7, 8, 9, 10, 0.5]
+    rows = [(m, "f1", i, v) for i, x in enumerate(d) for m, v in (("a", float(x)), ("b", 0.0))]
+    long = spark.createDataFrame(rows, "model string, metric string, fold int, value double")
+    nz = np.array([x for x in d if x])
+    size = np.abs(nz)
+    rank = np.array([(size < s).sum() + ((size == s).sum() + 1) / 2 for s in size])
+    plus = rank[nz > 0].sum()
+    sums = np.array(list(itertools.product((0, 1), repeat=len(nz)))) @ rank
+    r = wilcoxon(long, "a").collect()[0]
+    assert r.n == 15 and abs(r.p_value - (sums >= plus).mean()) < 1e-12
+    low = min(plus, rank.sum() - plus)
+    two = wilcoxon(long, "a", alternative="two-sided").collect()[0]
+    assert abs(two.p_value - min(1, 2 * (sums <= low).mean())) < 1e-12
+
+
+def test_missing_probability_is_an_error(spark):
+    from foldspark.operators.metrics import confusion
+    from foldspark.operators.roc import roc_auc
+    df = spark.createDataFrame([("m", 0.5, 1), ("m", None, 0)], "model string, proba double, label int")
+    for out in (confusion, roc_auc):
+        with pytest.raises(Exception, match="proba is null"):
+            out(df, ["model"]).collect()
+
+
+def test_small_scale_column_is_not_constant(spark):
+    from pyspark.sql import functions as F
+    from foldspark.operators.prep import _constant
+    df = spark.createDataFrame([(float(i) * 1e-13, 5.0) for i in range(7)], "a double, b double")
+    r = df.agg(*[_constant(F.var_pop(c), F.avg(c), F.count(c)).alias(c) for c in "ab"]).first()
+    assert r.a is False and r.b is True
