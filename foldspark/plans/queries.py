@@ -503,6 +503,17 @@ def csv_roundtrip(spark, sf_dir):
     return IO.read_table(spark, path, schema=raw.schema, required=("customerID", "Churn"))
 
 
+@register("csv_infer")
+def csv_infer(spark, sf_dir):
+    """A1: the dirty churn table read back without a schema; types are found after the missing tokens are mapped."""
+    raw = X.customer_churn_raw(spark, sf_dir)
+    path = _scratch(spark, "churn-csv-infer")
+    # a numeric column with a missing token in text: it must still be a number
+    marked = raw.withColumn("AcctBal", F.when(F.col("tenure") == 0, F.lit("NA")).otherwise(F.col("AcctBal").cast("string")))
+    IO.write_table(marked, path, "csv")
+    return round_doubles(IO.read_table(spark, path, required=("customerID", "Churn")))
+
+
 @register("config_overlay")
 def config_overlay(spark, sf_dir):
     """A3/A4/A6 + J7: the best candidate of the search written as a best-config JSON, read back,

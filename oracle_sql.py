@@ -663,6 +663,14 @@ SELECT {_na('customerID')}, {_na('Segment')}, {_na('Nation')}, {_na('Region')},
        {_na('TotalCharges')}, {_na('LastPriority')}, {_na('Churn')}
 FROM customer_churn_raw""")
 
+register("csv_infer", ("customer_churn_raw",), f"""
+SELECT {_na('customerID')}, {_na('Segment')}, {_na('Nation')}, {_na('Region')}, CAST(SeniorFlag AS BIGINT) AS SeniorFlag,
+       CAST(tenure AS BIGINT) AS tenure, CAST(n_orders AS BIGINT) AS n_orders,
+       CASE WHEN tenure = 0 THEN NULL ELSE round(CAST(AcctBal AS DOUBLE), 6) END AS AcctBal,
+       round(CAST(AvgOrder AS DOUBLE), 6) AS AvgOrder,
+       {_na('TotalCharges')}, {_na('LastPriority')}, {_na('Churn')}
+FROM customer_churn_raw""")
+
 # Step-5 fall-backs for the tuned settings when no best config is given.
 _DEFAULTS = {
     "model__final_estimator__C": "1.132953262747208",
