@@ -36,7 +36,7 @@ SPACE = "▁"
 _PARTS = re.compile(r" *[^ ]+| +")
 _MASK = (1 << 64) - 1
 #: Segmentations kept by a worker; beyond it parts are segmented each time they occur, same result.
-MAX_PARTS = 800_000
+MAX_PARTS = 1_200_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
