@@ -8,6 +8,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from llm_fixtures import no_documents, odd_documents  # noqa: F401
+
 from foldspark.llm import language_id as L
 from foldspark.llm import line_dedup, merge_dropout, packing, sentence_spans, setjoin, token_files, tokens
 

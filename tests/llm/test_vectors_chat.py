@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import no_documents, odd_documents  # noqa: F401
+
 import corpus_pipeline
 from foldspark.llm import chat, registry, vafile, vptree
 
