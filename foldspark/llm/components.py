@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import materialise
 
 
-def _star(edges: DataFrame, hub: DataFrame) -> DataFrame:
-    """Replace the centre ``u`` of every edge by its smallest neighbour."""
-    return edges.join(hub, "u")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges (a, b)``; component is its smallest node.
 
@@ -26,11 +21,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node go to the smallest node around it
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hub = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _star(both.filter("v > u"), hub).select(F.col("v").alias("u"), F.col("m").alias("v")) \
+        large = both.filter("v > u").join(hub, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .filter("u <> v").distinct()
         # small star: a node and its neighbours below go to the smallest of them
         hub = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = _star(large, hub)
+        moved = large.join(hub, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(moved.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = materialise(small, "edges")

@@ -68,9 +68,7 @@ def text_spans(text: str, span_words: int = 20, long_words: int = 24) -> tuple[n
     none = np.empty(0, np.int64)
     if len(begins) < 2 or sum(counts) < span_words:
         return none, none, none
-    low = text if text.islower() else None
-    parts = [" ".join(text[b:e].lower().split()) for b, e in zip(begins, ends, strict=True)] if low is None else \
-        [" ".join(text[b:e].split()) for b, e in zip(begins, ends, strict=True)]
+    parts = [" ".join(text[b:e].lower().split()) for b, e in zip(begins, ends, strict=True)]
     hashed = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)
     n = len(hashed)
     words = np.r_[0, np.cumsum(counts)]
