@@ -1,21 +1,13 @@
 """Fit-on-train preprocessing for every fold at once.
 
-``fit_prep`` learns, for each fold id k, the statistics of the rows whose
-fold is not k - the training side of fold k - without materialising K copies
-of the data where an additive statistic suffices:
-
-* value counts, row counts, non-null counts, per-fold mean and M2 are
-  computed once per *fold*; the training-side figures of fold k are sums over
-  the other folds (total minus fold), combined with the law of total
-  variance (stable, exact).
-* medians are not additive.  ``median='exact'`` (``percentile``, interpolated,
-  as the reference) expands the numeric long form over the K-1 training folds
-  of each row; ``median='approx'`` builds one KLL sketch per (fold, column)
-  and merges the K-1 sketches of the training side - no expansion at all,
-  the choice at scale.
-
-The statistics are tiny tables (folds x columns, folds x vocabulary) and are
-applied with broadcast joins on the fold id.
+``fit_prep`` learns, for each fold id k, the statistics of the rows whose fold is not k - the training side of fold k.
+One aggregate over the table counts every distinct value of every column on each training side (``value_counts``,
+combined before its shuffle); the counts are sorted over the cluster by (column, value) and written once.  Medians,
+means, deviations, modes and vocabularies all come from that table: values are distinct in it, so no value can fill
+a partition however often it occurs, and no column is sorted or held in one task.
+
+Statistics of numeric columns are tiny (folds x columns) and are applied by a broadcast join on the fold id.
+Vocabularies may be large; a column's index table is joined on (fold id, value) without a broadcast hint.
 """
 
 from __future__ import annotations
@@ -27,8 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.operators.clean import Roles
-
-EXACT_MEDIAN_ROW_LIMIT = 20_000_000
+from foldspark.session import cut_lineage
 
 
 @dataclass
@@ -37,12 +28,19 @@ class PrepStats:
     vocab: DataFrame     # fold_id, column, position, category, idx, count, is_mode
     roles: Roles
     fold_ids: list
+    _index: DataFrame | None = None
 
     def persist(self) -> "PrepStats":
         self.numeric = self.numeric.persist()
         self.vocab = self.vocab.persist()
         return self
 
+    def index(self) -> DataFrame:
+        """The vocabulary, written once: every categorical column joins with its part."""
+        if self._index is None:
+            self._index = cut_lineage(self.vocab.select("fold_id", "col_name", "category", "idx", "is_mode"))
+        return self._index
+
 
 #: Fixed value: distance from 1.0 to the next double.
 _EPS = 2.220446049250313e-16
@@ -53,138 +51,162 @@ def _constant(variance: Column, mean: Column, n: Column) -> Column:
     return variance <= n * _EPS * variance + F.pow(n * _EPS * mean, F.lit(2.0))
 
 
-def _long(df: DataFrame, fold: str, cols: list[str], cast: str | None) -> DataFrame:
-    items = [F.struct(F.lit(c).alias("col_name"), F.lit(i).alias("position"),
-                      (F.col(c).cast(cast) if cast else F.col(c).cast("string")).alias("value"))
-             for i, c in enumerate(cols)]
-    return df.select(F.col(fold).alias("_fold"), F.inline(F.array(*items)))
+def as_number(c: str) -> Column:
+    """A numeric cell; NaN is missing."""
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def value_counts(df: DataFrame, numeric: list[str], categorical: list[str], sides: list[Column]) -> DataFrame:
+    """(col_name, position, num, cat, n, pid): every distinct value of every column with its number of rows in each
+    side (``n`` array<bigint>, one entry for each condition in ``sides``), sorted by (col_name, value) over partitions
+    numbered ``pid``.  Written once: the partition numbers must not change between the passes that read them."""
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    cells = [F.struct(F.lit(c).alias("col_name"), F.lit(i).alias("position"), as_number(c).alias("num"),
+                      no_text.alias("cat")) for i, c in enumerate(numeric)]
+    cells += [F.struct(F.lit(c).alias("col_name"), F.lit(i).alias("position"), no_number.alias("num"),
+                       F.col(c).cast("string").alias("cat")) for i, c in enumerate(categorical)]
+    marks = [s.alias(f"_s{i}") for i, s in enumerate(sides)]
+    long = df.select(*marks, F.inline(F.array(*cells)))
+    counts = long.groupBy("col_name", "position", "num", "cat").agg(
+        F.array(*[F.count_if(F.col(f"_s{i}")) for i in range(len(sides))]).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(counts.repartitionByRange(parts, "col_name", "num", "cat")
+                       .withColumn("pid", F.spark_partition_id()))
+
+
+def _by_side(counts: DataFrame) -> DataFrame:
+    """(side, col_name, position, num, cat, pid, c): one row for each side in which a value occurs."""
+    return counts.select(F.posexplode("n").alias("side", "c"), "col_name", "position", "num", "cat", "pid") \
+        .filter(F.col("c") > 0)
+
 
+def _earlier():
+    return Window.partitionBy("side", "col_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
 
-def _fold_ids_col(fold_ids) -> Column:
-    return F.explode(F.array(*[F.lit(i) for i in fold_ids]))
 
+def _whole():
+    return Window.partitionBy("side", "col_name")
 
-def _sides(d: DataFrame, fold_ids, direct: bool) -> DataFrame:
-    """Rows of ``d`` (keyed by ``_fold``) on the training side of each fold id.
 
-    complement (default): fold id k learns from the rows whose fold is not k.
-    direct: the rows are already the training rows of their own fold id.
+def _within(order: str):
+    """The rows of one partition up to the current one."""
+    return Window.partitionBy("side", "col_name", "pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def exact_quantiles(counts: DataFrame, qs: list[float]) -> DataFrame:
+    """(side, col_name, quantiles): exact interpolated quantiles of every numeric column that has a value in a side.
+
+    Ranks go from the sums of earlier partitions; only the partitions that hold a wanted rank are looked at.
     """
-    if direct:
-        return d.withColumn("fold_id", F.col("_fold")).filter(F.col("fold_id").isin(*fold_ids))
-    return d.select("*", _fold_ids_col(fold_ids).alias("fold_id")).filter(F.col("_fold") != F.col("fold_id"))
+    rows = _by_side(counts).filter("num IS NOT NULL")
+    parts = rows.groupBy("side", "col_name", "pid").agg(F.sum("c").alias("here"))
+    parts = parts.select("side", "col_name", "pid", "here", F.coalesce(F.sum("here").over(_earlier()), F.lit(0)).alias("before"),
+                         F.sum("here").over(_whole()).alias("total"))        # sides x columns x partitions rows
+    at = F.col("q") * (F.col("total") - 1)
+    ranks = parts.select("*", F.posexplode(F.array(*[F.lit(q) for q in qs])).alias("j", "q")) \
+        .select("*", F.inline(F.array(F.struct((F.floor(at) + 1).alias("r"), (1 - at + F.floor(at)).alias("part")),
+                                      F.struct((F.floor(at) + 2).alias("r"), (at - F.floor(at)).alias("part"))))) \
+        .filter("part > 0 AND r > before AND r <= before + here")
+    wanted = ranks.groupBy("side", "col_name", "pid", "before").agg(F.collect_list(F.struct("j", "r", "part")).alias("wanted"))
+    x = rows.join(F.broadcast(wanted), ["side", "col_name", "pid"])         # at most two ranks a quantile, side and column
+    x = x.withColumn("upto", F.col("before") + F.sum("c").over(_within("num")))
+    x = x.select("side", "col_name", "num", "upto", "c", F.inline("wanted")).filter("r <= upto AND r > upto - c")
+    x = x.groupBy("side", "col_name", "j").agg(F.sum(F.col("part") * F.col("num")).alias("value"))
+    return x.groupBy("side", "col_name").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("v")) \
+        .select("side", "col_name", F.col("v")["value"].alias("quantiles"))
+
+
+def _numeric_stats(counts: DataFrame, fold_ids: list) -> DataFrame:
+    """One row per fold id and column; written once, several readers follow."""
+    rows = _by_side(counts)
+    key = ["side", "col_name"]
+    known, num = F.col("num").isNotNull(), F.col("num")
+    sums = rows.groupBy("side", "col_name", "position").agg(
+        F.sum("c").alias("n"), F.sum(F.when(known, F.col("c")).otherwise(0)).alias("n_known"),
+        F.coalesce(F.sum(num * F.col("c")), F.lit(0.0)).alias("s"))
+    mid = exact_quantiles(counts, [0.5]).select(*key, F.col("quantiles")[0].alias("median"))
+    filled = F.coalesce("median", F.lit(0.0))
+    gap = F.col("n") - F.col("n_known")
+    sums = sums.join(F.broadcast(mid), key, "left").withColumn("mean", (F.col("s") + gap * filled) / F.col("n"))
+    square = F.pow(F.coalesce(num, "median", "mean") - F.col("mean"), F.lit(2.0))
+    stats = rows.join(F.broadcast(sums), [*key, "position"]).groupBy(*key, "position", "median", "mean", "n", "n_known") \
+        .agg((F.sum(F.col("c") * square) / F.col("n")).alias("variance"))        # sums: sides x columns rows
+    return cut_lineage(stats.select(
+        F.array(*[F.lit(k) for k in fold_ids])[F.col("side")].alias("fold_id"), "col_name", "position", "median", "mean",
+        F.when(_constant(F.col("variance"), F.col("mean"), F.col("n")), F.lit(1.0)).otherwise(F.sqrt("variance")).alias("std"),
+        (F.col("n_known") == 0).alias("all_null")).coalesce(1))
+
+
+def _vocabulary(counts: DataFrame, fold_ids: list) -> DataFrame:
+    """Categories of every training side, numbered in their order; the mode is the most frequent, then the smallest."""
+    rows = _by_side(counts).filter("cat IS NOT NULL")
+    parts = rows.groupBy("side", "col_name", "pid").agg(
+        F.count(F.lit(1)).alias("here"), F.min(F.struct((-F.col("c")).alias("c"), F.col("cat").alias("v"))).alias("top"))
+    parts = parts.select("side", "col_name", "pid", F.coalesce(F.sum("here").over(_earlier()), F.lit(0)).alias("before"),
+                         F.min("top").over(_whole())["v"].alias("mode"))
+    return rows.join(parts, ["side", "col_name", "pid"]).select(
+        F.array(*[F.lit(k) for k in fold_ids])[F.col("side")].alias("fold_id"), "col_name", "position",
+        F.col("cat").alias("category"),
+        (F.col("before") + F.row_number().over(_within("cat")) - 1).cast("int").alias("idx"),
+        F.col("c").alias("count"), (F.col("cat") == F.col("mode")).alias("is_mode"))
 
 
 def fit_prep(df: DataFrame, roles: Roles, fold: str = "fold", fold_ids=(0, 1, 2, 3, 4),
-             median: str = "exact", kll_k: int = 2048, direct: bool = False) -> PrepStats:
+             direct: bool = False) -> PrepStats:
     """Statistics of the training side of each fold id (rows with ``fold != id``).
 
     ``direct=True``: ``df`` holds only training rows and ``fold`` is the fold id they train.
     """
     fold_ids = list(fold_ids)
-    num = _long(df, fold, roles.numeric, "double") if roles.numeric else None
-    numeric = None
-    if num is not None:
-        per = num.groupBy("_fold", "col_name", "position").agg(
-            F.count(F.lit(1)).alias("n"), F.count("value").alias("nn"),
-            F.avg("value").alias("mu"), (F.var_pop("value") * F.count("value")).alias("m2"))
-        if median == "auto":
-            # one small action (folds x columns rows): the largest training side decides the method
-            big = _sides(per, fold_ids, direct).groupBy("fold_id", "col_name").agg(F.sum("nn").alias("m")) \
-                .agg(F.max("m")).first()[0] or 0
-            median = "sorted" if big > EXACT_MEDIAN_ROW_LIMIT else "exact"
-        if median == "exact":
-            tr = _sides(num, fold_ids, direct)
-            med = tr.groupBy("fold_id", "col_name").agg(F.percentile(F.col("value"), 0.5).alias("median"))
-        elif median == "sorted":
-            med = _sorted_median(_sides(num.filter(F.col("value").isNotNull()), fold_ids, direct))
-        else:
-            sk = num.filter(F.col("value").isNotNull()).groupBy("_fold", "col_name").agg(
-                F.kll_sketch_agg_double("value", kll_k).alias("sk"))
-            trs = _sides(sk, fold_ids, direct)
-            med = trs.groupBy("fold_id", "col_name").agg(F.kll_merge_agg_double("sk").alias("sk")).select(
-                "fold_id", "col_name", F.kll_sketch_get_quantile_double("sk", F.lit(0.5)).alias("median"))
-        pt = _sides(per, fold_ids, direct)
-        tot = pt.groupBy("fold_id", "col_name", "position").agg(
-            F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum(F.col("nn") * F.col("mu")).alias("s"))
-        tot = tot.join(med, ["fold_id", "col_name"], "left")
-        m = F.coalesce(F.col("median"), F.lit(0.0))
-        tot = tot.withColumn("mean", (F.coalesce(F.col("s"), F.lit(0.0)) + (F.col("n") - F.col("nn")) * m) / F.col("n"))
-        m2 = pt.join(tot.select("fold_id", "col_name", "mean", "median"), ["fold_id", "col_name"]).groupBy(
-            "fold_id", "col_name").agg(F.sum(F.when(F.col("nn") > 0, F.col("m2") + F.col("nn") * (F.col("mu") - F.col("mean")) ** 2)
-                                           .otherwise(F.lit(0.0))).alias("m2"))
-        numeric = tot.join(m2, ["fold_id", "col_name"]).select(
-            "fold_id", "col_name", "position", "median", "mean",
-            (F.col("m2") + (F.col("n") - F.col("nn")) * (F.coalesce(F.col("median"), F.col("mean")) - F.col("mean")) ** 2)
-            .alias("_m2"), "n", (F.col("nn") == 0).alias("all_null"))
-        sd = F.sqrt(F.greatest(F.col("_m2"), F.lit(0.0)) / F.col("n"))
-        numeric = numeric.select("fold_id", "col_name", "position", "median", "mean",
-                                 F.when(_constant(sd * sd, F.col("mean"), F.col("n")), F.lit(1.0))
-                                  .otherwise(sd).alias("std"), "all_null")
-    vocab = None
-    if roles.categorical:
-        cat = _long(df, fold, roles.categorical, None).filter(F.col("value").isNotNull())
-        vc = cat.groupBy("_fold", "col_name", "position", "value").agg(F.count(F.lit(1)).alias("c"))
-        vt = (_sides(vc, fold_ids, direct)
-              .groupBy("fold_id", "col_name", "position", F.col("value").alias("category")).agg(F.sum("c").alias("count")))
-        w_idx = Window.partitionBy("fold_id", "col_name").orderBy("category")
-        w_mode = Window.partitionBy("fold_id", "col_name").orderBy(F.col("count").desc(), F.col("category").asc())
-        vocab = vt.select("fold_id", "col_name", "position", "category",
-                          (F.row_number().over(w_idx) - 1).cast("int").alias("idx"), "count",
-                          (F.row_number().over(w_mode) == 1).alias("is_mode"))
-    return PrepStats(numeric, vocab, roles, fold_ids)
-
-
-def _sorted_median(tr: DataFrame) -> DataFrame:
-    """Exact median without holding a group in one task: a distributed sort (``ordered_rank``)
-    gives every training value its rank; only the one or two middle ranks are kept."""
-    from foldspark.operators.rank import ordered_rank
-    keys = ["fold_id", "col_name"]
-    n = tr.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nn"))
-    r = ordered_rank(tr.select(*keys, "value"), keys, ["value"], out="_r")
-    k1 = F.floor((F.col("_nn") - 1) / 2) + 1
-    k2 = F.ceil((F.col("_nn") - 1) / 2) + 1
-    mid = r.join(F.broadcast(n), keys).filter((F.col("_r") == k1) | (F.col("_r") == k2))  # folds x columns rows
-    return mid.groupBy(*keys).agg(F.avg("value").alias("median"))
+    sides = [(F.col(fold) == k) if direct else (F.col(fold) != k) for k in fold_ids]
+    counts = value_counts(df, roles.numeric, roles.categorical, sides)
+    is_number = F.col("col_name").isin(*roles.numeric) if roles.numeric else F.lit(False)
+    return PrepStats(_numeric_stats(counts.filter(is_number), fold_ids) if roles.numeric else None,
+                     _vocabulary(counts, fold_ids) if roles.categorical else None, roles, fold_ids)
 
 
 def _wide_stats(stats: PrepStats) -> DataFrame:
-    """One row per fold id: median/mean/std per numeric column, mode and sorted vocabulary per categorical column."""
-    parts = []
+    """One row per fold id: median / mean / std of each numeric column, mode and width of each categorical one."""
+    wide = None
     if stats.numeric is not None:
-        cols = stats.roles.numeric
-        n = stats.numeric.groupBy("fold_id").pivot("col_name", cols).agg(
-            F.first("median").alias("med"), F.first("mean").alias("mean"), F.first("std").alias("std"))
-        parts.append(n)
+        wide = stats.numeric.groupBy("fold_id").pivot("col_name", stats.roles.numeric).agg(
+            F.first("median").alias("med"), F.first("mean").alias("mean"), F.first("std").alias("std"),
+            F.first("all_null").alias("gone"))
     if stats.vocab is not None:
-        cols = stats.roles.categorical
-        v = stats.vocab.groupBy("fold_id").pivot("col_name", cols).agg(
-            F.array_sort(F.collect_list("category")).alias("voc"),
+        v = stats.index().groupBy("fold_id").pivot("col_name", stats.roles.categorical).agg(
+            F.count(F.lit(1)).cast("int").alias("width"),
             F.max(F.when(F.col("is_mode"), F.col("category"))).alias("mode"))
-        parts.append(v)
-    w = parts[0]
-    for p in parts[1:]:
-        w = w.join(p, "fold_id", "full")
-    return w
+        wide = v if wide is None else wide.join(v, "fold_id", "full")
+    return wide
+
+
+def _one_hot(idx: Column, width: Column) -> Column:
+    """``width`` zeros with a one at ``idx``; zeros alone where the value is unknown."""
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return F.coalesce(F.concat(F.array_repeat(F.lit(0.0), idx), F.array(F.lit(1.0)),
+                               F.array_repeat(F.lit(0.0), width - idx - 1)), zeros)
 
 
 def apply_prep(df: DataFrame, stats: PrepStats, fold_id: str = "fold_id", output: str = "vector",
                out: str = "features") -> DataFrame:
     """Impute, scale and one-hot each row with the statistics of its ``fold_id``.
 
+    A numeric column without any value on the training side of a fold has no feature in that fold.
     output='vector': dense ``features`` vector (numeric block, then one-hot block);
     output='array': the same as array<double>; output='long': (feature index, value) rows.
     """
-    w = F.broadcast(_wide_stats(stats).withColumnRenamed("fold_id", fold_id))  # folds rows: bounded
-    x = df.join(w, fold_id)
+    x = df.join(F.broadcast(_wide_stats(stats).withColumnRenamed("fold_id", fold_id)), fold_id)  # one row per fold
     blocks = []
     for c in stats.roles.numeric:
-        v = (F.coalesce(F.col(c).cast("double"), F.col(f"{c}_med")) - F.col(f"{c}_mean")) / F.col(f"{c}_std")
-        blocks.append(F.array(F.coalesce(v, F.lit(0.0))))
+        v = (F.coalesce(as_number(c), F.col(f"{c}_med")) - F.col(f"{c}_mean")) / F.col(f"{c}_std")
+        blocks.append(F.when(F.col(f"{c}_gone"), F.array().cast("array<double>")).otherwise(F.array(v)))
     for c in stats.roles.categorical:
-        val = F.coalesce(F.col(c).cast("string"), F.col(f"{c}_mode"))
-        voc = F.coalesce(F.col(f"{c}_voc"), F.array().cast("array<string>"))
-        blocks.append(F.transform(voc, lambda t: F.when(t == val, F.lit(1.0)).otherwise(F.lit(0.0))))
+        index = stats.index().filter(F.col("col_name") == c).select(
+            F.col("fold_id").alias(fold_id), F.col("category").alias(f"{c}_cat"), F.col("idx").alias(f"{c}_idx"))
+        x = x.withColumn(f"{c}_cat", F.coalesce(F.col(c).cast("string"), F.col(f"{c}_mode"))) \
+            .join(index, [fold_id, f"{c}_cat"], "left")
+        blocks.append(_one_hot(F.col(f"{c}_idx"), F.coalesce(F.col(f"{c}_width"), F.lit(0))))
     arr = F.concat(*blocks) if len(blocks) > 1 else blocks[0]
     keep = [c for c in df.columns if c not in stats.roles.numeric and c not in stats.roles.categorical]
     y = x.select(*keep, arr.alias("_arr"))
@@ -198,17 +220,21 @@ def apply_prep(df: DataFrame, stats: PrepStats, fold_id: str = "fold_id", output
 def feature_names(stats: PrepStats, prefixed: bool = True) -> DataFrame:
     """(fold_id, feature_idx, name, source_column, category) in vector order."""
     parts = []
-    p_num = len(stats.roles.numeric)
     if stats.numeric is not None:
         nm = F.concat(F.lit("num__" if prefixed else ""), F.col("col_name"))
-        parts.append(stats.numeric.select("fold_id", F.col("position").alias("feature_idx"), nm.alias("name"),
-                                          F.col("col_name").alias("source_column"),
-                                          F.lit(None).cast("string").alias("category")))
+        known = stats.numeric.filter("NOT all_null")
+        order = Window.partitionBy("fold_id").orderBy("position")       # one row per column
+        parts.append(known.select("fold_id", (F.row_number().over(order) - 1).alias("feature_idx"), nm.alias("name"),
+                                  F.col("col_name").alias("source_column"),
+                                  F.lit(None).cast("string").alias("category")))
     if stats.vocab is not None:
         # offset of each categorical block = numeric width + sizes of earlier blocks
         sizes = stats.vocab.groupBy("fold_id", "col_name", "position").agg(F.count(F.lit(1)).alias("sz"))
         w = Window.partitionBy("fold_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-        off = sizes.select("fold_id", "col_name", (F.lit(p_num) + F.coalesce(F.sum("sz").over(w), F.lit(0))).alias("off"))
+        off = sizes.select("fold_id", "col_name", F.coalesce(F.sum("sz").over(w), F.lit(0)).alias("off"))
+        if stats.numeric is not None:
+            p_num = stats.numeric.groupBy("fold_id").agg(F.count_if(~F.col("all_null")).alias("p"))
+            off = off.join(p_num, "fold_id").select("fold_id", "col_name", (F.col("p") + F.col("off")).alias("off"))
         v = stats.vocab.join(off, ["fold_id", "col_name"])
         nm = F.concat(F.lit("cat__" if prefixed else ""), F.col("col_name"), F.lit("_"), F.col("category"))
         parts.append(v.select("fold_id", (F.col("off") + F.col("idx")).cast("int").alias("feature_idx"), nm.alias("name"),

@@ -41,7 +41,6 @@ class ExperimentConfig:
     test_size: float = 0.2
     strict_default: bool = True          # step 1 predicts class 1 only when proba > 0.5
     parallelism: int = 4
-    median: str = "auto"
     passthrough: bool = False
     booster: str = "mllib"               # 'batched': boosters and extra trees of all folds grown in the same jobs
     models: tuple[str, ...] = ALL_MODELS
@@ -52,11 +51,12 @@ class ExperimentConfig:
         return self.bases or L.default_bases(self.n_estimators)
 
 
-def prepared(df: DataFrame, roles: Roles, fold: str, fold_ids: list[int], median: str = "exact") -> DataFrame:
+def prepared(df: DataFrame, roles: Roles, fold: str, fold_ids: list[int]) -> DataFrame:
     """(fold_id, role, row_id, label, features array) for every fold id - one plan, persisted."""
-    stats = fit_prep(df, roles, fold, fold_ids, median=median)
+    df = cut_lineage(df.select("row_id", "label", fold, *roles.numeric, *roles.categorical))  # read twice
+    stats = fit_prep(df, roles, fold, fold_ids)
     k = max(fold_ids) + 1
-    ex = expand_folds(df.select("row_id", "label", fold, *roles.numeric, *roles.categorical), k, fold)
+    ex = expand_folds(df, k, fold)
     ex = ex.filter(F.col("fold_id").isin(*fold_ids))
     x = apply_prep(ex, stats, output="array")
     return cut_lineage(x.select("fold_id", "role", F.col("row_id").cast("string").alias("row_id"), "label", "features"))
@@ -158,7 +158,7 @@ def cross_validate(df: DataFrame, roles: Roles, cfg: ExperimentConfig) -> DataFr
     """Out-of-fold predictions ``(model, fold, row_id, label, proba)`` for every model."""
     f = stratified_kfold(df, k=cfg.k, seed=cfg.seed)
     ids = list(range(cfg.k))
-    x = prepared(f, roles, "fold", ids, cfg.median)
+    x = prepared(f, roles, "fold", ids)
     train = training_rows(x, cfg.smote_ratio, cfg.smote_k, cfg.seed)
     val = cut_lineage(x.filter(F.col("role") == "val").withColumn("features", array_to_vector("features")))
     return _predictions(train, val, ids, cfg)
@@ -168,7 +168,7 @@ def evaluate_holdout(df: DataFrame, roles: Roles, cfg: ExperimentConfig) -> Data
     """Hold-out predictions (fold 0 = test split) for every model."""
     h = stratified_holdout(df, cfg.test_size, seed=cfg.seed)
     h = h.withColumn("hfold", F.when(F.col("split") == "test", F.lit(0)).otherwise(F.lit(1)))
-    x = prepared(h, roles, "hfold", [0], cfg.median)
+    x = prepared(h, roles, "hfold", [0])
     train = training_rows(x, cfg.smote_ratio, cfg.smote_k, cfg.seed)
     val = cut_lineage(x.filter(F.col("role") == "val").withColumn("features", array_to_vector("features")))
     return _predictions(train, val, [0], cfg)

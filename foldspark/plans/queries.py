@@ -14,6 +14,7 @@ from foldspark.functions.cast import to_number
 from foldspark.operators import audit as A
 from foldspark.operators import clean as B
 from foldspark.operators import split as D
+from foldspark.session import cut_lineage
 from foldspark.sources import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,9 +223,9 @@ def churn_roles(df) -> B.Roles:
     return B.infer_roles(df, exclude=("row_id", "label", "fold", "fold_id", "role"))
 
 
-def churn_stats(spark, sf_dir, median="exact"):
-    f = churn_folds(spark, sf_dir)
-    return f, E.fit_prep(f, churn_roles(f), "fold", FOLD_IDS, median=median)
+def churn_stats(spark, sf_dir):
+    f = cut_lineage(churn_folds(spark, sf_dir))      # read by the statistics and by their application
+    return f, E.fit_prep(f, churn_roles(f), "fold", FOLD_IDS)
 
 
 @register("fold_medians")

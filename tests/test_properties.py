@@ -68,16 +68,6 @@ def test_leak_free_statistics(spark):
     assert st2.vocab.filter(F.col("category") == "ZZZ").count() == 0
 
 
-def test_approx_median_close_to_exact(spark):
-    df = D.stratified_kfold(churn_clean(spark, SF_MID), k=5)
-    roles = churn_roles(df)
-    ex = {(r[0], r[1]): r[2] for r in E.fit_prep(df, roles, "fold", [0, 1]).numeric.select("fold_id", "col_name", "median").collect()}
-    ap = {(r[0], r[1]): r[2] for r in E.fit_prep(df, roles, "fold", [0, 1], median="approx").numeric.select("fold_id", "col_name", "median").collect()}
-    spread = {r[0]: r[1] - r[2] for r in df.select(*[F.struct(F.lit(c), F.max(c).cast("double"), F.min(c).cast("double")) for c in roles.numeric]).collect()[0]}
-    for k, v in ex.items():
-        assert abs(ap[k] - v) <= 0.02 * max(spread[k[1]], 1.0)
-
-
 def test_unseen_category_is_all_zero(spark):
     df = D.stratified_kfold(churn_clean(spark, SF_SMALL), k=5)
     roles = B.Roles(numeric=["tenure"], categorical=["Segment"])
@@ -213,13 +203,38 @@ def test_logistic_learns_real_signal(spark):
     assert auc > 0.7
 
 
-def test_sorted_median_equals_percentile(spark):
+def test_quantiles_equal_percentile(spark):
     df = D.stratified_kfold(churn_clean(spark, SF_SMALL), k=5)
-    roles = churn_roles(df)
-    a = {(r[0], r[1]): r[2] for r in E.fit_prep(df, roles, "fold", [0, 1, 2]).numeric.select("fold_id", "col_name", "median").collect()}
-    b = {(r[0], r[1]): r[2] for r in E.fit_prep(df, roles, "fold", [0, 1, 2], median="sorted").numeric.select("fold_id", "col_name", "median").collect()}
-    assert a.keys() == b.keys()
-    assert all(abs(a[k] - b[k]) <= 1e-9 * max(1.0, abs(a[k])) for k in a)
+    cols = churn_roles(df).numeric
+    qs = [0.1, 0.5, 0.75]
+    counts = E.value_counts(df, cols, [], [F.col("fold") != 0, F.lit(True)])
+    got = {(r[0], r[1]): r[2] for r in E.exact_quantiles(counts, qs).collect()}
+    for c in cols:
+        for side, rows in enumerate((df.filter("fold <> 0"), df)):
+            want = rows.agg(F.percentile(F.col(c).cast("double"), qs)).first()[0]
+            assert got[side, c] == pytest.approx(want, rel=1e-9, abs=1e-9), (c, side)
+
+
+def test_prep_of_a_hot_value_and_of_columns_without_values(spark):
+    rows = [(i % 2, 0.0 if i % 6 else float(i), None if i % 2 else 1.0, "a" if i % 5 else f"c{i}", None)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "fold int, hot double, half double, cat string, none string")
+    roles = B.Roles(numeric=["hot", "half"], categorical=["cat", "none"])
+    st = E.fit_prep(df, roles, "fold", [0, 1])
+    num = {(r["fold_id"], r["col_name"]): r for r in st.numeric.collect()}
+    for k in (0, 1):
+        side = [r for r in rows if r[0] != k]
+        assert num[k, "hot"]["median"] == float(np.median([r[1] for r in side]))
+        assert num[k, "hot"]["mean"] == pytest.approx(np.mean([r[1] for r in side]))
+        assert num[k, "half"]["all_null"] == (k == 0)      # odd rows have no value: nothing to learn for fold 0
+        cats = sorted({r[3] for r in side})
+        voc = {r["category"]: r["idx"] for r in st.vocab.filter(f"fold_id = {k} AND col_name = 'cat'").collect()}
+        assert voc == {c: i for i, c in enumerate(cats)}
+        width = (1 if k == 0 else 2) + len(cats)           # a column without values has no feature
+        x = E.apply_prep(df.withColumn("fold_id", F.lit(k)), st, output="array")
+        assert [r[0] for r in x.select(F.size("features")).distinct().collect()] == [width]
+        names = [r[0] for r in E.feature_names(st).filter(f"fold_id = {k}").orderBy("feature_idx").select("feature_idx").collect()]
+        assert names == list(range(width))
 
 
 def test_tree_shap_sums_to_margin_and_matches_brute_force(spark):
