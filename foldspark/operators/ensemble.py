@@ -23,8 +23,13 @@ def soft_vote(pred: DataFrame, by: list[str], models: list[str] | None = None, n
 
 
 def meta_features(oof: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """One column per base model from the long OOF table (pivot over a fixed name list)."""
-    return oof.groupBy(*keys).pivot("model", names).agg(F.first("proba"))
+    """One column per base model from the long OOF table (pivot over a fixed name list).
+
+    A row predicted twice by one model means that the key repeats; that is an error, so that no row is lost.
+    """
+    once = F.when(F.count("proba") > 1, F.raise_error(F.lit("a key has several predictions of one model")).cast("double")) \
+        .otherwise(F.first("proba", ignorenulls=True))
+    return oof.groupBy(*keys).pivot("model", names).agg(once)
 
 
 def _assemble(df: DataFrame, names: list[str], passthrough: str | None, out: str = "meta_x") -> DataFrame:

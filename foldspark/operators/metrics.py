@@ -121,6 +121,18 @@ def fold_scores_long(m: DataFrame, by: list[str], metrics_: tuple[str, ...] = ME
     return m.unpivot(by, list(metrics_), "metric", "value")
 
 
+def fold_scores_nested(long: DataFrame, fold: str = "fold", by: str = "model") -> DataFrame:
+    """H15, nested form: one row per model with a map metric -> scores in fold order (folds are few)."""
+    per = long.groupBy(by, "metric").agg(F.array_sort(F.collect_list(F.struct(fold, "value"))).alias("_s"))
+    return per.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("metric", F.col("_s")["value"].alias("scores"))))).alias("scores"))
+
+
+def confusion_matrix(m: DataFrame, by: list[str]) -> DataFrame:
+    """H1, nested form: rows of the matrix for the labels [0, 1], as written to JSON."""
+    return m.select(*by, F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("matrix"))
+
+
 def summarize(long: DataFrame, by: list[str], ddof: int = 1, value: str = "value") -> DataFrame:
     """Mean and std over folds; ``ddof=1`` sample std (0 for one fold), ``ddof=0`` population."""
     sd = F.coalesce(F.stddev_samp(value), F.lit(0.0)) if ddof == 1 else F.stddev_pop(value)

@@ -93,7 +93,7 @@ def _batched_extra_trees(train: DataFrame, val: DataFrame, spec: L.ExtraTrees) -
     from foldspark.operators.boost import fit_extra_trees
     tr = train.withColumn("features", vector_to_array("features"))
     va = val.withColumn("features", vector_to_array("features"))
-    m = fit_extra_trees(tr, ["fold_id"], n_trees=spec.n_estimators, max_depth=L._depth(spec.max_depth))
+    m = fit_extra_trees(tr, ["fold_id"], n_trees=spec.n_estimators, max_depth=spec.max_depth)
     return m.predict(va, ["fold_id", "row_id", "label"]).select(
         "row_id", "label", "proba", F.lit(spec.name).alias("model"), F.col("fold_id").alias("fold"))
 

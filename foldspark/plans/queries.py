@@ -394,7 +394,7 @@ def churn_test(spark, sf_dir) -> DataFrame:
 
 @register("permutation_plan")
 def permutation_plan(spark, sf_dir):
-    return EX.permutation_plan(churn_test(spark, sf_dir), PERM_FEATURES, repeats=10)
+    return EX.permutation_plan(churn_test(spark, sf_dir), PERM_FEATURES, repeats=10).drop("donor_value")
 
 
 @register("permutation_importance_formula")
@@ -443,14 +443,6 @@ def soft_voting(spark, sf_dir):
     return round_doubles(G.soft_vote(X.scored_orders(spark, sf_dir), ["fold", "row_id", "label"]))
 
 
-@register("oof_accounting")
-def oof_accounting(spark, sf_dir):
-    p = X.scored_orders(spark, sf_dir)
-    per_row = p.groupBy("model", "row_id").agg(F.count(F.lit(1)).alias("times"))
-    return per_row.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("times").alias("n_predictions"),
-                                        F.max("times").alias("max_times"), F.min("times").alias("min_times"))
-
-
 @register("meta_features")
 def meta_features(spark, sf_dir):
     p = X.scored_orders(spark, sf_dir)
@@ -515,16 +507,49 @@ def csv_infer(spark, sf_dir):
     return round_doubles(IO.read_table(spark, path, required=("customerID", "Churn")))
 
 
+def _best_record(spark, states) -> DataFrame:
+    best = J.choose_best(states).join(J.sample_candidates(spark, THRESHOLD_SPACE, 20, seed=42), "iteration")
+    best = best.withColumn("model", F.regexp_replace("model", '"', "")).withColumn("threshold", F.round("threshold", 6))
+    return IO.best_config(best, "f1", ["model", "threshold"], 20, J.PATIENCE, J.MIN_DELTA)
+
+
+@register("best_config_json")
+def best_config_json(spark, sf_dir):
+    """A6 + J7: the best-config JSON with its stopping rule, written and read back."""
+    path = _scratch(spark, "best-config-json")
+    IO.write_table(_best_record(spark, search_best_so_far(spark, sf_dir)).coalesce(1), path, "json")
+    c = spark.read.json(path)
+    return round_doubles(c.select("best_refit_metric", "best_refit_score_cv_mean", "best_params.*", "stopping_rule.*"))
+
+
+@register("fold_scores_json")
+def fold_scores_json(spark, sf_dir):
+    """H15 + A6: nested fold scores written as JSON and read back, one text of scores per model and metric."""
+    m = H.metrics(X.scored_orders(spark, sf_dir), MF)
+    nested = H.fold_scores_nested(H.fold_scores_long(m.drop("tn", "fp", "fn", "tp"), MF))
+    path = _scratch(spark, "fold-scores")
+    IO.write_table(nested, path, "json")
+    back = spark.read.schema("model string, scores map<string,array<double>>").json(path)
+    text = F.array_join(F.transform("scores", lambda v: F.format_string("%.6f", v)), ",")
+    return back.select("model", F.explode("scores").alias("metric", "scores")).select(
+        "model", "metric", text.alias("scores"))
+
+
+@register("confusion_json")
+def confusion_json(spark, sf_dir):
+    """H1 + A6: confusion matrices of the models written as nested JSON and read back."""
+    path = _scratch(spark, "confusion")
+    IO.write_table(H.confusion_matrix(H.confusion(X.scored_orders(spark, sf_dir), ["model"]), ["model"]), path, "json")
+    m = spark.read.schema("model string, matrix array<array<bigint>>").json(path)
+    return m.select("model", *[F.col("matrix")[i][j].alias(f"actual_{i}_predicted_{j}") for i in (0, 1) for j in (0, 1)])
+
+
 @register("config_overlay")
 def config_overlay(spark, sf_dir):
     """A3/A4/A6 + J7: the best candidate of the search written as a best-config JSON, read back,
     unwrapped and laid over the defaults."""
     st = search_best_so_far(spark, sf_dir)
-    best = J.choose_best(st).join(
-        J.sample_candidates(spark, THRESHOLD_SPACE, 20, seed=42), "iteration").select(
-        F.lit("f1").alias("best_refit_metric"), F.col("best").alias("best_refit_score_cv_mean"),
-        F.struct(F.regexp_replace("model", '"', "").alias("model"),
-                 F.round("threshold", 6).alias("threshold")).alias("best_params"))
+    best = _best_record(spark, st)
     path = _scratch(spark, "best-config")
     IO.write_table(best.coalesce(1), path, "json")
     given = IO.read_config(spark, path)
@@ -559,6 +584,65 @@ def oof_probabilities(spark, sf_dir):
     return G.oof_predict(train, bases, inner_k=3, parallelism=8)
 
 
+@register("oof_accounting")
+def oof_accounting(spark, sf_dir):
+    """Every training row is predicted exactly once by every base learner (counted on real out-of-fold output)."""
+    p = oof_probabilities(spark, sf_dir)
+    per_row = p.groupBy("model", "row_id").agg(F.count("proba").alias("times"))
+    return per_row.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("times").alias("n_predictions"),
+                                        F.max("times").alias("max_times"), F.min("times").alias("min_times"))
+
+
+def _accounts(pred: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, positives and probabilities outside [0, 1] of a prediction table, by key."""
+    return pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row_id").alias("n_keys"),
+                                 F.sum(F.col("label").cast("bigint")).alias("n_positive"),
+                                 F.count_if(F.col("proba").isNull() | ~F.col("proba").between(0, 1)).alias("n_bad"))
+
+
+@register("model_comparison")
+def model_comparison(spark, sf_dir):
+    """Step-1 comparison: all six models cross-validated on the churn table (settings ``LIGHT``); accounts by fold."""
+    df = churn_clean(spark, sf_dir)
+    return _accounts(XP.cross_validate(df, churn_roles(df), XP.ExperimentConfig(**LIGHT)), ["model", "fold"])
+
+
+@register("evaluate_best")
+def evaluate_best(spark, sf_dir):
+    """Out-of-fold threshold, refit and hold-out report of the best config (settings ``LIGHT``); row accounts."""
+    from foldspark.plans.tuning import evaluate_best as run
+    df = churn_clean(spark, sf_dir)
+    _, report = run(D.stratified_holdout(df), churn_roles(df), DEFAULT_PARAMS, XP.ExperimentConfig(**LIGHT))
+    inside = F.col("threshold").between(0.1, 0.9) & F.col("roc_auc").between(0, 1)
+    return report.select("kind", (F.col("tn") + F.col("fp")).alias("n_negative"),
+                         (F.col("fn") + F.col("tp")).alias("n_positive"), inside.alias("in_range"))
+
+
+@register("ablation_holdout")
+def ablation_holdout(spark, sf_dir):
+    """K1 + K5: the six variants fitted on the training split and measured on the hold-out (settings ``LIGHT``)."""
+    from foldspark.plans import ablation as K
+    df = churn_clean(spark, sf_dir)
+    m, _ = K.run_variants(df, churn_roles(df), DEFAULT_PARAMS, XP.ExperimentConfig(**LIGHT), holdout=True)
+    return m.join(K.variant_table(spark), "variant").select(
+        "variant", "learner", "smote", "threshold_mode", (F.col("tn") + F.col("fp")).alias("n_negative"),
+        (F.col("fn") + F.col("tp")).alias("n_positive"), F.col("roc_auc").between(0, 1).alias("in_range"))
+
+
+@register("explain_stack")
+def explain_stack(spark, sf_dir):
+    """L1 with the fitted stack + L9 (settings ``LIGHT``, 10 repeats): importance rows of every raw column, beside the
+    rows the hold-out metrics count."""
+    from foldspark.plans.explanation import explain
+    df = churn_clean(spark, sf_dir)
+    out = explain(df, churn_roles(df), DEFAULT_PARAMS, XP.ExperimentConfig(**LIGHT))
+    rows = out["holdout_metrics"].select((F.col("tn") + F.col("fp")).alias("n_negative"),
+                                         (F.col("fn") + F.col("tp")).alias("n_positive"))
+    imp = out["permutation_importance"]
+    ok = F.col("baseline").between(0, 1) & F.col("importance_mean").between(-1, 1) & (F.col("importance_std") >= 0)
+    return H.attach(imp.select("feature", ok.alias("in_range")), rows, [])
+
+
 @register("gain_importance")
 def gain_importance(spark, sf_dir):
     """L2 + L4: booster gain importance on the transformed, oversampled training split, per original column."""

