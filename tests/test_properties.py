@@ -384,3 +384,24 @@ def test_small_scale_column_is_not_constant(spark):
     df = spark.createDataFrame([(float(i) * 1e-13, 5.0) for i in range(7)], "a double, b double")
     r = df.agg(*[_constant(F.var_pop(c), F.avg(c), F.count(c)).alias(c) for c in "ab"]).first()
     assert r.a is False and r.b is True
+
+
+def test_extra_trees_without_a_depth_limit_separate_all_rows(spark):
+    from foldspark.operators.boost import fit_extra_trees
+    rng = np.random.default_rng(5)
+    rows = [(0, f"r{i}", int(rng.random() < 0.5), [float(v) for v in rng.random(2)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "fold_id int, row_id string, label int, features array<double>")
+    m = fit_extra_trees(df, ["fold_id"], n_trees=2, max_depth=None)
+    got = m.predict(df, ["fold_id", "row_id", "label"]).collect()
+    assert len(got) == 120 and all(abs(r["proba"] - r["label"]) < 1e-9 for r in got)
+
+
+def test_repeated_keys_and_too_deep_trees_are_errors(spark):
+    from foldspark.operators import ensemble as G
+    from foldspark.operators import learners as L
+    oof = spark.createDataFrame([("a", 0, "M", 0.1), ("a", 0, "M", 0.2)], "row_id string, label int, model string, proba double")
+    with pytest.raises(Exception, match="several predictions"):
+        G.meta_features(oof, ["row_id", "label"], ["M"]).collect()
+    with pytest.raises(ValueError, match="depth 40"):
+        L.estimator(L.RandomForest(5, 40))
+    assert L.estimator(L.RandomForest(5, None)).getMaxDepth() == 30
