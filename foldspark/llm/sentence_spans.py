@@ -110,9 +110,15 @@ def repeated_spans(documents: DataFrame, span_words: int = 20, long_words: int =
     Overlapping spans of a document are one passage; first_doc_id is the smallest document that keeps a span of it.
     """
     spans = materialise(document_spans(documents, span_words, long_words), "sentence-spans")
-    first = spans.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("f"), F.count("*").alias("places")) \
-        .filter("places > 1").drop("places")
-    again = spans.join(first, "key").filter(F.struct("doc_id", "begin") != F.col("f")).select(
+    first = materialise(spans.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("f"), F.count("*").alias("places"))
+                        .filter("places > 1"), "first-spans")
+    # a key of more than a thousandth of all spans is hot: there are under a thousand such, so their places meet the first
+    # one by broadcast and are never dealt by key; no key of the other join holds more than that share
+    is_hot = F.col("places") * 1000 > spans.count()
+    hot = first.filter(is_hot).drop("places")
+    found = spans.join(F.broadcast(hot), "key").unionByName(
+        spans.join(F.broadcast(hot.select("key")), "key", "left_anti").join(first.filter(~is_hot).drop("places"), "key"))
+    again = found.filter(F.struct("doc_id", "begin") != F.col("f")).select(
         "doc_id", "begin", "end", F.col("f.doc_id").alias("first_doc_id")) \
         .groupBy("doc_id", "begin").agg(F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
     # overlapping spans of one document: at most its sentences
