@@ -284,6 +284,21 @@ def test_sentence_spans(spark, odd_documents):
     assert {r.doc_id: r.text for r in odd.collect()}[2] == ""
 
 
+def test_spans_of_hot_and_of_rare_keys(spark):
+    """A passage of 50 documents (hot: over a thousandth of all spans) and one of two documents, among many spans."""
+    def passage(name):
+        return " ".join(f"{name}{i}" + ("." if i % 11 == 10 else "") for i in range(44))
+
+    own = ["".join(f"w{d}x{s}x{i}" + (". " if i == 7 else " ") for s in range(120) for i in range(8)) for d in range(40)]
+    rows = [(d, t) for d, t in enumerate(own)] + [(100 + d, passage("hot") + f" Own{d} end.") for d in range(50)]
+    rows += [(200, passage("rare")), (201, f"Other{1} start. " + passage("rare"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = sentence_spans.document_spans(docs).count()
+    assert 2 * 1000 < n < 50 * 1000
+    found = {(r.doc_id, r.first_doc_id) for r in sentence_spans.repeated_spans(docs).collect()}
+    assert found == {(100 + d, 100) for d in range(1, 50)} | {(201, 200)}
+
+
 def test_merge_dropout(odd_documents):
     sp = sentencepiece.SentencePieceProcessor(model_file=merge_dropout.model_path())
     plain = merge_dropout.Encoder(merge_dropout.model_path(), 0.0, 1, 1)
