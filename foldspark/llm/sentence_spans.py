@@ -1,11 +1,14 @@
 """Substring deduplication by sliding sentence spans (operator 8).
 
-A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` before white space; a sentence of more than
-``long_words`` words is cut further after words whose checksum leaves remainder 0 modulo 8, so that a passage without
-marks is cut alike wherever it stands.  From every sentence starts one span: the fewest consecutive sentences, two
-at least, with ``span_words`` words or more.  A span's key is a 64-bit hash of its sentences, lower-cased, white space
-collapsed.  Equal keys meet globally; the first place, in the order of (doc_id, position), keeps the passage, and the
-sentences under every other place go.
+A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` before white space, and a sentence further
+after the word of least hash (the last one on ties) of every ``window`` consecutive words in it.  So a cut depends on at
+most ``window`` words to either side, and no two cuts are more than ``window`` words apart.  From every unit between
+cuts starts one span: the fewest consecutive units, two at least, with ``span_words`` words or more.  A span's key is a
+64-bit hash of its words, lower-cased.  Equal keys meet globally; the first place, in the order of (doc_id, position),
+keeps the passage, and the units under every other place go.
+
+Any ``4 * window + span_words - 3`` words (49 by default) that stand in two texts, at whatever places, hold a span of
+both: cuts agree from the ``window``-th word on and up to ``window`` words before the end.
 
 A key costs one row for each place; the first place is aggregated before the shuffle, and a key that is held by very many
 texts is an ordinary, splittable join key.
@@ -17,99 +20,112 @@ fewer than ``span_words`` words have no span; an empty table gives an empty resu
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import materialise, mix64, slices
 
-_END = re.compile(r"[.!?]\s+|\n\s*")
-_WORD = re.compile(r"\S+")
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])   # no white space lies behind
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
-def sentences(text: str, long_words: int = 24) -> tuple[list[int], list[int], list[int]]:
-    """Begins, ends (code points) and word counts of the sentences of a text."""
-    begins, ends, counts = [], [], []
-    at = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        words = len(text[at:end].split()) if end > at else 0
-        if words > long_words:
-            begin, n = at, 0
-            for m in _WORD.finditer(text, at, end):
-                n += 1
-                if zlib.crc32(m[0].lower().encode()) % 8 == 0:
-                    begins.append(begin)
-                    ends.append(m.end())
-                    counts.append(n)
-                    begin, n = m.end(), 0
-            if n:
-                begins.append(begin)
-                ends.append(end)
-                counts.append(n)
-        elif words:
-            begins.append(at)
-            ends.append(end)
-            counts.append(words)
-        at = end
-    return begins, ends, counts
-
-
-def text_spans(text: str, span_words: int = 20, long_words: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, begin, end) of the spans of a text; begin and end in code points, outer white space left out."""
-    begins, ends, counts = sentences(text, long_words)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.r_[np.uint64(1), np.full(n, base)], dtype=np.uint64)
+
+
+def _lower(text: str) -> str:
+    """Lower case, a character for each character whatever stands around it."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower()[0] for c in text)
+    return low.replace("\u03c2", "\u03c3")
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def text_spans(texts: list[str], span_words: int = 20, window: int = 8) -> tuple[np.ndarray, ...]:
+    """(key, text number, begin, end) of the spans of some texts; begin and end in code points."""
     none = np.empty(0, np.int64)
-    if len(begins) < 2 or sum(counts) < span_words:
-        return none, none, none
-    parts = [" ".join(text[b:e].lower().split()) for b, e in zip(begins, ends, strict=True)]
-    hashed = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)
-    n = len(hashed)
-    words = np.r_[0, np.cumsum(counts)]
-    first = np.arange(n)
-    last = np.maximum(np.searchsorted(words, words[:-1] + span_words, "left") - 1, first + 1)
-    first, last = first[last < n], last[last < n]
-    if not len(first):
-        return none, none, none
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    joined = "\n".join(texts)
+    codes = _codes(joined)
+    space = np.r_[True, _SPACES[np.minimum(codes, len(_SPACES) - 1)], True]
+    begins, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    n = len(begins)
+    if not n:
+        return none, none, none, none
+    own = np.searchsorted(starts, begins, "right") - 1
+    # words: hashes of their characters
+    sizes = ends - begins
+    inside = ~space[1:-1]
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    power = _powers(_STEP, int(sizes.max()))
+    with np.errstate(over="ignore"):
+        chars = (_codes(_lower(joined))[inside].astype(np.uint64) + np.uint64(1)) * power[at]
+        words = mix64(np.add.reduceat(chars, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+    # sentence ends, then the words of least hash
+    lines = np.r_[0, np.cumsum(codes == 10)]
+    marked = np.isin(codes[ends - 1], [ord(c) for c in ".!?"])
+    stop = marked | np.r_[lines[begins[1:]] > lines[ends[:-1]], True]
+    cut = stop.copy()
+    if n >= window:
+        sentence = np.cumsum(stop) - stop
+        whole = np.flatnonzero(sentence[: n - window + 1] == sentence[window - 1:])
+        views = np.lib.stride_tricks.sliding_window_view(words[::-1], window)[::-1]
+        cut[whole + window - 1 - views[whole].argmin(axis=1)] = True
+    last = np.flatnonzero(cut)
+    first = np.r_[0, last[:-1] + 1]
+    text, m = own[last], len(last)
+    # a unit takes the white space before it inside a sentence, and that after it at the end of one
+    final = np.r_[text[1:] != text[:-1], True]
+    unit_end = np.where(stop[last], np.r_[begins, 0][last + 1], ends[last])
+    unit_end[final] = starts[text[final] + 1] - 1
+    unit_begin = np.r_[0, np.where(final[:-1], starts[text[1:]], unit_end[:-1])]
+    unit_begin[0] = starts[text[0]]
+    unit = np.arange(m)
+    to = np.maximum(np.searchsorted(last, first + span_words - 1), unit + 1)
+    to[(to >= m) | (text[np.minimum(to, m - 1)] != text)] = -1
+    i, j = unit[to >= 0], to[to >= 0]
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.r_[np.uint64(1), np.full(n, _STEP)], dtype=np.uint64)
-        back = np.cumprod(np.r_[np.uint64(1), np.full(n, _BACK)], dtype=np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashed * power[:n], out=sums[1:])
-        key = mix64((sums[last + 1] - sums[first]) * back[first] + (last - first).astype(np.uint64))
-    begin, end = np.array(begins)[first], np.array(ends)[last]
-    return key.view(np.int64), begin, end
+        sums = np.r_[np.uint64(0), np.cumsum(words * _powers(_STEP, n)[:n])]
+        key = mix64((sums[last[j] + 1] - sums[first[i]]) * _powers(_BACK, n)[first[i]]
+                    + (last[j] - first[i]).astype(np.uint64))
+    return key.view(np.int64), text[i], unit_begin[i] - starts[text[i]], unit_end[j] - starts[text[i]]
 
 
-def document_spans(documents: DataFrame, span_words: int = 20, long_words: int = 24) -> DataFrame:
+def document_spans(documents: DataFrame, span_words: int = 20, window: int = 8) -> DataFrame:
     """(key, doc_id, begin, end) of every span."""
     rows = documents.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            found = [text_spans(t, span_words, long_words) for t in batch.column(1).to_pylist()]
-            own = np.repeat(batch.column(0).to_numpy(), [len(f[0]) for f in found])
-            key, begin, end = (np.concatenate([f[i] for f in found]) for i in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(own, pa.int64()), pa.array(begin.astype(np.int32)),
-                 pa.array(end.astype(np.int32))], names=["key", "doc_id", "begin", "end"])
+            texts, own = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            # some millions of characters at a time, or a single text
+            share = np.cumsum([len(t) for t in texts]) // 4_000_000
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(share)) + 1):
+                key, text, begin, end = text_spans([texts[i] for i in part], span_words, window)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(own[part][text], pa.int64()), pa.array(begin.astype(np.int32)),
+                     pa.array(end.astype(np.int32))], names=["key", "doc_id", "begin", "end"])
 
     return rows.mapInArrow(spans, "key long, doc_id long, begin int, end int")
 
 
-def repeated_spans(documents: DataFrame, span_words: int = 20, long_words: int = 24) -> DataFrame:
+def repeated_spans(documents: DataFrame, span_words: int = 20, window: int = 8) -> DataFrame:
     """The passages that go: (doc_id, char_start, char_end, first_doc_id, n_spans) (operator 8).
 
     Overlapping spans of a document are one passage; first_doc_id is the smallest document that keeps a span of it.
     """
-    spans = materialise(document_spans(documents, span_words, long_words), "sentence-spans")
+    spans = materialise(document_spans(documents, span_words, window), "sentence-spans")
     first = materialise(spans.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("f"), F.count("*").alias("places"))
                         .filter("places > 1"), "first-spans")
     # a key of more than a thousandth of all spans is hot: there are under a thousand such, so their places meet the first
@@ -121,7 +137,7 @@ def repeated_spans(documents: DataFrame, span_words: int = 20, long_words: int =
     again = found.filter(F.struct("doc_id", "begin") != F.col("f")).select(
         "doc_id", "begin", "end", F.col("f.doc_id").alias("first_doc_id")) \
         .groupBy("doc_id", "begin").agg(F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
-    # overlapping spans of one document: at most its sentences
+    # overlapping spans of one document: at most its units
     ordered = Window.partitionBy("doc_id").orderBy("begin")
     before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     begun = again.withColumn("fresh", F.coalesce(before <= F.col("begin"), F.lit(True)).cast("int"))
@@ -131,9 +147,9 @@ def repeated_spans(documents: DataFrame, span_words: int = 20, long_words: int =
         F.min("first_doc_id").alias("first_doc_id"), F.count("*").alias("n_spans")).drop("passage")
 
 
-def remove_repeats(documents: DataFrame, span_words: int = 20, long_words: int = 24) -> DataFrame:
+def remove_repeats(documents: DataFrame, span_words: int = 20, window: int = 8) -> DataFrame:
     """The documents without repeated passages; all columns are kept, and ``n_chars`` follows the text if present."""
-    passages = repeated_spans(documents, span_words, long_words)
+    passages = repeated_spans(documents, span_words, window)
     by_doc = materialise(passages.groupBy(F.col("doc_id").alias("__doc")).agg(
         F.sort_array(F.collect_list(F.struct("char_start", "char_end"))).alias("__gone")), "passages")
     joined = documents.join(by_doc, F.col("doc_id") == F.col("__doc"), "left")

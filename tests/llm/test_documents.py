@@ -319,3 +319,23 @@ def test_merge_dropout(odd_documents):
     for d, t in sorted_rows(odd_documents):
         assert rows[d].text_sha256 == (None if t is None else hashlib.sha256(t.encode()).hexdigest())
     assert rows[5].n_tokens == 0 and rows[4].n_tokens is None
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_spans_of_excerpts_at_random_places(marks):
+    """An excerpt of 51 words, cut out and put in at random word places, always shares a span with its source."""
+    rng = np.random.default_rng(11)
+
+    def words(n, name):
+        return [f"{name}{rng.integers(0, 400)}" + ("." if marks and rng.random() < 0.1 else "") for _ in range(n)]
+
+    for k in range(400):
+        source = words(200, "s")
+        at, a, b = int(rng.integers(0, 150)), int(rng.integers(0, 60)), int(rng.integers(0, 60))
+        excerpt = source[at:at + 51]
+        hosts = [words(60, f"h{k}x"), words(60, f"i{k}x")]
+        texts = [" ".join(h[:p] + excerpt + h[p:]) for h, p in zip(hosts, (a, b), strict=True)]
+        keys, text, begin, end = sentence_spans.text_spans(texts)
+        assert set(keys[text == 0].tolist()) & set(keys[text == 1].tolist())
+        alone = sentence_spans.text_spans(texts[1:])   # the same spans whatever texts come before
+        assert all((x[text == 1] == y).all() for x, y in zip((keys, begin, end), (alone[0], *alone[2:]), strict=True))
