@@ -2,9 +2,10 @@
 
 A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` before white space, and a sentence further
 after the word of least hash (the last one on ties) of every ``window`` consecutive words in it.  So a cut depends on at
-most ``window`` words to either side, and no two cuts are more than ``window`` words apart.  From every unit between
-cuts starts one span: the fewest consecutive units, two at least, with ``span_words`` words or more.  A span's key is a
-64-bit hash of its words, lower-cased.  Equal keys meet globally; the first place, in the order of (doc_id, position),
+most ``window`` words to either side, and no two cuts are more than ``window`` words apart.  At every unit between
+cuts one span starts and one ends: the fewest consecutive units, two at least, with ``span_words`` words or more.  So
+every unit of a repeated run of that many words lies in a repeated span.  A span's key is a 64-bit hash of its words,
+lower-cased.  Equal keys meet globally; the first place, in the order of (doc_id, position),
 keeps the passage, and the units under every other place go.
 
 Any ``4 * window + span_words - 3`` words (49 by default) that stand in two texts, at whatever places, hold a span of
@@ -93,7 +94,10 @@ def text_spans(texts: list[str], span_words: int = 20, window: int = 8) -> tuple
     unit = np.arange(m)
     to = np.maximum(np.searchsorted(last, first + span_words - 1), unit + 1)
     to[(to >= m) | (text[np.minimum(to, m - 1)] != text)] = -1
-    i, j = unit[to >= 0], to[to >= 0]
+    since = np.minimum(np.searchsorted(first, last - span_words + 1, "right") - 1, unit - 1)
+    since[(since < 0) | (text[since] != text)] = -1
+    ending = (since >= 0) & (to[since] != unit)   # the others are the shortest run from their first unit as well
+    i, j = np.r_[unit[to >= 0], since[ending]], np.r_[to[to >= 0], unit[ending]]
     with np.errstate(over="ignore"):
         sums = np.r_[np.uint64(0), np.cumsum(words * _powers(_STEP, n)[:n])]
         key = mix64((sums[last[j] + 1] - sums[first[i]]) * _powers(_BACK, n)[first[i]]
@@ -102,7 +106,7 @@ def text_spans(texts: list[str], span_words: int = 20, window: int = 8) -> tuple
 
 
 def document_spans(documents: DataFrame, span_words: int = 20, window: int = 8) -> DataFrame:
-    """(key, doc_id, begin, end) of every span."""
+    """(key, doc_id, begin, size) of every span: sizes are small numbers, which take less disk than ends."""
     rows = documents.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -115,9 +119,9 @@ def document_spans(documents: DataFrame, span_words: int = 20, window: int = 8)
                 key, text, begin, end = text_spans([texts[i] for i in part], span_words, window)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(own[part][text], pa.int64()), pa.array(begin.astype(np.int32)),
-                     pa.array(end.astype(np.int32))], names=["key", "doc_id", "begin", "end"])
+                     pa.array((end - begin).astype(np.int32))], names=["key", "doc_id", "begin", "size"])
 
-    return rows.mapInArrow(spans, "key long, doc_id long, begin int, end int")
+    return rows.mapInArrow(spans, "key long, doc_id long, begin int, size int")
 
 
 def repeated_spans(documents: DataFrame, span_words: int = 20, window: int = 8) -> DataFrame:
@@ -135,8 +139,8 @@ def repeated_spans(documents: DataFrame, span_words: int = 20, window: int = 8)
     found = spans.join(F.broadcast(hot), "key").unionByName(
         spans.join(F.broadcast(hot.select("key")), "key", "left_anti").join(first.filter(~is_hot).drop("places"), "key"))
     again = found.filter(F.struct("doc_id", "begin") != F.col("f")).select(
-        "doc_id", "begin", "end", F.col("f.doc_id").alias("first_doc_id")) \
-        .groupBy("doc_id", "begin").agg(F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
+        "doc_id", "begin", "size", F.col("f.doc_id").alias("first_doc_id")) \
+        .groupBy("doc_id", "begin").agg((F.col("begin") + F.max("size")).alias("end"), F.min("first_doc_id").alias("first_doc_id"))
     # overlapping spans of one document: at most its units
     ordered = Window.partitionBy("doc_id").orderBy("begin")
     before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))

@@ -339,3 +339,20 @@ def test_spans_of_excerpts_at_random_places(marks):
         assert set(keys[text == 0].tolist()) & set(keys[text == 1].tolist())
         alone = sentence_spans.text_spans(texts[1:])   # the same spans whatever texts come before
         assert all((x[text == 1] == y).all() for x, y in zip((keys, begin, end), (alone[0], *alone[2:]), strict=True))
+
+
+def test_repeated_sentences_go_to_their_last_word(spark):
+    """Nothing of a passage of whole sentences stays in later copies, also not a tail of under 20 words."""
+    rng = np.random.default_rng(12)
+    rows, own = [], {}
+    for k in range(60):
+        sizes = [20, 20, 6, 5] if k == 0 else rng.integers(1, 25, int(rng.integers(4, 9))).tolist()
+        passage = " ".join(" ".join(f"p{k}x{i}x{rng.integers(0, 99)}" for i in range(n)) + "." for i, n in enumerate(sizes))
+        if sum(sizes) < 20:
+            continue
+        for d in range(3):
+            before, after = (" ".join(f"{x}{d}x{k}x{i}" for i in range(30)) + "." for x in "ba")
+            rows.append((10 * k + d, f"{before} {passage} {after}"))
+            own[10 * k + d] = rows[-1][1] if d == 0 else f"{before} {after}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in sentence_spans.remove_repeats(docs).collect()} == own
