@@ -169,8 +169,11 @@ def removed_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8)
     return again.unionByName(near)
 
 
-def dedup_lines(documents: DataFrame, min_words: int = 3, near_words: int = 8) -> DataFrame:
-    """The documents without the lines that go; all columns are kept, and ``n_chars`` follows the text if present."""
+def dedup_lines(documents: DataFrame, min_words: int = 1, near_words: int = 8) -> DataFrame:
+    """The documents without the lines that go; all columns are kept, and ``n_chars`` follows the text if present.
+
+    Equal lines go from one word on, so also the lines of scripts without spaces; only ``removed_lines`` starts at three.
+    """
     gone = removed_lines(documents.select("doc_id", "text"), min_words, near_words)
     by_doc = materialise(gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone")),
                          "gone-lines")

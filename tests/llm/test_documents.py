@@ -356,3 +356,12 @@ def test_repeated_sentences_go_to_their_last_word(spark):
             own[10 * k + d] = rows[-1][1] if d == 0 else f"{before} {after}"
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in sentence_spans.remove_repeats(docs).collect()} == own
+
+
+def test_short_equal_lines_go(spark):
+    """Lines of one or two words, and lines without spaces, stay only where they stand first."""
+    rows = [(1, "Les.\nAnd so.\n我们在这里写了很长的一行文字\n\nmine"), (2, "And so.\n我们在这里写了很长的一行文字\n\n \nLes. \nyours"),
+            (3, "Les.\nLes.\nown line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert clean == {1: rows[0][1], 2: "\n \nLes. \nyours", 3: "own line"}
