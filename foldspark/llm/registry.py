@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import line_dedup
+from foldspark.llm import lexical_search, line_dedup
 from foldspark.llm.chat import chat_round_trip
 from foldspark.llm.common import table
 from foldspark.llm.language_id import identify
+from foldspark.llm.lexical_search import ranked_search
+from foldspark.llm.license_scan import license_labels
 from foldspark.llm.merge_dropout import round_trip
 from foldspark.llm.packing import pack_documents
+from foldspark.llm.periodic_runs import plant_periods, run_digests
 from foldspark.llm.sentence_spans import repeated_spans
 from foldspark.llm.setjoin import jaccard_components
 from foldspark.llm.token_files import token_files
@@ -61,7 +64,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(plant_periods(table(spark, sf_dir, "documents")))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_language_id, op3_merge_dropout, op4_best_fit_packing, op5_vantage_point_trees,
-    op6_chat_formatting, op7_vector_approximation, op8_sentence_spans, op9_shingle_jaccard, op10_line_dedup)}
-ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
+    op6_chat_formatting, op7_vector_approximation, op8_sentence_spans, op9_shingle_jaccard, op10_line_dedup, op11_periodic_runs,
+    op12_license_scan, op13_lexical_search)}
+ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
