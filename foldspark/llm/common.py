@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldspark.session import ensure_checkpoint_dir
 
@@ -25,10 +26,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = path or shared_path(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")  # nothing reads the shuffles of this write again: Spark drops them when it ends
     try:
@@ -38,6 +39,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of ids that ``with_text_id`` sends to every task; more are joined by a shuffle, with the same result.
+MAX_BROADCAST = 16 << 20
+
+
+def with_text_id(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``__text``: what tells the texts of one doc_id apart, 0 for a doc_id with a single text.
+
+    A place in a text is (doc_id, __text, position), so rows that repeat doc_id and text share their places and rows that
+    repeat a doc_id with other texts do not.
+    """
+    own = F.xxhash64(F.lit("text"), F.col("text"))
+    several = documents.filter("doc_id is not null and text is not null").select("doc_id", own.alias("h")) \
+        .groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")) \
+        .filter("low <> high").select(F.col("doc_id").alias("__several"))
+    several = materialise(several, "several-texts")
+    size = several.count() * 16
+    side = F.broadcast(several) if size <= MAX_BROADCAST else several.hint("merge")
+    found = documents.join(side, F.col("doc_id") == F.col("__several"), "left")
+    return found.withColumn("__text", F.when(F.col("__several").isNotNull(), own).otherwise(F.lit(0).cast("long"))) \
+        .drop("__several")
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

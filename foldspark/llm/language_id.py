@@ -31,7 +31,12 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import slices
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Any letter of any script; digits, fractions and superscripts are none."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -226,7 +231,7 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in slices(batches):
-            texts = [t if t is not None and _LETTER.search(t) else None for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [t if t is not None and has_letter(t) else None for t in batch.column(batch.num_columns - 1).to_pylist()]
             clear = [normalise(t) for t in texts if t is not None]
             names, chance, mean = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if own.languages and clear:

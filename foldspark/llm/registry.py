@@ -61,7 +61,7 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents")).drop("text_id", "kept_text_id")
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

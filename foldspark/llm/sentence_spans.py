@@ -5,7 +5,7 @@ after the word of least hash (the last one on ties) of every ``window`` consecut
 most ``window`` words to either side, and no two cuts are more than ``window`` words apart.  At every unit between
 cuts one span starts and one ends: the fewest consecutive units, two at least, with ``span_words`` words or more.  So
 every unit of a repeated run of that many words lies in a repeated span.  A span's key is a 64-bit hash of its words,
-lower-cased.  Equal keys meet globally; the first place, in the order of (doc_id, position),
+lower-cased.  Equal keys meet globally; the first place, in the order of (doc_id, text, position),
 keeps the passage, and the units under every other place go.
 
 Any ``4 * window + span_words - 3`` words (49 by default) that stand in two texts, at whatever places, hold a span of
@@ -14,9 +14,10 @@ both: cuts agree from the ``window``-th word on and up to ``window`` words befor
 A key costs one row for each place; the first place is aggregated before the shuffle, and a key that is held by very many
 texts is an ordinary, splittable join key.
 
-Cases: null text, empty text or null doc_id: no spans; rows that repeat doc_id and text count as one place; texts with
-fewer than ``span_words`` words have no span; an empty table gives an empty result; other columns are kept by
-``remove_repeats``.
+Cases: null text, empty text or null doc_id: no spans; rows that repeat doc_id and text count as one place; rows that
+repeat a doc_id with another text are texts of their own, told apart by ``text_id`` (0 where a doc_id has one text);
+texts with fewer than ``span_words`` words have no span; very long texts are cut whole, one at a time; an empty table
+gives an empty result; other columns, whatever their names, are kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import materialise, mix64, slices
+from foldspark.llm.common import materialise, mix64, slices, with_text_id
 
 _SPACES = np.array([chr(c).isspace() for c in range(0x3002)])   # no white space lies behind
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -106,31 +107,38 @@ def text_spans(texts: list[str], span_words: int = 20, window: int = 8) -> tuple
 
 
 def document_spans(documents: DataFrame, span_words: int = 20, window: int = 8) -> DataFrame:
-    """(key, doc_id, begin, size) of every span: sizes are small numbers, which take less disk than ends."""
+    """(key, doc_id, text_id, begin, size) of every span: sizes are small numbers, which take less disk than ends."""
     rows = documents.filter("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text")
+        F.col("doc_id").cast("long").alias("doc_id"), "text_id", "text")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            texts, own = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            texts, own, text_id = batch.column(2).to_pylist(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             # some millions of characters at a time, or a single text
             share = np.cumsum([len(t) for t in texts]) // 4_000_000
             for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(share)) + 1):
                 key, text, begin, end = text_spans([texts[i] for i in part], span_words, window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(own[part][text], pa.int64()), pa.array(begin.astype(np.int32)),
-                     pa.array((end - begin).astype(np.int32))], names=["key", "doc_id", "begin", "size"])
+                    [pa.array(key), pa.array(own[part][text], pa.int64()), pa.array(text_id[part][text], pa.int64()),
+                     pa.array(begin.astype(np.int32)), pa.array((end - begin).astype(np.int32))],
+                    names=["key", "doc_id", "text_id", "begin", "size"])
 
-    return rows.mapInArrow(spans, "key long, doc_id long, begin int, size int")
+    return rows.mapInArrow(spans, "key long, doc_id long, text_id long, begin int, size int")
 
 
 def repeated_spans(documents: DataFrame, span_words: int = 20, window: int = 8) -> DataFrame:
-    """The passages that go: (doc_id, char_start, char_end, first_doc_id, n_spans) (operator 8).
+    """The passages that go: (doc_id, text_id, char_start, char_end, first_doc_id, n_spans) (operator 8).
 
-    Overlapping spans of a document are one passage; first_doc_id is the smallest document that keeps a span of it.
+    Overlapping spans of a text are one passage; first_doc_id is the smallest document that keeps a span of it.
     """
+    named = with_text_id(documents.select("doc_id", "text")).withColumnRenamed("__text", "text_id")
+    return _repeated(named, span_words, window)
+
+
+def _repeated(documents: DataFrame, span_words: int, window: int) -> DataFrame:
+    place = F.struct("doc_id", "text_id", "begin")
     spans = materialise(document_spans(documents, span_words, window), "sentence-spans")
-    first = materialise(spans.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("f"), F.count("*").alias("places"))
+    first = materialise(spans.groupBy("key").agg(F.min(place).alias("f"), F.count("*").alias("places"))
                         .filter("places > 1"), "first-spans")
     # a key of more than a thousandth of all spans is hot: there are under a thousand such, so their places meet the first
     # one by broadcast and are never dealt by key; no key of the other join holds more than that share
@@ -138,25 +146,27 @@ def repeated_spans(documents: DataFrame, span_words: int = 20, window: int = 8)
     hot = first.filter(is_hot).drop("places")
     found = spans.join(F.broadcast(hot), "key").unionByName(
         spans.join(F.broadcast(hot.select("key")), "key", "left_anti").join(first.filter(~is_hot).drop("places"), "key"))
-    again = found.filter(F.struct("doc_id", "begin") != F.col("f")).select(
-        "doc_id", "begin", "size", F.col("f.doc_id").alias("first_doc_id")) \
-        .groupBy("doc_id", "begin").agg((F.col("begin") + F.max("size")).alias("end"), F.min("first_doc_id").alias("first_doc_id"))
-    # overlapping spans of one document: at most its units
-    ordered = Window.partitionBy("doc_id").orderBy("begin")
+    again = found.filter(place != F.col("f")).select(
+        "doc_id", "text_id", "begin", "size", F.col("f.doc_id").alias("first_doc_id")) \
+        .groupBy("doc_id", "text_id", "begin").agg(
+            (F.col("begin") + F.max("size")).alias("end"), F.min("first_doc_id").alias("first_doc_id"))
+    # overlapping spans of one text: at most its units
+    ordered = Window.partitionBy("doc_id", "text_id").orderBy("begin")
     before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     begun = again.withColumn("fresh", F.coalesce(before <= F.col("begin"), F.lit(True)).cast("int"))
     numbered = begun.withColumn("passage", F.sum("fresh").over(ordered))
-    return numbered.groupBy("doc_id", "passage").agg(
+    return numbered.groupBy("doc_id", "text_id", "passage").agg(
         F.min("begin").alias("char_start"), F.max("end").alias("char_end"),
         F.min("first_doc_id").alias("first_doc_id"), F.count("*").alias("n_spans")).drop("passage")
 
 
 def remove_repeats(documents: DataFrame, span_words: int = 20, window: int = 8) -> DataFrame:
     """The documents without repeated passages; all columns are kept, and ``n_chars`` follows the text if present."""
-    passages = repeated_spans(documents, span_words, window)
-    by_doc = materialise(passages.groupBy(F.col("doc_id").alias("__doc")).agg(
+    named = with_text_id(documents)
+    passages = _repeated(named.select("doc_id", "text", F.col("__text").alias("text_id")), span_words, window)
+    by_doc = materialise(passages.groupBy(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__own")).agg(
         F.sort_array(F.collect_list(F.struct("char_start", "char_end"))).alias("__gone")), "passages")
-    joined = documents.join(by_doc, F.col("doc_id") == F.col("__doc"), "left")
+    joined = named.join(by_doc, (F.col("doc_id") == F.col("__doc")) & (F.col("__text") == F.col("__own")), "left")
     # code points kept: the stretches between the passages
     starts = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda g: g["char_end"]))
     ends = F.concat(F.transform("__gone", lambda g: g["char_start"]), F.array(F.length("text")))

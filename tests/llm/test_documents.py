@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on a small table of odd cases and on sf0.001."""
 import hashlib
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -91,6 +92,13 @@ def test_language_of_odd_documents(odd_documents):
     assert {4, 5, 6, 11}.isdisjoint({r.doc_id for r in kept.select("doc_id").collect()})
 
 
+def test_texts_without_letters_are_undetermined(spark, small):
+    odd = spark.createDataFrame([(9001, "\u00bd \u00b2 12 \u0664"), (9002, "\u4e2d"), (9003, "-- 7 --")], "doc_id long, text string") \
+        .selectExpr("doc_id", "text", "cast(null as string) as lang")
+    found = {r.doc_id: r.lang_pred for r in L.identify(small.select("doc_id", "text", "lang").unionByName(odd)).collect()}
+    assert found[9001] == found[9003] == "und" != found[9002]
+
+
 def test_language_held_out_accuracy(small):
     found = L.identify(small).join(small.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
@@ -232,7 +240,7 @@ def word_edits(a, b):
     return row[-1]
 
 
-def brute_lines(docs, min_words=3, near_words=8):
+def brute_lines(docs, min_words=1, near_words=8):
     lines = [(d, i, line, [w for w in line.replace("\t", " ").split(" ") if w]) for d, t in dict.fromkeys(docs)
              if d is not None and t is not None for i, line in enumerate(t.split("\n"))]
     lines = sorted(x for x in lines if len(x[3]) >= min_words)
@@ -258,14 +266,106 @@ def test_line_dedup(spark, odd_documents):
     rows += [(200, "a a b c d e f g h"), (201, "a b b c d e f g h"), (202, "a  a\tb c d e f g h")]
     docs = odd_documents.select("doc_id", "text").filter("doc_id is null or doc_id <> 10") \
         .unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {tuple(r) for r in line_dedup.removed_lines(docs).collect()}
+    got = {tuple(r) for r in line_dedup.removed_lines(docs).drop("text_id", "kept_text_id").collect()}
     assert got == brute_lines(sorted_rows(docs))
+    assert any(e == 0 and len(line.split()) < 3 for d, i, e, *_ in got for line in [dict(rows).get(d, "").split("\n")[i:i + 1] or [""]][0])
     clean = line_dedup.dedup_lines(odd_documents)
     assert clean.columns == odd_documents.columns and clean.count() == odd_documents.count()
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert texts[2] == "" and texts[4] is None and texts[1] == texts[None]
 
 
+def test_rows_of_one_id_with_several_texts(spark):
+    """Nothing that occurs once is lost when a doc_id comes back with another text; rows are told apart by their text."""
+    def words(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n)) + "."
+
+    first = "only in the first text\n" + words("a") + "\nshared line of the two rows\n" + words("same")
+    second = "only in the second text\nshared line of the two rows\n" + words("b") + "\n" + words("same")
+    rows = [(1, first), (1, second), (1, second), (2, first), (3, words("c"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup.dedup_lines(docs)
+    assert lines.count() == 5
+    left = sorted(r.text for r in lines.filter("doc_id = 1").collect())
+    held = [line for t in set(left) for line in t.split("\n") if line]
+    assert sorted(held) == sorted(set(first.split("\n")) | set(second.split("\n")))     # every line in one of the two texts
+    assert [r.text for r in lines.filter("doc_id >= 2").orderBy("doc_id").collect()] == ["", words("c")]
+    spans = sentence_spans.remove_repeats(docs)
+    assert spans.count() == 5
+    one = [set(r.text.split()) for r in spans.filter("doc_id = 1").collect()]
+    assert set().union(*one) >= set(words("a").split()) | set(words("b").split()) | set(words("same").split())
+    assert sum("same5" in t for t in {frozenset(t) for t in one}) == 1
+    gone = sentence_spans.repeated_spans(docs).collect()
+    assert len({(r.doc_id, r.text_id) for r in gone if r.doc_id == 1}) == 1
+
+
+def brute_removed(texts, span_words=20, window=8):
+    """Ranges that go from each of (doc_id, text) by the rules, with loops and words instead of keys."""
+    mask, step = (1 << 64) - 1, int(sentence_spans._STEP)
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    places = {}
+    for d, text in texts:
+        words = [m.span() for m in re.finditer(r"\S+", text)]
+        if not words:
+            continue
+        own = [text[a:b].lower() for a, b in words]
+        hashes = [mix((sum((ord(c) + 1) * pow(step, i, 1 << 64) for i, c in enumerate(w)) + len(w)) & mask) for w in own]
+        stops = [text[b - 1] in ".!?" or i + 1 == len(words) or "\n" in text[b:words[i + 1][0]] for i, (a, b) in enumerate(words)]
+        cuts, begin = {i for i, s in enumerate(stops) if s}, 0
+        for i, s in enumerate(stops):
+            if s:
+                for j in range(begin, i - window + 2):
+                    cuts.add(max(range(j, j + window), key=lambda q: (-hashes[q], q)))
+                begin = i + 1
+        last = sorted(cuts)
+        first = [0, *(c + 1 for c in last[:-1])]
+        ends = [words[c + 1][0] if stops[c] and c + 1 < len(words) else words[c][1] for c in last]
+        ends[-1] = len(text)
+        begins = [0, *ends[:-1]]
+        for i in range(len(last)):
+            after = next((j for j in range(i + 1, len(last)) if last[j] - first[i] + 1 >= span_words), None)
+            before = next((j for j in range(i - 1, -1, -1) if last[i] - first[j] + 1 >= span_words), None)
+            for a, b in {(i, after), (before, i)}:
+                if a is not None and b is not None:
+                    places.setdefault(tuple(own[first[a]:last[b] + 1]), set()).add((d, begins[a], ends[b]))
+    gone = {}
+    for spans in places.values():
+        kept = min(spans)
+        for d, a, b in spans:
+            if (d, a) != kept[:2]:
+                gone.setdefault(d, set()).update(range(a, b))
+    return gone
+
+
+def test_sentence_spans_against_loops(spark):
+    """At the registered settings: repeated passages of many lengths, inside and across sentences, also in one text."""
+    rng = np.random.default_rng(8)
+
+    def words(n):
+        return [f"{rng.choice(list('abcdefgh'))}{rng.integers(0, 300)}" + (rng.choice([".", "!", ",", ""], p=[.1, .02, .1, .78]))
+                for _ in range(n)]
+
+    shared = [words(int(n)) for n in rng.integers(15, 90, 12)]
+    rows = []
+    for d in range(40):
+        own = words(int(rng.integers(10, 120)))
+        for k in rng.integers(0, 12, int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(own) + 1))
+            a = int(rng.integers(0, 10))
+            own[at:at] = [w.upper() if rng.random() < 0.1 else w for w in shared[k][a:]]
+        rows.append((d, "".join(w + rng.choice([" ", "  ", "\n"], p=[.9, .05, .05]) for w in own)))
+    want = brute_removed(rows)
+    got = {}
+    for r in sentence_spans.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.char_start, r.char_end))
+    assert got == want and len(want) > 5
+
+
 def test_sentence_spans(spark, odd_documents):
     alone = " ".join(f"alpha{i}" for i in range(70)) + "."             # one passage without marks inside
     marked = " ".join(f"beta{i}" + ("." if i % 11 == 10 else "") for i in range(66)) + "."
@@ -293,7 +393,7 @@ def test_spans_of_hot_and_of_rare_keys(spark):
     rows = [(d, t) for d, t in enumerate(own)] + [(100 + d, passage("hot") + f" Own{d} end.") for d in range(50)]
     rows += [(200, passage("rare")), (201, f"Other{1} start. " + passage("rare"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    n = sentence_spans.document_spans(docs).count()
+    n = sentence_spans.document_spans(docs.selectExpr("doc_id", "0L as text_id", "text")).count()
     assert 2 * 1000 < n < 50 * 1000
     found = {(r.doc_id, r.first_doc_id) for r in sentence_spans.repeated_spans(docs).collect()}
     assert found == {(100 + d, 100) for d in range(1, 50)} | {(201, 200)}
