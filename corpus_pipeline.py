@@ -4,7 +4,9 @@ Every stage takes the documents that its predecessor kept, written as Parquet an
 the columns of ``documents``.  A text from which lines or passages go stays as a document, even when nothing is left
 of it; documents go only where a stage is there to drop them (no language; not the first of a group of near copies).
 
-Null and empty texts have no language and go in the first stage; an empty table passes through every stage.
+Null and empty texts have no language and go in the first stage; an empty table passes through every stage.  Rows that
+repeat doc_id and text are rows of their own until the near copies go by doc_id; rows that repeat a doc_id with another
+text keep what occurs in one of them only.  All columns of ``documents`` are carried on, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import materialise, table
+from foldspark.llm.common import delete_table, materialise, shared_path, table
 from foldspark.llm.language_id import keep_identified
 from foldspark.llm.line_dedup import dedup_lines
 from foldspark.llm.packing import pack_documents
@@ -55,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_path(spark, f"stage-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), name, path)
+        if read:
+            delete_table(spark, read)     # the stage just written was the last to read it
+        read = path
     return STAGES[-1][1](spark, docs, sf_dir)
