@@ -99,7 +99,12 @@ def exact_quantiles(counts: DataFrame, qs: list[float]) -> DataFrame:
 
     Ranks go from the sums of earlier partitions; only the partitions that hold a wanted rank are looked at.
     """
-    rows = _by_side(counts).filter("num IS NOT NULL")
+    return quantiles_of(_by_side(counts).filter("num IS NOT NULL"), qs)
+
+
+def quantiles_of(rows: DataFrame, qs: list[float]) -> DataFrame:
+    """The quantiles of ``rows (side, col_name, num, c, pid)``: ``c`` occurrences of every distinct value of a side, sorted by
+    (col_name, num) over the partitions ``pid``."""
     parts = rows.groupBy("side", "col_name", "pid").agg(F.sum("c").alias("here"))
     parts = parts.select("side", "col_name", "pid", "here", F.coalesce(F.sum("here").over(_earlier()), F.lit(0)).alias("before"),
                          F.sum("here").over(_whole()).alias("total"))        # sides x columns x partitions rows

@@ -342,26 +342,23 @@ def search_best_so_far(spark, sf_dir):
 
 # ---------------------------------------------------------------- learned (rows-only)
 from foldspark.operators import learners as L  # noqa: E402
+from foldspark.operators import newton as NE  # noqa: E402
 
 
-def cv_logistic(spark, sf_dir, k: int = 3) -> DataFrame:
-    """Minimum slice: churn -> folds -> per-fold prep -> logistic regression per fold -> metrics."""
-    from pyspark.ml.functions import array_to_vector
-    from foldspark.plans.experiment import prepared
-    df = churn_clean(spark, sf_dir)
-    f = D.stratified_kfold(df, k=k)
-    x = prepared(f, churn_roles(f), "fold", list(range(k)))
-    x = x.withColumn("features", array_to_vector("features"))
-    parts = L.run_parallel([
-        (lambda fid=fid: L.fit_predict(x.filter((F.col("fold_id") == fid) & (F.col("role") == "train")),
-                                       x.filter((F.col("fold_id") == fid) & (F.col("role") == "val")),
-                                       L.Logistic(C=1.0, max_iter=200), ["row_id", "label"])
-         .withColumn("fold", F.lit(fid)).withColumn("model", F.lit("Logistic")))
-        for fid in range(k)], parallelism=k)
-    pred = parts[0]
-    for p in parts[1:]:
-        pred = pred.unionByName(p)
-    return pred
+def cv_logistic(spark, sf_dir) -> DataFrame:
+    """Minimum slice: churn -> 5 folds -> per-fold prep -> one logistic fit for all folds -> held-out probabilities."""
+    f, st = churn_stats(spark, sf_dir)
+    x = cut_lineage(E.apply_prep(D.expand_folds(f, len(FOLD_IDS)), st, output="array")
+                    .select("fold_id", "role", "row_id", "label", "features"))
+    model = NE.fit_logistic(x.filter(F.col("role") == "train"), ["fold_id"], C=1.0)
+    pred = model.predict(x.filter(F.col("role") == "val"), ["fold_id", "row_id", "label"])
+    return pred.select(F.lit("Logistic").alias("model"), F.col("fold_id").alias("fold"), "row_id", "label", "proba")
+
+
+@register("cv_logistic_probabilities")
+def cv_logistic_probabilities(spark, sf_dir):
+    """G5 + G11: the held-out probability of every row, from the logistic models of all folds fitted together."""
+    return cv_logistic(spark, sf_dir).withColumn("proba", F.round("proba", 4))
 
 
 @register("cv_logistic_summary")
@@ -369,7 +366,8 @@ def cv_logistic_summary(spark, sf_dir):
     pred = cv_logistic(spark, sf_dir)
     m = H.metrics(pred, ["model", "fold"], 0.5, strict=True)
     long = H.fold_scores_long(m.drop("tn", "fp", "fn", "tp"), ["model", "fold"])
-    return round_doubles(H.summarize(long, ["model", "metric"], ddof=1))
+    s = H.summarize(long, ["model", "metric"], ddof=1)
+    return s.withColumn("mean", F.round("mean", 4)).withColumn("std", F.round("std", 4))
 
 
 # ---------------------------------------------------------------- L

@@ -416,6 +416,74 @@ JOIN vocab v ON v.fold_id = ex.fold_id AND v.col_name = c.col_name
 JOIN offs o ON o.fold_id = v.fold_id AND o.col_name = v.col_name
 LEFT JOIN modes m ON m.fold_id = ex.fold_id AND m.col_name = c.col_name""")
 
+# ---------------------------------------------------------------- G: logistic regression by Newton steps
+def newton_ctes(rows: str, steps: int = 8, C: float = 1.0) -> str:
+    """CTEs ``w0 .. w<steps>``: coefficients (fold_id, w) of the optimum of C * log loss + |w|^2 / 2 with a free intercept.
+
+    ``rows``: a CTE (fold_id, row_id, label, x) whose lists begin with 1.0.  Each step solves its system by Gauss-Jordan
+    elimination on lists, one recursion a column (the matrix is positive definite, so no pivots are searched).
+    """
+    out = [f"""
+cells AS MATERIALIZED (SELECT fold_id, row_id, i, v FROM (
+  SELECT fold_id, row_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM {rows}) c WHERE v <> 0),
+grid AS MATERIALIZED (SELECT fold_id, unnest(range(1, d + 1)) AS i, d FROM (SELECT fold_id, max(len(x)) AS d FROM {rows} GROUP BY fold_id)),
+w0 AS MATERIALIZED (SELECT fold_id, list(0.0::DOUBLE ORDER BY i) AS w FROM grid GROUP BY fold_id)"""]
+    for t in range(steps):
+        out.append(f"""
+p{t} AS MATERIALIZED (SELECT r.fold_id, row_id, label, 1.0 / (1.0 + exp(-list_dot_product(x, w))) AS p
+       FROM {rows} r JOIN w{t} ON r.fold_id = w{t}.fold_id),
+g{t} AS (SELECT c.fold_id, i, sum((p - label) * v) AS g FROM cells c JOIN p{t} p ON c.fold_id = p.fold_id AND c.row_id = p.row_id GROUP BY c.fold_id, i),
+h{t} AS (SELECT a.fold_id, a.i, b.i AS j, sum(p * (1.0 - p) * a.v * b.v) AS h
+       FROM cells a JOIN cells b ON a.fold_id = b.fold_id AND a.row_id = b.row_id
+       JOIN p{t} p ON p.fold_id = a.fold_id AND p.row_id = a.row_id GROUP BY a.fold_id, a.i, b.i),
+m{t} AS MATERIALIZED (SELECT fold_id, list(r ORDER BY i) AS m FROM (
+  SELECT a.fold_id, a.i, list({C!r} * coalesce(h.h, 0.0) + CASE WHEN a.i = b.i AND a.i > 1 THEN 1.0 ELSE 0.0 END ORDER BY b.i)
+         || [any_value({C!r} * coalesce(g.g, 0.0) + CASE WHEN a.i > 1 THEN w.w[a.i] ELSE 0.0 END)] AS r
+  FROM grid a JOIN grid b ON a.fold_id = b.fold_id JOIN w{t} w ON w.fold_id = a.fold_id
+  LEFT JOIN h{t} h ON h.fold_id = a.fold_id AND h.i = a.i AND h.j = b.i
+  LEFT JOIN g{t} g ON g.fold_id = a.fold_id AND g.i = a.i GROUP BY a.fold_id, a.i) z GROUP BY fold_id),
+s{t} AS (SELECT fold_id, CAST(0 AS BIGINT) AS k, m FROM m{t} UNION ALL
+  SELECT fold_id, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda e: e / r[i])
+         ELSE list_transform(r, lambda e, j: e - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM s{t} WHERE k < len(m)),
+w{t + 1} AS MATERIALIZED (SELECT s.fold_id, list_transform(w.w, lambda e, i: e - m[i][len(m) + 1]) AS w
+       FROM s{t} s JOIN w{t} w ON s.fold_id = w.fold_id WHERE k = len(m))""")
+    return ",".join(out)
+
+
+_LOGISTIC = f"""{_PREP},
+ex AS (SELECT ids.fold_id, CASE WHEN f.fold = ids.fold_id THEN 'val' ELSE 'train' END AS role, f.row_id, f.fold, f.label FROM churn_folds f, ids),
+modes AS (SELECT fold_id, col_name, category AS mode FROM vocab WHERE is_mode),
+long AS (
+  SELECT ex.fold_id, ex.role, ex.row_id, ex.label, CAST(s.position AS INT) AS feature_idx,
+         coalesce((coalesce(n.value, s.median) - s.mean) / s.std, 0.0) AS value
+  FROM ex JOIN num n ON n.row_id = ex.row_id JOIN nstat s ON s.fold_id = ex.fold_id AND s.col_name = n.col_name
+  UNION ALL
+  SELECT ex.fold_id, ex.role, ex.row_id, ex.label, CAST(o.off + v.idx AS INT),
+         CASE WHEN coalesce(c.value, m.mode) = v.category THEN 1.0 ELSE 0.0 END
+  FROM ex JOIN cat c ON c.row_id = ex.row_id
+  JOIN vocab v ON v.fold_id = ex.fold_id AND v.col_name = c.col_name
+  JOIN offs o ON o.fold_id = v.fold_id AND o.col_name = v.col_name
+  LEFT JOIN modes m ON m.fold_id = ex.fold_id AND m.col_name = c.col_name),
+xs AS MATERIALIZED (SELECT fold_id, role, row_id, any_value(label) AS label, [1.0] || list(value ORDER BY feature_idx) AS x
+       FROM long GROUP BY fold_id, role, row_id),
+train AS MATERIALIZED (SELECT * FROM xs WHERE role = 'train'),
+{newton_ctes('train')},
+pred AS MATERIALIZED (SELECT 'Logistic' AS model, xs.fold_id AS fold, row_id, label, 1.0 / (1.0 + exp(-list_dot_product(x, w))) AS proba
+         FROM xs JOIN w8 ON xs.fold_id = w8.fold_id WHERE role = 'val')"""
+
+register("cv_logistic_probabilities", ("churn_folds",), f"""
+WITH RECURSIVE {_LOGISTIC}
+SELECT model, fold, row_id, label, round(proba, 4) AS proba FROM pred""")
+
+register("cv_logistic_summary", ("churn_folds",), f"""
+WITH RECURSIVE {_LOGISTIC},
+c AS (SELECT model, fold, {confusion_sql('proba > 0.5')} FROM pred GROUP BY model, fold),
+a AS ({auc_sql('pred', 'model, fold')}),
+m AS (SELECT c.model, c.fold, {metric_sql(digits=None)}, a.roc_auc FROM c LEFT JOIN a ON c.model = a.model AND c.fold = a.fold),
+l AS (UNPIVOT m ON accuracy, balanced_accuracy, precision, recall_sensitivity, specificity, f1, roc_auc, mcc INTO NAME metric VALUE value)
+SELECT model, metric, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0.0), 4) AS std, count(value) AS n_folds
+FROM l GROUP BY model, metric""")
+
 # ---------------------------------------------------------------- F
 FIXTURE_SQL["emb_train"] = """
 emb_train AS (
