@@ -511,19 +511,24 @@ class Boosted:
         return x.mapInArrow(score, schema + "margin double, proba double")
 
     def nodes(self, spark) -> DataFrame:
-        """(group..., tree, node, feature, bin, threshold, left, right, value, gain, cover, n_rows): the model as a table;
-        ``feature`` -1 marks a leaf, values up to ``threshold`` go left."""
+        """(group..., tree, path, feature, threshold, value, gain, cover, n_rows): the model as a table.
+
+        ``path`` is the way from the root (L and R); ``feature`` -1 marks a leaf; values up to ``threshold`` go left.
+        """
         rows = []
         for t, own in enumerate(self.trees):
             for key, edges, tree in zip(self.keys, self.edges, own, strict=True):
-                for i, f in enumerate(tree.feature):
-                    cut = float(edges[f][tree.bin[i]]) if f >= 0 else None
-                    rows.append((*[str(v) for v in key], t, i, f, tree.bin[i] if f >= 0 else None, cut,
-                                 tree.left[i] if f >= 0 else None, tree.right[i] if f >= 0 else None,
-                                 None if f >= 0 else tree.value[i], tree.gain[i] if f >= 0 else None, tree.cover[i], tree.rows[i]))
+                path = {0: ""}
+                for i, f in enumerate(tree.feature):      # children have larger numbers
+                    if f >= 0:
+                        path[tree.left[i]], path[tree.right[i]] = path[i] + "L", path[i] + "R"
+                        rows.append((*[str(v) for v in key], t, path[i], f, float(edges[f][tree.bin[i]]), None, tree.gain[i],
+                                     tree.cover[i], tree.rows[i]))
+                    else:
+                        rows.append((*[str(v) for v in key], t, path[i], -1, None, tree.value[i], None, tree.cover[i], tree.rows[i]))
         names = ", ".join(f"{g} string" for g in self.group)
-        return spark.createDataFrame(rows, f"{names}, tree int, node int, feature int, bin int, threshold double, left int, "
-                                           "right int, value double, gain double, cover double, n_rows long")
+        return spark.createDataFrame(rows, f"{names}, tree int, path string, feature int, threshold double, value double, "
+                                           "gain double, cover double, n_rows long")
 
 
 def fit_boosted(df: DataFrame, group: list[str], label: str = "label", features: str = "features", n_rounds: int = 200,

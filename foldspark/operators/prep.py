@@ -110,14 +110,16 @@ def quantiles_of(rows: DataFrame, qs: list[float]) -> DataFrame:
                          F.sum("here").over(_whole()).alias("total"))        # sides x columns x partitions rows
     at = F.col("q") * (F.col("total") - 1)
     ranks = parts.select("*", F.posexplode(F.array(*[F.lit(q) for q in qs])).alias("j", "q")) \
-        .select("*", F.inline(F.array(F.struct((F.floor(at) + 1).alias("r"), (1 - at + F.floor(at)).alias("part")),
-                                      F.struct((F.floor(at) + 2).alias("r"), (at - F.floor(at)).alias("part"))))) \
-        .filter("part > 0 AND r > before AND r <= before + here")
+        .withColumn("part", at - F.floor(at)) \
+        .select("*", F.explode(F.when(F.col("part") > 0, F.array(F.floor(at) + 1, F.floor(at) + 2))
+                               .otherwise(F.array(F.floor(at) + 1))).alias("r")) \
+        .filter("r > before AND r <= before + here")
     wanted = ranks.groupBy("side", "col_name", "pid", "before").agg(F.collect_list(F.struct("j", "r", "part")).alias("wanted"))
     x = rows.join(F.broadcast(wanted), ["side", "col_name", "pid"])         # at most two ranks a quantile, side and column
     x = x.withColumn("upto", F.col("before") + F.sum("c").over(_within("num")))
     x = x.select("side", "col_name", "num", "upto", "c", F.inline("wanted")).filter("r <= upto AND r > upto - c")
-    x = x.groupBy("side", "col_name", "j").agg(F.sum(F.col("part") * F.col("num")).alias("value"))
+    between = F.min("num") + (F.max("num") - F.min("num")) * F.max("part")
+    x = x.groupBy("side", "col_name", "j").agg(between.alias("value"))
     return x.groupBy("side", "col_name").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("v")) \
         .select("side", "col_name", F.col("v")["value"].alias("quantiles"))
 

@@ -710,6 +710,7 @@ def search_run(spark, sf_dir):
 
 # ---------------------------------------------------------------- G stage 2: histogram root split
 from foldspark.operators import boost as BO  # noqa: E402
+from foldspark.operators import grow as GR  # noqa: E402
 
 SPLIT_FEATURES = ["SeniorFlag", "tenure", "n_orders", "AcctBal", "AvgOrder", "TotalCharges"]
 
@@ -723,6 +724,31 @@ def boost_root_split(spark, sf_dir):
     return round_doubles(BO.best_splits(BO.histogram(df, SPLIT_FEATURES, edges), edges))
 
 
+def churn_sides(spark, sf_dir) -> DataFrame:
+    """The raw numeric columns of the churn table on the training side of every fold; missing values stay missing."""
+    ex = D.expand_folds(churn_folds(spark, sf_dir), len(FOLD_IDS))
+    return ex.select("fold_id", "role", "row_id", "label", F.array(*[F.col(c).cast("double") for c in SPLIT_FEATURES]).alias("features"))
+
+
+def _tree_table(model, spark) -> DataFrame:
+    return round_doubles(model.nodes(spark).select(F.col("fold_id").cast("int").alias("fold_id"), "tree", "path", "feature", "threshold",
+                                                   "value", "gain", "cover", "n_rows"))
+
+
+@register("boost_two_rounds")
+def boost_two_rounds(spark, sf_dir):
+    """Two rounds of depth 2 on the training side of every fold, grown together: every node with its sums."""
+    x = churn_sides(spark, sf_dir).filter(F.col("role") == "train")
+    return _tree_table(GR.fit_boosted(x, ["fold_id"], n_rounds=2, max_depth=2, n_bins=16), spark)
+
+
+@register("boost_two_rounds_leafwise")
+def boost_two_rounds_leafwise(spark, sf_dir):
+    """Two rounds of five leaves, best leaf first, on the training side of every fold, grown together."""
+    x = churn_sides(spark, sf_dir).filter(F.col("role") == "train")
+    return _tree_table(GR.fit_boosted(x, ["fold_id"], n_rounds=2, num_leaves=5, n_bins=16), spark)
+
+
 @register("booster_oof")
 def booster_oof(spark, sf_dir):
     """G3 stage 2 + G7: one batched histogram booster fit for all 3 folds of the document-quality table

@@ -828,6 +828,98 @@ SELECT col_name, position, bin, round(threshold, 6) AS threshold, round(gain, 6)
   SELECT *, row_number() OVER (PARTITION BY col_name ORDER BY gain DESC, bin ASC) AS r FROM c) x WHERE r = 1""")
 
 
+# two rounds of boosting: gradients are whole numbers of 2^-24, so sums do not depend on their order
+_SIDES = """
+ids AS (SELECT CAST(unnest(range(0, 5)) AS INT) AS fold_id),
+tr AS (SELECT ids.fold_id, row_id, label, [{cols}] AS x FROM churn_folds f JOIN ids ON f.fold <> ids.fold_id),
+vals AS (SELECT fold_id, row_id, f, x[f + 1] AS v FROM (SELECT fold_id, row_id, x, unnest(range(0, {p})) AS f FROM tr) u),
+ed AS MATERIALIZED (SELECT fold_id, f, list_sort(list_distinct(quantile_cont(v, [{qs}]))) AS edges FROM vals WHERE v IS NOT NULL GROUP BY fold_id, f),
+b AS MATERIALIZED (SELECT v.fold_id, row_id, list(CASE WHEN v IS NULL THEN len(edges) ELSE len(list_filter(edges, lambda e: e < v)) END ORDER BY v.f) AS b
+       FROM vals v JOIN ed ON v.fold_id = ed.fold_id AND v.f = ed.f GROUP BY v.fold_id, row_id),
+r0 AS MATERIALIZED (SELECT tr.fold_id, tr.row_id, label, b, 0.0::DOUBLE AS margin FROM tr JOIN b ON tr.fold_id = b.fold_id AND tr.row_id = b.row_id)
+""".format(cols=", ".join(f"CAST({c} AS DOUBLE)" for c in CHURN_NUMERIC), p=len(CHURN_NUMERIC),
+           qs=", ".join(repr(i / 16) for i in range(1, 16)))
+
+
+def _split_ctes(name: str, src: str, lam: float = 1.0, mcw: float = 1.0) -> str:
+    """``<name>_best`` (fold_id, path, f, bin, gain): best split of every node of ``src (fold_id, row_id, path, b, g, h)``."""
+    u = "16777216.0"
+    return f"""
+{name}_hist AS (SELECT fold_id, path, f, b[f + 1] AS bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM (
+    SELECT fold_id, path, b, g, h, unnest(range(0, {len(CHURN_NUMERIC)})) AS f FROM {src}) q GROUP BY ALL),
+{name}_cum AS (SELECT fold_id, path, f, bin, sum(g) OVER w / {u} AS gl, sum(h) OVER w / {u} AS hl, sum(n) OVER w AS nl,
+    sum(g) OVER t / {u} AS gt, sum(h) OVER t / {u} AS ht, sum(n) OVER t AS nt FROM {name}_hist
+    WINDOW w AS (PARTITION BY fold_id, path, f ORDER BY bin ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY fold_id, path, f)),
+{name}_gain AS (SELECT *, gl * gl / (hl + {lam}) + (gt - gl) * (gt - gl) / (ht - hl + {lam}) - gt * gt / (ht + {lam}) AS gain
+    FROM {name}_cum WHERE nl < nt AND hl >= {mcw} AND ht - hl >= {mcw}),
+{name}_best AS MATERIALIZED (SELECT fold_id, path, f, bin, gain FROM (
+    SELECT *, row_number() OVER (PARTITION BY fold_id, path ORDER BY gain DESC, f, bin) AS r FROM {name}_gain) x WHERE r = 1 AND gain > 1e-6)"""
+
+
+def _gradients(t: int) -> str:
+    p = "1.0 / (1.0 + exp(-margin))"
+    return f"""
+n{t}_0 AS MATERIALIZED (SELECT fold_id, row_id, '' AS path, b, margin, label,
+    CAST(floor(({p} - label) * 16777216 + 0.5) AS BIGINT) AS g,
+    CAST(floor(greatest({p} * (1 - {p}), 1e-16) * 16777216 + 0.5) AS BIGINT) AS h FROM r{t})"""
+
+
+def _moved(name: str, src: str, best: str) -> str:
+    return f"""
+{name} AS MATERIALIZED (SELECT s.fold_id, row_id, s.path || CASE WHEN k.f IS NULL THEN '' WHEN b[k.f + 1] <= k.bin THEN 'L' ELSE 'R' END AS path,
+    b, margin, label, g, h FROM {src} s LEFT JOIN {best} k ON s.fold_id = k.fold_id AND s.path = k.path)"""
+
+
+def _round_end(t: int, last: str, rate: float = 0.2) -> str:
+    return f"""
+leaf{t} AS MATERIALIZED (SELECT fold_id, path, -(sum(g) / 16777216.0) / (sum(h) / 16777216.0 + 1.0) * {rate} AS value FROM {last} GROUP BY fold_id, path),
+r{t + 1} AS MATERIALIZED (SELECT s.fold_id, row_id, label, b, margin + value AS margin FROM {last} s JOIN leaf{t} l ON s.fold_id = l.fold_id AND s.path = l.path)"""
+
+
+def _tree_rows(t: int, last: str, splits: str) -> str:
+    """Every node of the tree: a leaf's rows are in it and in all nodes above."""
+    return f"""
+SELECT a.fold_id, CAST({t} AS INT) AS tree, a.path, CAST(coalesce(k.f, -1) AS INT) AS feature, round(ed.edges[k.bin + 1], 6) AS threshold,
+       round(l.value, 6) + 0.0 AS value, round(k.gain, 6) AS gain, round(a.h / 16777216.0, 6) AS cover, CAST(a.n AS BIGINT) AS n_rows
+FROM (SELECT fold_id, path[:len] AS path, sum(h) AS h, count(*) AS n FROM (
+        SELECT fold_id, path, h, unnest(range(0, length(path) + 1)) AS len FROM {last}) z GROUP BY ALL) a
+LEFT JOIN ({splits}) k ON a.fold_id = k.fold_id AND a.path = k.path
+LEFT JOIN leaf{t} l ON a.fold_id = l.fold_id AND a.path = l.path
+LEFT JOIN ed ON ed.fold_id = a.fold_id AND ed.f = k.f"""
+
+
+def boost_sql() -> str:
+    parts, rows = [_SIDES], []
+    for t in range(2):
+        parts.append(_gradients(t))
+        for d in range(2):
+            parts.append(f"\nn{t}_{d}a AS (SELECT * FROM n{t}_{d} WHERE length(path) = {d})")
+            parts.append(_split_ctes(f"k{t}_{d}", f"n{t}_{d}a"))
+            parts.append(_moved(f"n{t}_{d + 1}", f"n{t}_{d}", f"k{t}_{d}_best"))
+        parts.append(_round_end(t, f"n{t}_2"))
+        rows.append(_tree_rows(t, f"n{t}_2", f"SELECT * FROM k{t}_0_best UNION ALL SELECT * FROM k{t}_1_best"))
+    return "WITH " + ",".join(parts) + "\nUNION ALL".join(rows)
+
+
+def leafwise_sql(leaves: int = 5) -> str:
+    """One best leaf a step; ties of gain go to the shorter path, then in the order of the alphabet."""
+    parts, rows = [_SIDES], []
+    for t in range(2):
+        parts.append(_gradients(t))
+        for d in range(leaves - 1):
+            parts.append(_split_ctes(f"k{t}_{d}", f"n{t}_{d}"))
+            parts.append(f"""
+k{t}_{d}_one AS MATERIALIZED (SELECT fold_id, path, f, bin, gain FROM (
+    SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY gain DESC, length(path), path) AS r FROM k{t}_{d}_best) x WHERE r = 1)""")
+            parts.append(_moved(f"n{t}_{d + 1}", f"n{t}_{d}", f"k{t}_{d}_one"))
+        parts.append(_round_end(t, f"n{t}_{leaves - 1}"))
+        rows.append(_tree_rows(t, f"n{t}_{leaves - 1}", " UNION ALL ".join(f"SELECT * FROM k{t}_{d}_one" for d in range(leaves - 1))))
+    return "WITH " + ",".join(parts) + "\nUNION ALL".join(rows)
+
+
+register("boost_two_rounds", ("churn_folds",), boost_sql())
+register("boost_two_rounds_leafwise", ("churn_folds",), leafwise_sql())
+
 register("search_candidates", ("scored_orders",), f"""
 WITH cand AS (
   SELECT CAST(i AS INT) AS iteration,
