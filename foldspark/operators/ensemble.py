@@ -1,17 +1,27 @@
 """Soft voting, out-of-fold predictions and stacking.
 
-Predictions are a long table ``(keys..., model, proba)``; voting is a grouped
-mean over it, the stacking meta-features a pivot of it.  Every fit is an
-MLlib job; the independent ones are submitted together (``run_parallel``).
+``fit_stack`` is the stack of the plans: the inner fold is one more key of the growers, so the models of all outer folds,
+inner folds and the refit on all rows are grown in the same jobs, and a stack is a fixed number of jobs whatever the
+number of folds.  Predictions of the base models ride along with the rows as columns: nothing is joined or pivoted by
+key, so rows whose key repeats are predicted each.
+
+With MLlib learners (``stack_fit`` and the functions above it) predictions are a long table ``(keys..., model, proba)``;
+every fit is an MLlib job, and the independent ones are submitted together (``run_parallel``).
 """
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass, field
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.operators import learners as L
+from foldspark.operators.forest import fit_forest
+from foldspark.operators.grow import as_array, fit_boosted
+from foldspark.operators.newton import fit_logistic
 from foldspark.operators.split import stratified_kfold
 from foldspark.session import cut_lineage
 
@@ -109,3 +119,97 @@ def stack_fit_predict(train: DataFrame, score: DataFrame, bases: list, meta: L.L
     keep = keep or [key, label]
     model = stack_fit(train, bases, meta, inner_k, passthrough, key, label, features, seed, parallelism)
     return model.predict(score, keep)
+
+
+# ---------------------------------------------------------------- all folds in the same jobs
+#: The part of a stack that is fitted on all rows of its group.
+WHOLE = -1
+
+
+def fit_grouped(train: DataFrame, spec, group: list[str], key: str = "row_id", label: str = "label",
+                features: str = "features", seed: int = L.SEED):
+    """One learner for every group; the result has ``predict(df, keep)``."""
+    if isinstance(spec, L.ExtraTrees):
+        return fit_forest(train, group, label, features, None, spec.n_estimators, spec.max_depth, seed=seed)
+    if isinstance(spec, L.RandomForest):
+        return fit_forest(train, group, label, features, key, spec.n_estimators, spec.max_depth, extra=False, seed=seed)
+    if isinstance(spec, L.Boosted):
+        leaves = spec.num_leaves if spec.growth == "leaf" else None
+        return fit_boosted(train, group, label, features, spec.n_estimators, spec.max_depth, leaves, spec.learning_rate)
+    if isinstance(spec, L.Logistic):
+        return fit_logistic(train, group, spec.C, spec.class_weight == "balanced", label, features, spec.max_iter)
+    raise TypeError(f"unknown learner spec {spec!r}")
+
+
+@dataclass
+class Stack:
+    """Base models of every (group, part) and the meta model of every group."""
+
+    group: list[str]
+    models: list
+    names: list[str]
+    meta: object | None
+    passthrough: bool
+    features: str
+    oof: DataFrame | None = None
+    seconds: dict[str, float] = field(default_factory=dict)
+
+    def _probabilities(self, rows: DataFrame) -> DataFrame:
+        for i, model in enumerate(self.models):
+            rows = model.predict(rows, rows.columns, self.features).drop("margin").withColumnRenamed("proba", f"_p{i}")
+        return rows
+
+    def _meta_rows(self, rows: DataFrame) -> DataFrame:
+        own = F.array(*[F.col(f"_p{i}") for i in range(len(self.models))])
+        return rows.withColumn("_meta", F.concat(own, F.col(self.features)) if self.passthrough else own)
+
+    def predict_all(self, score: DataFrame, keep: list[str]) -> DataFrame:
+        """(keep..., one column for each base model by name, proba of the stack if it has a meta model)."""
+        rows = as_array(score, self.features)
+        rows = rows.select(*dict.fromkeys([*keep, *[g for g in self.group if g in rows.columns], self.features])) \
+            .withColumn("_part", F.lit(WHOLE))
+        if "_all" in self.group:
+            rows = rows.withColumn("_all", F.lit(0))
+        rows = self._probabilities(rows)
+        bases = [F.col(f"_p{i}").alias(n) for i, n in enumerate(self.names)]
+        if self.meta is None:
+            return rows.select(*keep, *bases)
+        rows = self._meta_rows(rows)
+        return self.meta.predict(rows, rows.columns, "_meta").select(*keep, *bases, "proba")
+
+    def predict(self, score: DataFrame, keep: list[str]) -> DataFrame:
+        return self.predict_all(score, keep).select(*keep, "proba")
+
+
+def fit_stack(train: DataFrame, bases: list, meta: L.Logistic | None, inner_k: int = 5, passthrough: bool = False,
+              group: list[str] | None = None, key: str = "row_id", label: str = "label", features: str = "features",
+              seed: int = L.SEED) -> Stack:
+    """G7-G9 for every group at once.
+
+    Inner folds are stratified inside each group; part ``j`` of a group is fitted without its inner fold ``j`` and predicts it,
+    part ``WHOLE`` is fitted on all its rows and predicts what is scored.  ``oof`` holds every training row once with its
+    out-of-fold probabilities ``_p0 ..``.  Without ``meta`` only the base models are fitted, on all rows.
+    """
+    rows = as_array(train, features)
+    group = list(group or [])
+    if not group:
+        rows, group = rows.withColumn("_all", F.lit(0)), ["_all"]
+    rows = rows.select(*group, key, label, features)
+    if meta is None:
+        parts = cut_lineage(rows.withColumn("_part", F.lit(WHOLE)))
+    else:
+        rows = cut_lineage(stratified_kfold(rows, k=inner_k, key=key, label=label, seed=seed, by=tuple(group), out="_inner"))
+        others = F.filter(F.sequence(F.lit(WHOLE), F.lit(inner_k - 1)), lambda j: j != F.col("_inner"))
+        parts = rows.withColumn("_part", F.explode(others))
+    stack = Stack(group, [], [b.name for b in bases], None, passthrough, features)
+    for spec in bases:
+        begun = time.time()
+        stack.models.append(fit_grouped(parts, spec, [*group, "_part"], key, label, features, seed))
+        stack.seconds[spec.name] = round(time.time() - begun, 3)
+    if meta is not None:
+        begun = time.time()
+        oof = stack._probabilities(rows.withColumnRenamed("_inner", "_part"))
+        stack.oof = cut_lineage(stack._meta_rows(oof))
+        stack.meta = fit_logistic(stack.oof, group, meta.C, meta.class_weight == "balanced", label, "_meta", meta.max_iter)
+        stack.seconds["meta"] = round(time.time() - begun, 3)
+    return stack

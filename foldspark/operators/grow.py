@@ -489,7 +489,7 @@ class Boosted:
 
     def predict(self, df: DataFrame, keep: list[str], features: str = "features") -> DataFrame:
         """(keep..., margin, proba)."""
-        x = group_number(as_array(df, features), self.group, self.keys).select(*keep, "_g", F.col(features).alias("features"))
+        x = group_number(as_array(df, features), self.group, self.keys).select(*keep, "_g", F.col(features).alias("_x"))
         arrays = [[t.arrays() for t in own] for own in zip(*self.trees, strict=True)] or [[] for _ in self.keys]
         shared = df.sparkSession.sparkContext.broadcast((self.edges, arrays))
         schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)

@@ -37,7 +37,7 @@ class Fitted:
 
     def predict(self, df: DataFrame, keep: list[str], features: str = "features") -> DataFrame:
         """(keep..., proba); rows of groups that were not fitted go."""
-        x = group_number(as_array(df, features), self.group, self.keys).select(*keep, "_g", F.col(features).alias("features"))
+        x = group_number(as_array(df, features), self.group, self.keys).select(*keep, "_g", F.col(features).alias("_x"))
         shared = df.sparkSession.sparkContext.broadcast(self.weights)     # (features + 1) numbers a group
         schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
 

@@ -572,14 +572,15 @@ def stacking_holdout(spark, sf_dir):
 
 @register("oof_probabilities")
 def oof_probabilities(spark, sf_dir):
-    """Out-of-fold probabilities of two base learners over the churn training split."""
-    from pyspark.ml.functions import array_to_vector
+    """Out-of-fold probability of every row of the churn training split by each of the four base learners."""
     df = churn_clean(spark, sf_dir)
     h = D.stratified_holdout(df).withColumn("hfold", F.when(F.col("split") == "test", F.lit(0)).otherwise(F.lit(1)))
-    x = XP.prepared(h, churn_roles(df), "hfold", [0])
-    train = x.filter(F.col("role") == "train").withColumn("features", array_to_vector("features"))
-    bases = [L.RandomForest(5, 6), L.Boosted(5, 3, 0.2, "depth", name="XGBoost")]
-    return G.oof_predict(train, bases, inner_k=3, parallelism=8)
+    train = XP.prepared(h, churn_roles(df), "hfold", [0]).filter(F.col("role") == "train")
+    bases = L.default_bases(LIGHT["n_estimators"])
+    oof = G.fit_stack(train, bases, L.Logistic(name="meta"), inner_k=LIGHT["inner_k"]).oof
+    models = F.array(*[F.struct(F.lit(b.name).alias("model"), F.col(f"_p{i}").alias("proba")) for i, b in enumerate(bases)])
+    return oof.select("row_id", "label", F.inline(models), F.col("_part").alias("inner_fold")).select(
+        "row_id", "label", "proba", "model", "inner_fold")
 
 
 @register("oof_accounting")

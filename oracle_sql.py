@@ -694,7 +694,7 @@ SELECT fold, row_id, label, round(avg(proba), 6) AS proba, 'SoftVoting' AS model
 
 register("oof_accounting", ("churn_clean",), f"""
 SELECT m.model, count(*) AS n_rows, count(*) AS n_predictions, CAST(1 AS BIGINT) AS max_times, CAST(1 AS BIGINT) AS min_times
-FROM ({_HOLDOUT}) s, (VALUES ('RandomForest'), ('XGBoost')) m(model) WHERE s.split = 'train' GROUP BY m.model""")
+FROM ({_HOLDOUT}) s, (VALUES ('ExtraTrees'), ('RandomForest'), ('XGBoost'), ('LightGBM')) m(model) WHERE s.split = 'train' GROUP BY m.model""")
 
 # learned plans: which rows are predicted, how often and with which labels does not depend on the models
 _TEST = f"SELECT count(*) FILTER (label = 0) AS n_negative, count(*) FILTER (label = 1) AS n_positive FROM ({_HOLDOUT}) h WHERE split = 'test'"
