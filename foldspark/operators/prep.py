@@ -6,8 +6,9 @@ combined before its shuffle); the counts are sorted over the cluster by (column,
 means, deviations, modes and vocabularies all come from that table: values are distinct in it, so no value can fill
 a partition however often it occurs, and no column is sorted or held in one task.
 
-Statistics of numeric columns are tiny (folds x columns) and are applied by a broadcast join on the fold id.
-Vocabularies may be large; a column's index table is joined on (fold id, value) without a broadcast hint.
+Statistics of numeric columns are tiny (folds x columns) and are applied by a broadcast join on the fold id.  A column's
+index table is counted: up to ``MAX_BROADCAST_ROWS`` rows it is broadcast, so the rows are not shuffled; a larger one is
+joined on (fold id, value, salt), so that a frequent value fills no task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ from foldspark.operators.clean import Roles
 from foldspark.session import cut_lineage
 
 
+#: Rows of a column's index table (folds x categories) that are sent to every task at most.
+MAX_BROADCAST_ROWS = 500_000
+#: Parts into which the rows of one value are dealt where the index table is larger.
+SALTS = 16
+
+
 @dataclass
 class PrepStats:
     numeric: DataFrame   # fold_id, column, position, median, mean, std, all_null
@@ -29,6 +36,7 @@ class PrepStats:
     roles: Roles
     fold_ids: list
     _index: DataFrame | None = None
+    _sizes: dict | None = None
 
     def persist(self) -> "PrepStats":
         self.numeric = self.numeric.persist()
@@ -41,6 +49,13 @@ class PrepStats:
             self._index = cut_lineage(self.vocab.select("fold_id", "col_name", "category", "idx", "is_mode"))
         return self._index
 
+    def index_of(self, column: str) -> tuple[DataFrame, bool]:
+        """The index table of one column, and whether it is small enough to be broadcast (counted, not assumed)."""
+        if self._sizes is None:
+            self._sizes = {r["col_name"]: r["count"] for r in self.index().groupBy("col_name").count().collect()}  # columns
+        own = self.index().filter(F.col("col_name") == column)
+        return own, self._sizes.get(column, 0) <= MAX_BROADCAST_ROWS
+
 
 #: Fixed value: distance from 1.0 to the next double.
 _EPS = 2.220446049250313e-16
@@ -209,10 +224,15 @@ def apply_prep(df: DataFrame, stats: PrepStats, fold_id: str = "fold_id", output
         v = (F.coalesce(as_number(c), F.col(f"{c}_med")) - F.col(f"{c}_mean")) / F.col(f"{c}_std")
         blocks.append(F.when(F.col(f"{c}_gone"), F.array().cast("array<double>")).otherwise(F.array(v)))
     for c in stats.roles.categorical:
-        index = stats.index().filter(F.col("col_name") == c).select(
-            F.col("fold_id").alias(fold_id), F.col("category").alias(f"{c}_cat"), F.col("idx").alias(f"{c}_idx"))
-        x = x.withColumn(f"{c}_cat", F.coalesce(F.col(c).cast("string"), F.col(f"{c}_mode"))) \
-            .join(index, [fold_id, f"{c}_cat"], "left")
+        index, small = stats.index_of(c)
+        index = index.select(F.col("fold_id").alias(fold_id), F.col("category").alias(f"{c}_cat"), F.col("idx").alias(f"{c}_idx"))
+        x = x.withColumn(f"{c}_cat", F.coalesce(F.col(c).cast("string"), F.col(f"{c}_mode")))
+        if small:
+            x = x.join(F.broadcast(index), [fold_id, f"{c}_cat"], "left")
+        else:
+            index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            x = x.withColumn("_salt", F.floor(F.rand(17) * SALTS).cast("int")) \
+                .join(index.hint("merge"), [fold_id, f"{c}_cat", "_salt"], "left").drop("_salt")
         blocks.append(_one_hot(F.col(f"{c}_idx"), F.coalesce(F.col(f"{c}_width"), F.lit(0))))
     arr = F.concat(*blocks) if len(blocks) > 1 else blocks[0]
     keep = [c for c in df.columns if c not in stats.roles.numeric and c not in stats.roles.categorical]

@@ -643,14 +643,14 @@ def explain_stack(spark, sf_dir):
 
 
 def _churn_booster(spark, sf_dir):
-    """(booster of 50 trees on the oversampled training split, the transformed rows, the preparation)."""
+    """(booster of 20 trees on the oversampled training split, the transformed rows, the preparation)."""
     df = churn_clean(spark, sf_dir)
     roles = churn_roles(df)
     h = D.stratified_holdout(df).withColumn("hfold", F.when(F.col("split") == "test", F.lit(0)).otherwise(F.lit(1)))
     st = E.fit_prep(h, roles, "hfold", [0])
     x = XP.prepared(h, roles, "hfold", [0])
     train = XP.training_rows(x, 0.6, 3, 42).withColumn("_all", F.lit(0))
-    return G.fit_grouped(train, L.Boosted(50, 4, 0.05, "depth", name="XGBoost"), ["_all"]), x, st
+    return G.fit_grouped(train, L.Boosted(20, 4, 0.05, "depth", name="XGBoost"), ["_all"]), x, st
 
 
 @register("gain_importance")
