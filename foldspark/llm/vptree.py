@@ -7,6 +7,8 @@ distance of the k-th neighbour found so far.  ``relax`` multiplies that lower bo
 a larger factor skips more.  Every row is indexed, every shard searched; scores are worked out anew in double precision on
 the original vectors.
 
+A shard's tree is built once and written as arrays; every block of queries reads it from there.
+
 All queries of a block walk a tree together: a node's distances are one matrix product, and each query goes on only where
 its own bound lets it.  A greedy first descent gives every query its first k neighbours.
 
@@ -37,6 +39,7 @@ class VantageTree:
 
     def __init__(self, unit: np.ndarray, leaf: int = 32):
         self.unit = unit
+        self.compared = 0       # vectors that a query was compared with
         self.order = np.arange(len(unit))
         # node: begin, end, row of the vantage point or -1, left child, right child, and the ranges of both
         self.nodes: list[list] = []
@@ -62,6 +65,17 @@ class VantageTree:
             stack.append((begin + 1 + middle, end, number, 1))
             stack.append((begin + 1, begin + 1 + middle, number, 0))
 
+    def arrays(self) -> tuple[bytes, bytes]:
+        """The order of the rows and the nodes, as they are stored."""
+        return self.order.astype(np.int64).tobytes(), np.array(self.nodes, np.float64).tobytes()
+
+    @classmethod
+    def read(cls, unit: np.ndarray, order: bytes, nodes: bytes) -> "VantageTree":
+        tree = cls.__new__(cls)
+        tree.unit, tree.compared, tree.order = unit, 0, np.frombuffer(order, np.int64)
+        tree.nodes = [[*map(int, n[:5]), *n[5:]] for n in np.frombuffer(nodes, np.float64).reshape(-1, 9).tolist()]
+        return tree
+
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, relax: float
                ) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k best for each unit query; -1 where there are fewer.  ``own`` ids are left out."""
@@ -72,6 +86,7 @@ class VantageTree:
             return rows, best
 
         def offer(who: np.ndarray, what: np.ndarray) -> None:
+            self.compared += len(who) * len(what)
             cosine = queries[who] @ self.unit[what].T
             cosine[ids[what][None, :] == own[who][:, None]] = -np.inf
             both = np.concatenate([best[who], cosine], axis=1)
@@ -93,6 +108,7 @@ class VantageTree:
                 seen[who] = at
                 offer(who, self.order[begin:end])
                 continue
+            self.compared += len(who)
             away = distances(queries[who] @ self.unit[vantage])
             near = np.abs(away - (ranges[0] + ranges[1]) / 2) <= np.abs(away - (ranges[2] + ranges[3]) / 2)
             for child, go in ((left, who[near]), (right, who[~near])):
@@ -124,13 +140,32 @@ def distances(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * cosine, 0.0))
 
 
+TREES = "dim int, part int, ids binary, vectors binary, tree_order binary, nodes binary"
+
+
+def planted(shards: DataFrame, leaf: int) -> DataFrame:
+    """The shards with the tree of each (``TREES``)."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                _, vectors = matrices(one.column("ids")[0].as_py(), one.column("vectors")[0].as_py(), one.column("dim")[0].as_py())
+                order, nodes = VantageTree(unit_vectors(vectors), leaf).arrays()
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([order], pa.binary()), pa.array([nodes], pa.binary())],
+                                                 names=["dim", "part", "ids", "vectors", "tree_order", "nodes"])
+
+    return shards.mapInArrow(build, TREES)
+
+
 def nearest(embeddings: DataFrame, is_query: Column | None = None, k: int = 5, relax: float = RELAX,
             shard_rows: int = 8192, block_rows: int = 1024, leaf: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query (operator 5)."""
     is_query = F.col("vec_id") % 50 == 0 if is_query is None else is_query
     rows = usable(embeddings).filter(F.exists("vector", lambda x: x != 0))
     rows = materialise(rows, "vectors")
-    work = shard_by_block(packed_parts(rows, shard_rows), packed_parts(rows.filter(is_query), block_rows))
+    shards = materialise(planted(packed_parts(rows, shard_rows), leaf), "vantage-trees")
+    work = shard_by_block(shards, packed_parts(rows.filter(is_query), block_rows))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in work_rows(batches):
@@ -138,7 +173,7 @@ def nearest(embeddings: DataFrame, is_query: Column | None = None, k: int = 5, r
             q_ids, q_vectors = matrices(row["q_ids"], row["q_vectors"], row["dim"])
             # components first over their largest: no overflow in the square
             unit, q_unit = (unit_vectors(v) for v in (vectors, q_vectors))
-            found, _ = VantageTree(unit, leaf).search(q_unit, q_ids, ids, min(k, len(ids)), relax)
+            found, _ = VantageTree.read(unit, row["tree_order"], row["nodes"]).search(q_unit, q_ids, ids, min(k, len(ids)), relax)
             who, column = np.nonzero(found >= 0)
             which = found[who, column]
             score = cosines(q_vectors[who], vectors[which])

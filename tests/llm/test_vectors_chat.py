@@ -141,5 +141,22 @@ def test_registered_names():
     import __spark_entry__ as E
     names = set(E.queries())
     assert names >= {*registry.QUERIES, "pipeline"}
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLES) <= names
+
+
+def test_stored_trees_search_as_built_ones():
+    """A tree read from its arrays finds what the built one finds, and skips vectors on clustered data."""
+    from foldspark.llm import vptree as V
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 6)) * 4
+    unit = V.unit_vectors(centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 6)) * 0.1)
+    ids = np.arange(3000)
+    built = V.VantageTree(unit)
+    stored = V.VantageTree.read(unit, *built.arrays())
+    want, got = (t.search(unit[:50], ids[:50], ids, 5, 1.0) for t in (built, stored))
+    assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+    assert built.compared == stored.compared < 0.5 * 50 * 3000
+    exact = unit[:50] @ unit.T
+    exact[np.arange(50), np.arange(50)] = -np.inf
+    assert np.allclose(np.sort(exact, axis=1)[:, ::-1][:, :5], want[1])
