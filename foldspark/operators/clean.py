@@ -95,11 +95,28 @@ def infer_roles(df: DataFrame, exclude=("row_id", "label"), bool_as: str = "cate
     return roles
 
 
-def roles_table(spark, roles: Roles) -> DataFrame:
-    rows = ([(c, "numeric", i) for i, c in enumerate(roles.numeric)]
-            + [(c, "categorical", i) for i, c in enumerate(roles.categorical)]
-            + [(c, "dropped", i) for i, c in enumerate(roles.dropped)])
-    return spark.createDataFrame(rows, "column string, role string, position int")
+#: Rows of one content that a task writes out at most.
+COPIES = 100_000
+
+
+def with_row_id(df: DataFrame, columns: list[str] | None = None, out: str = "row_id") -> DataFrame:
+    """A key for a table that has none, or one that repeats: md5 of the row's content and the number of its occurrence.
+
+    Rows of equal content are interchangeable, so they are counted (combined before the shuffle) and written out again with
+    the numbers 1 .. n, ``COPIES`` at a time: no content is sorted or held in one task, and no row is lost, multiplied or
+    refused.  The id depends on the values only, not on partitions or their order.  ``columns``: the columns that make
+    up the content, all of them by default; rows that differ in the others only are told apart by a hash of those.
+    """
+    columns = list(columns or df.columns)
+    rest = [c for c in df.columns if c not in columns]
+    content = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]))
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    parts = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {COPIES}"))).alias("__part"))
+    first, last = F.col("__part") * COPIES + 1, F.least(F.col("__n"), (F.col("__part") + 1) * COPIES)
+    numbered = parts.repartition(*[F.col(c) for c in columns], "__part").select(
+        *df.columns, F.explode(F.sequence(first, last)).alias("__number"))
+    mark = F.concat(F.lit("-"), F.hex(F.xxhash64(*rest))) if rest else F.lit("")
+    return numbered.select(F.concat(content, mark, F.lit("-"), F.col("__number").cast("string")).alias(out), *df.columns)
 
 
 def select_models(models: DataFrame, names: str, col: str = "model") -> DataFrame:

@@ -128,16 +128,26 @@ WHOLE = -1
 
 def fit_grouped(train: DataFrame, spec, group: list[str], key: str = "row_id", label: str = "label",
                 features: str = "features", seed: int = L.SEED):
-    """One learner for every group; the result has ``predict(df, keep)``."""
-    if isinstance(spec, L.ExtraTrees):
-        return fit_forest(train, group, label, features, None, spec.n_estimators, spec.max_depth, seed=seed)
-    if isinstance(spec, L.RandomForest):
-        return fit_forest(train, group, label, features, key, spec.n_estimators, spec.max_depth, extra=False, seed=seed)
-    if isinstance(spec, L.Boosted):
-        leaves = spec.num_leaves if spec.growth == "leaf" else None
-        return fit_boosted(train, group, label, features, spec.n_estimators, spec.max_depth, leaves, spec.learning_rate)
-    if isinstance(spec, L.Logistic):
-        return fit_logistic(train, group, spec.C, spec.class_weight == "balanced", label, features, spec.max_iter)
+    """One learner for every group; the result has ``predict(df, keep)``.
+
+    ``spec`` may be a dictionary: the learner by the value of the first group column, all of one kind and number of trees.
+    """
+    own = spec if isinstance(spec, dict) else None
+    one = next(iter(own.values())) if own else spec
+
+    def setting(name: str):
+        return (lambda k: getattr(own[k[0]], name)) if own else getattr(one, name)
+
+    if isinstance(one, L.ExtraTrees):
+        return fit_forest(train, group, label, features, None, one.n_estimators, setting("max_depth"), seed=seed)
+    if isinstance(one, L.RandomForest):
+        return fit_forest(train, group, label, features, key, one.n_estimators, setting("max_depth"), extra=False, seed=seed)
+    if isinstance(one, L.Boosted):
+        leaves = setting("num_leaves") if one.growth == "leaf" else None
+        return fit_boosted(train, group, label, features, one.n_estimators, setting("max_depth"), leaves, setting("learning_rate"))
+    if isinstance(one, L.Logistic):
+        return fit_logistic(train, group, setting("C"), (lambda k: own[k[0]].class_weight == "balanced") if own
+                            else one.class_weight == "balanced", label, features, one.max_iter)
     raise TypeError(f"unknown learner spec {spec!r}")
 
 
@@ -149,7 +159,7 @@ class Stack:
     models: list
     names: list[str]
     meta: object | None
-    passthrough: bool
+    passthrough: bool | list          # for all groups, or the first group values that pass their features through
     features: str
     oof: DataFrame | None = None
     seconds: dict[str, float] = field(default_factory=dict)
@@ -161,7 +171,8 @@ class Stack:
 
     def _meta_rows(self, rows: DataFrame) -> DataFrame:
         own = F.array(*[F.col(f"_p{i}") for i in range(len(self.models))])
-        return rows.withColumn("_meta", F.concat(own, F.col(self.features)) if self.passthrough else own)
+        through = F.lit(self.passthrough) if isinstance(self.passthrough, bool) else F.col(self.group[0]).isin(self.passthrough)
+        return rows.withColumn("_meta", F.when(through, F.concat(own, F.col(self.features))).otherwise(own))
 
     def predict_all(self, score: DataFrame, keep: list[str]) -> DataFrame:
         """(keep..., one column for each base model by name, proba of the stack if it has a meta model)."""
@@ -181,14 +192,15 @@ class Stack:
         return self.predict_all(score, keep).select(*keep, "proba")
 
 
-def fit_stack(train: DataFrame, bases: list, meta: L.Logistic | None, inner_k: int = 5, passthrough: bool = False,
+def fit_stack(train: DataFrame, bases: list, meta, inner_k: int = 5, passthrough: bool | list = False,
               group: list[str] | None = None, key: str = "row_id", label: str = "label", features: str = "features",
               seed: int = L.SEED) -> Stack:
     """G7-G9 for every group at once.
 
     Inner folds are stratified inside each group; part ``j`` of a group is fitted without its inner fold ``j`` and predicts it,
     part ``WHOLE`` is fitted on all its rows and predicts what is scored.  ``oof`` holds every training row once with its
-    out-of-fold probabilities ``_p0 ..``.  Without ``meta`` only the base models are fitted, on all rows.
+    out-of-fold probabilities ``_p0 ..``.  Without ``meta`` only the base models are fitted, on all rows.  Learners and meta
+    model may be dictionaries by the first group value (``fit_grouped``).
     """
     rows = as_array(train, features)
     group = list(group or [])
@@ -201,15 +213,16 @@ def fit_stack(train: DataFrame, bases: list, meta: L.Logistic | None, inner_k: i
         rows = cut_lineage(stratified_kfold(rows, k=inner_k, key=key, label=label, seed=seed, by=tuple(group), out="_inner"))
         others = F.filter(F.sequence(F.lit(WHOLE), F.lit(inner_k - 1)), lambda j: j != F.col("_inner"))
         parts = rows.withColumn("_part", F.explode(others))
-    stack = Stack(group, [], [b.name for b in bases], None, passthrough, features)
-    for spec in bases:
+    names = [(next(iter(b.values())) if isinstance(b, dict) else b).name for b in bases]
+    stack = Stack(group, [], names, None, passthrough, features)
+    for name, spec in zip(names, bases, strict=True):
         begun = time.time()
         stack.models.append(fit_grouped(parts, spec, [*group, "_part"], key, label, features, seed))
-        stack.seconds[spec.name] = round(time.time() - begun, 3)
+        stack.seconds[name] = round(time.time() - begun, 3)
     if meta is not None:
         begun = time.time()
         oof = stack._probabilities(rows.withColumnRenamed("_inner", "_part"))
         stack.oof = cut_lineage(stack._meta_rows(oof))
-        stack.meta = fit_logistic(stack.oof, group, meta.C, meta.class_weight == "balanced", label, "_meta", meta.max_iter)
+        stack.meta = fit_grouped(stack.oof, meta, group, key, label, "_meta")
         stack.seconds["meta"] = round(time.time() - begun, 3)
     return stack

@@ -378,8 +378,8 @@ class _Growth:
     def gain(self, g: int, node: int) -> float:
         return -self.stats[g][node][0][0] if node in self.stats[g] else float("-inf")
 
-    def finish(self, rate: float) -> list[tuple]:
-        for tree, known in zip(self.trees, self.stats, strict=True):
+    def finish(self, rates: list[float]) -> list[tuple]:
+        for tree, known, rate in zip(self.trees, self.stats, rates, strict=True):
             for node in range(len(tree.feature)):
                 if node in known:
                     g_all, h_all, n_all = known[node][6:9]
@@ -395,23 +395,24 @@ class _Growth:
 LEAST_GAIN = 1e-6
 
 
-def _grow_depthwise(growth: _Growth, max_depth: int) -> None:
+def _grow_depthwise(growth: _Growth, depths: list[int]) -> None:
+    """Level by level, each group to its own depth."""
     frontier = [[0] for _ in growth.trees]
     growth.measure([[] for _ in growth.trees])
-    for depth in range(max_depth):
-        split = []
+    for depth in range(max(depths)):
+        split, last = [], []
         for g, (tree, nodes) in enumerate(zip(growth.trees, frontier, strict=True)):
-            chosen = [n for n in nodes if growth.gain(g, n) > LEAST_GAIN]
+            chosen = [n for n in nodes if growth.gain(g, n) > LEAST_GAIN] if depth < depths[g] else []
             for n in chosen:
                 _, feature, cut = growth.stats[g][n][:3]
                 tree.split(n, feature, cut, growth.gain(g, n))
-            split.append(chosen)
+            deeper = depth + 1 < depths[g]
+            split.append(chosen if deeper else [])
+            last.append([] if deeper else chosen)
+        _children_sums(growth, last)
         if not any(split):
             return
-        if depth + 1 < max_depth:
-            growth.measure(split)
-        else:
-            _children_sums(growth, split)
+        growth.measure(split)
         frontier = [[c for n in nodes for c in (t.left[n], t.right[n])] for t, nodes in zip(growth.trees, split, strict=True)]
 
 
@@ -425,8 +426,8 @@ def _children_sums(growth: _Growth, split: list[list[int]]) -> None:
             known[tree.right[n]] = (none, 0, 0, 0, 0, 0, g - gl, h - hl, rows - nl)
 
 
-def _grow_leafwise(growth: _Growth, num_leaves: int) -> None:
-    """Best-first: the leaf of largest gain is split until there are ``num_leaves``; ties: the node made first.
+def _grow_leafwise(growth: _Growth, most: list[int]) -> None:
+    """Best-first: the leaf of largest gain is split until a group has its number of leaves; ties: the node made first.
 
     Splits are played through on what is known; the children met on the way that are not measured are measured in one job,
     then it is played again.  The first unmeasured one is needed for sure, the others most likely.
@@ -439,7 +440,7 @@ def _grow_leafwise(growth: _Growth, num_leaves: int) -> None:
         wanted = []
         for g, tree in enumerate(full):
             leaves, chosen, missing = {0}, [], []
-            while len(leaves) < num_leaves:
+            while len(leaves) < most[g]:
                 best = max(leaves, key=lambda n: (growth.gain(g, n) if n in growth.stats[g] else float("-inf"), -n))
                 if not growth.gain(g, best) > LEAST_GAIN:
                     break
@@ -450,7 +451,7 @@ def _grow_leafwise(growth: _Growth, num_leaves: int) -> None:
                 else:
                     missing.append(best)
                     leaves |= {-2 * best - 1, -2 * best - 2}       # not measured: known to no table
-            last = chosen[-1:] if len(leaves) >= num_leaves else []
+            last = chosen[-1:] if len(leaves) >= most[g] else []
             order[g] = chosen
             wanted.append([n for n in missing if [n] != last or len(missing) > 1])
         if not any(wanted):
@@ -531,12 +532,18 @@ class Boosted:
                                            "gain double, cover double, n_rows long")
 
 
+def by_key(value, keys: list[tuple]) -> list:
+    """A setting of every group: one value for all, or a function of the group's key."""
+    return [value(k) if callable(value) else value for k in keys]
+
+
 def fit_boosted(df: DataFrame, group: list[str], label: str = "label", features: str = "features", n_rounds: int = 200,
-                max_depth: int | None = 4, num_leaves: int | None = None, rate: float = 0.2, lam: float = 1.0,
-                min_child_weight: float = 1.0, n_bins: int = 32, refresh: int = 25) -> Boosted:
+                max_depth=4, num_leaves=None, rate=0.2, lam: float = 1.0, min_child_weight: float = 1.0, n_bins: int = 32,
+                refresh: int = 25) -> Boosted:
     """Logistic boosting of every group in the same jobs, from probability one half.
 
-    ``num_leaves`` unset: level by level to ``max_depth`` (G3); set: best leaf first (G4), whatever its depth.
+    ``num_leaves`` unset: level by level to ``max_depth`` (G3); set: best leaf first (G4), whatever its depth.  These two and
+    ``rate`` may be functions of a group's key.
     Rows with a null label take no part; missing values go right; an empty table gives a model without groups.
     """
     if not 2 <= n_bins <= 256:
@@ -557,10 +564,10 @@ def fit_boosted(df: DataFrame, group: list[str], label: str = "label", features:
     for r in range(n_rounds):
         growth = _Growth(len(keys), since, table, cfg, tasks)
         if num_leaves is None:
-            _grow_depthwise(growth, max_depth)
+            _grow_depthwise(growth, by_key(max_depth, keys))
         else:
-            _grow_leafwise(growth, num_leaves)
-        for own, tree in zip(since, growth.finish(rate), strict=True):
+            _grow_leafwise(growth, by_key(num_leaves, keys))
+        for own, tree in zip(since, growth.finish(by_key(rate, keys)), strict=True):
             own.append(tree)
         trees.append(growth.trees)
         if (r + 1) % refresh == 0 and r + 1 < n_rounds:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.grow import as_array, group_number, groups_of, matrix
+from foldspark.operators.grow import as_array, by_key, group_number, groups_of, matrix
 from foldspark.session import cut_lineage
 
 #: Beyond this many tasks their arrays are merged in two levels, so many at a time in the first.
@@ -118,10 +118,9 @@ def _sums(table: DataFrame, weights: list[np.ndarray | None], class_weight: list
     return rows.repartition("_g").sortWithinPartitions("_g", "part").mapInArrow(merge(["_g"]), schema)
 
 
-def fit_logistic(df: DataFrame, group: list[str], C: float | dict[tuple, float] = 1.0,
-                 balanced: bool | dict[tuple, bool] = False, label: str = "label", features: str = "features",
+def fit_logistic(df: DataFrame, group: list[str], C=1.0, balanced=False, label: str = "label", features: str = "features",
                  max_iter: int = 100, tol: float = 1e-9) -> Fitted:
-    """One model for every group.  ``C`` and ``balanced`` (class weights n / (2 n_class)) may differ by key.
+    """One model for every group.  ``C`` and ``balanced`` (class weights n / (2 n_class)) may be functions of a group's key.
 
     Rows with a null label take no part; a group with one class is fitted as it is; an empty table gives no groups.
     """
@@ -135,11 +134,10 @@ def fit_logistic(df: DataFrame, group: list[str], C: float | dict[tuple, float]
                         .select("_g", "label", "features")).persist()
     told = {r["_g"]: r for r in table.groupBy("_g").agg(F.max(F.size("features")).alias("p"), F.count(F.lit(1)).alias("n"),
                                                         F.sum("label").alias("pos")).collect()}      # one row a group
-    strength = [float(C[k] if isinstance(C, dict) else C) for k in keys]
+    strength = by_key(C, keys)
     balance = []
-    for i, key in enumerate(keys):
+    for i, even in enumerate(by_key(balanced, keys)):
         n, pos = told[i]["n"], told[i]["pos"]
-        even = balanced[key] if isinstance(balanced, dict) else balanced
         balance.append(np.array([n / (2 * max(n - pos, 1)), n / (2 * max(pos, 1))]) if even else np.ones(2))
     tasks = table.rdd.getNumPartitions()
     at: list[np.ndarray] = [np.zeros(told[i]["p"] + 1) for i in range(len(keys))]

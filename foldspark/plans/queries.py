@@ -60,6 +60,23 @@ def encode_label(spark, sf_dir):
     return B.clean(X.customer_churn_raw(spark, sf_dir))
 
 
+@register("drop_null_labels")
+def drop_null_labels(spark, sf_dir):
+    """B3 + B4 (cast): rows without a label go, unknown values stay with a NULL label."""
+    return round_doubles(B.clean(X.customer_churn_raw(spark, sf_dir), allowed=None, unknown="cast"))
+
+
+RAW_CONTENT = ["customerID", "Segment", "Nation", "Region", "SeniorFlag", "tenure", "n_orders", "TotalCharges", "LastPriority", "Churn"]
+
+
+@register("generated_row_ids")
+def generated_row_ids(spark, sf_dir):
+    """D1 over a table whose key repeats: ids from the rows' content, then the stratified hold-out by them."""
+    raw = X.customer_churn_raw(spark, sf_dir).select(*RAW_CONTENT)
+    df = B.clean(B.with_row_id(raw, out="generated"), key="generated")
+    return D.stratified_holdout(df.select("row_id", "label", "customerID")).select("row_id", "label", "customerID", "split")
+
+
 @register("schema_roles")
 def schema_roles(spark, sf_dir):
     df = churn_clean(spark, sf_dir)
@@ -101,6 +118,14 @@ def kfold_unshuffled(spark, sf_dir):
     return D.stratified_kfold(churn_clean(spark, sf_dir).select("row_id", "label"), k=5, shuffle=False)
 
 
+@register("fold_slice")
+def fold_slice(spark, sf_dir):
+    """The rows of fold 2 and their complement."""
+    f = churn_folds(spark, sf_dir)
+    return D.fold_rows(f, 2).withColumn("part", F.lit("val")).unionByName(D.fold_rows(f, 2, role="train").withColumn("part", F.lit("train"))) \
+        .select("part", "row_id", "label", "fold")
+
+
 @register("fold_expansion")
 def fold_expansion(spark, sf_dir):
     f = D.stratified_kfold(churn_clean(spark, sf_dir).select("row_id", "label"), k=5)
@@ -332,9 +357,9 @@ def search_best_so_far(spark, sf_dir):
     pred = X.scored_orders(spark, sf_dir)
     j = pred.join(F.broadcast(cand), "model")  # 20 candidate rows: bounded by max_iter
     c = j.groupBy("iteration", "fold").agg(
-        F.count_if((F.col("label") == 1) & (F.col("proba") >= F.col("threshold"))).alias("tp"),
-        F.count_if((F.col("label") == 0) & (F.col("proba") >= F.col("threshold"))).alias("fp"),
-        F.count_if((F.col("label") == 1) & (F.col("proba") < F.col("threshold"))).alias("fn"))
+        F.count_if((F.col("label") == 1) & (H.known("proba") >= F.col("threshold"))).alias("tp"),
+        F.count_if((F.col("label") == 0) & (H.known("proba") >= F.col("threshold"))).alias("fp"),
+        F.count_if((F.col("label") == 1) & (H.known("proba") < F.col("threshold"))).alias("fn"))
     f1 = H.metric_columns(F.lit(0), "fp", "fn", "tp")["f1"]
     hist = c.groupBy("iteration").agg(F.avg(f1).alias("score")).withColumn("status", F.lit("ok"))
     return round_doubles(J.best_so_far(hist))
@@ -559,6 +584,7 @@ from foldspark.plans import experiment as XP  # noqa: E402
 from foldspark.sources.io import DEFAULT_PARAMS  # noqa: E402
 
 LIGHT = dict(n_estimators=5, k=3, inner_k=3, parallelism=8)
+SEARCH = dict(n_estimators=2, k=2, inner_k=2)
 
 
 @register("stacking_holdout")
@@ -730,6 +756,25 @@ def search_run(spark, sf_dir):
     return hist.select("iteration", "status", "score", "no_improve_count", "params")
 
 
+@register("search_space")
+def search_space(spark, sf_dir):
+    """The 20 candidates of the eleven-parameter space, beside the rows that they would be searched on."""
+    n = churn_clean(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"))
+    cands = J.sample_candidates(spark, J.STACKING_SPACE, 20)
+    return round_doubles(H.attach(cands, n, []))
+
+
+@register("feedback_search")
+def feedback_search(spark, sf_dir):
+    """J1-J7 over the eleven-parameter stacking space: 20 candidates, each a cross-validated stack (trees, folds and inner
+    folds of ``SEARCH``), ten at a time in the same jobs; patience 20, so that all are recorded; ranges of the scores."""
+    from foldspark.plans.tuning import run_feedback_loop
+    df = churn_clean(spark, sf_dir)
+    hist, _ = run_feedback_loop(spark, df, churn_roles(df), XP.ExperimentConfig(**SEARCH), patience=20, ahead=10)
+    inside = F.col("score").between(0, 1) & (F.get_json_object("metrics", "$.roc_auc_mean").cast("double") > 0.5)
+    return hist.select("iteration", (F.col("status") == "failed").alias("failed"), inside.alias("in_range"))
+
+
 # ---------------------------------------------------------------- G stage 2: histogram root split
 from foldspark.operators import boost as BO  # noqa: E402
 from foldspark.operators import grow as GR  # noqa: E402
@@ -804,9 +849,9 @@ def search_candidates(spark, sf_dir):
     pred = X.scored_orders(spark, sf_dir)
     j = pred.join(F.broadcast(cand), "model")  # 20 candidate rows: bounded by max_iter
     c = j.groupBy("iteration", "model", "threshold", "fold").agg(
-        F.count_if((F.col("label") == 1) & (F.col("proba") >= F.col("threshold"))).alias("tp"),
-        F.count_if((F.col("label") == 0) & (F.col("proba") >= F.col("threshold"))).alias("fp"),
-        F.count_if((F.col("label") == 1) & (F.col("proba") < F.col("threshold"))).alias("fn"))
+        F.count_if((F.col("label") == 1) & (H.known("proba") >= F.col("threshold"))).alias("tp"),
+        F.count_if((F.col("label") == 0) & (H.known("proba") >= F.col("threshold"))).alias("fp"),
+        F.count_if((F.col("label") == 1) & (H.known("proba") < F.col("threshold"))).alias("fn"))
     f1 = H.metric_columns(F.lit(0), "fp", "fn", "tp")["f1"]
     return round_doubles(c.groupBy("iteration", "model", "threshold").agg(F.avg(f1).alias("f1_mean"),
                                                                          F.stddev_pop(f1).alias("f1_std")))

@@ -158,6 +158,24 @@ SELECT customerID, TotalCharges, {to_number('TotalCharges')} AS TotalCharges_num
 
 register("encode_label", ("churn_raw_clean",), "SELECT * FROM churn_raw_clean")
 
+register("drop_null_labels", ("customer_churn_raw",), f"""
+SELECT customerID AS row_id, CASE WHEN Churn = 'Yes' THEN 1 WHEN Churn = 'No' THEN 0 END AS label, Segment, Nation, Region, SeniorFlag,
+       tenure, n_orders, round(AcctBal, 6) AS AcctBal, round(AvgOrder, 6) AS AvgOrder, round({to_number('TotalCharges')}, 6) AS TotalCharges,
+       LastPriority
+FROM customer_churn_raw WHERE Churn IS NOT NULL""")
+
+_CONTENT = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in (
+    "customerID", "Segment", "Nation", "Region", "SeniorFlag", "tenure", "n_orders", "TotalCharges", "LastPriority", "Churn"))
+register("generated_row_ids", ("customer_churn_raw",), f"""
+WITH k AS (SELECT *, md5(concat_ws('|', {_CONTENT})) AS content FROM customer_churn_raw),
+ids AS (SELECT content || '-' || CAST(row_number() OVER (PARTITION BY content) AS VARCHAR) AS row_id, customerID,
+               CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS label FROM k WHERE Churn IN ('Yes', 'No'))
+SELECT row_id, label, customerID, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', row_id)), row_id)
+         <= round(0.2 * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS split FROM ids""")
+
+register("fold_slice", ("churn_folds",), """
+SELECT CASE WHEN fold = 2 THEN 'val' ELSE 'train' END AS part, row_id, label, fold FROM churn_folds""")
+
 register("schema_roles", ("churn_clean",), """
 WITH c AS (SELECT count(SeniorFlag) a, count(tenure) b, count(n_orders) c, count(AcctBal) d, count(AvgOrder) e,
                   count(TotalCharges) f, count(Segment) g, count(Nation) h, count(Region) i, count(LastPriority) j
@@ -583,6 +601,7 @@ LEFT JOIN p ON p.Compared_with = c.Compared_with"""
 register("wilcoxon_greater", ("scored_orders",), wilcoxon_sql("LightGBM", "f1", "greater"))
 register("wilcoxon_two_sided", ("scored_orders",), wilcoxon_sql("LightGBM", "roc_auc", "two-sided"))
 
+import json as _json  # noqa: E402
 import math as _math  # noqa: E402
 
 _LA, _LB = _math.log(0.2), _math.log(0.8)
@@ -592,6 +611,36 @@ def _uni(*parts: str) -> str:
     return _u("concat_ws('|', " + ", ".join(parts) + ")")
 
 
+def _choice_sql(name: str, spec) -> str:
+    u = _uni("'42'", f"'{name}'", "CAST(i AS VARCHAR)")
+    if isinstance(spec, tuple):
+        a, b = _math.log(spec[1]), _math.log(spec[2])
+        return f"round(exp({a!r} + {u} * {b - a!r}), 6) AS {name}"
+    values = ", ".join("'" + _json.dumps(v) + "'" for v in spec)
+    return f"[{values}][CAST(floor({u} * {len(spec)}) AS INT) + 1] AS {name}"
+
+
+# The search space (parameter -> choices, or a log-uniform range).
+_SPACE = {
+    "smote__sampling_strategy": [0.6, 0.8, 1.0],
+    "smote__k_neighbors": [3, 5],
+    "model__final_estimator__C": ("loguniform", 0.05, 20.0),
+    "model__final_estimator__class_weight": [None, "balanced"],
+    "model__passthrough": [False, True],
+    "model__et__max_depth": [6, 8, 10, None],
+    "model__rf__max_depth": [6, 8, 10, None],
+    "model__xgb__max_depth": [3, 4, 5],
+    "model__xgb__learning_rate": [0.05, 0.1, 0.2],
+    "model__lgbm__learning_rate": [0.05, 0.1, 0.2],
+    "model__lgbm__num_leaves": [15, 31, 63],
+}
+register("search_space", ("churn_clean",), f"""
+SELECT CAST(i AS INT) AS iteration, {", ".join(_choice_sql(k, v) for k, v in _SPACE.items())},
+       (SELECT count(*) FROM churn_clean) AS n_rows FROM range(1, 21) t(i)""")
+register("feedback_search", ("churn_clean",), """
+SELECT CAST(i AS INT) AS iteration, false AS failed, true AS in_range
+FROM range(1, 21) t(i), (SELECT count(*) AS n FROM churn_clean) c WHERE c.n > 0""")
+
 register("search_best_so_far", ("scored_orders",), f"""
 WITH RECURSIVE cand AS (
   SELECT CAST(i AS INT) AS iteration,

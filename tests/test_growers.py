@@ -166,7 +166,7 @@ def test_random_forest_bootstrap_is_replayable(data):
 
 def test_newton_gradient_is_zero(data):
     df, x, y, g = data
-    model = NE.fit_logistic(df, ["fold"], C={(0,): 1.0, (1,): 0.1}, balanced={(0,): False, (1,): True})
+    model = NE.fit_logistic(df, ["fold"], C=lambda k: (1.0, 0.1)[k[0]], balanced=lambda k: k[0] == 1)
     for k, (C, even) in enumerate(((1.0, False), (0.1, True))):
         own = g == k
         rows, label, w = np.c_[np.ones(own.sum()), x[own]], y[own], model.weights[k]
@@ -227,3 +227,17 @@ def test_preparation_with_large_vocabulary(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(E, "MAX_BROADCAST_ROWS", 10)
     assert rows() == want
+
+
+def test_settings_by_group(data):
+    """Groups with other settings, grown together, are what each is alone."""
+    df, *_ = data
+    specs = {0: L.Boosted(2, 1, 0.1, "depth"), 1: L.Boosted(2, 3, 0.3, "depth")}
+    leafy = {0: L.Boosted(1, 4, 0.1, "leaf", 3), 1: L.Boosted(1, 4, 0.3, "leaf", 7)}
+    trees = {0: L.ExtraTrees(2, 2), 1: L.ExtraTrees(2, None)}
+    for both in (specs, leafy, trees, {0: L.Logistic(0.5), 1: L.Logistic(2.0, "balanced")}):
+        got = {r.row_id: r.proba for r in G.fit_grouped(df, both, ["fold"]).predict(df, ["row_id"]).collect()}
+        for k, spec in both.items():
+            alone = df.filter(F.col("fold") == k)
+            want = {r.row_id: r.proba for r in G.fit_grouped(alone, spec, ["fold"]).predict(alone, ["row_id"]).collect()}
+            assert all(abs(got[i] - p) < 1e-9 for i, p in want.items())
