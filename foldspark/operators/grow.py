@@ -206,6 +206,9 @@ def partial_sums(rows: DataFrame, since: list[list[tuple]], growing: list[tuple
         size = cfg.width * cfg.n_bins
         for batch in batches:
             all_g = batch.column(0).to_numpy()
+            # rows come sorted by group: the arrays of a group that is over leave the task
+            for name in [n for n in sums if len(all_g) and n[0] < all_g.min()]:
+                yield _sum_rows(*name, part, sums.pop(name), cfg)
             for k in np.unique(all_g):
                 if not wanted[k]:
                     continue

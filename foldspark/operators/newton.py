@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,15 @@ def _sums(table: DataFrame, weights: list[np.ndarray | None], class_weight: list
 
         at, balance = shared.value
         held: dict[int, np.ndarray] = {}
+        part = TaskContext.get().partitionId()
+
+        def out(k: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()),
+                                               pa.array([held.pop(k).tobytes()], pa.binary())], names=["_g", "part", "sums"])
+
         for batch in batches:
+            for k in [k for k in held if batch.num_rows and k < pc.min(batch.column(0)).as_py()]:
+                yield out(k)             # rows come sorted by group
             g, label, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
             for k in np.unique(g):
                 w = at[k]
@@ -84,10 +93,8 @@ def _sums(table: DataFrame, weights: list[np.ndarray | None], class_weight: list
                 grad = rows.T @ (weight * (p - y))
                 cross = (rows * (weight * p * (1 - p))[:, None]).T @ rows
                 held[int(k)] = held.get(int(k), 0) + np.concatenate([[loss], grad, cross.ravel()])
-        part = TaskContext.get().partitionId()
-        for k, total in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()),
-                                              pa.array([total.tobytes()], pa.binary())], names=["_g", "part", "sums"])
+        for k in list(held):
+            yield out(k)
 
     def merge(keys: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +138,7 @@ def fit_logistic(df: DataFrame, group: list[str], C=1.0, balanced=False, label:
         return Fitted(group, [], [], [])
     table = cut_lineage(group_number(given.select(*group, F.col(label).cast("double").alias("label"),
                                                   F.col(features).cast("array<double>").alias("features")), group, keys)
-                        .select("_g", "label", "features")).persist()
+                        .select("_g", "label", "features").sortWithinPartitions("_g")).persist()
     told = {r["_g"]: r for r in table.groupBy("_g").agg(F.max(F.size("features")).alias("p"), F.count(F.lit(1)).alias("n"),
                                                         F.sum("label").alias("pos")).collect()}      # one row a group
     strength = by_key(C, keys)

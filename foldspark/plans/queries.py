@@ -767,10 +767,10 @@ def search_space(spark, sf_dir):
 @register("feedback_search")
 def feedback_search(spark, sf_dir):
     """J1-J7 over the eleven-parameter stacking space: 20 candidates, each a cross-validated stack (trees, folds and inner
-    folds of ``SEARCH``), ten at a time in the same jobs; patience 20, so that all are recorded; ranges of the scores."""
+    folds of ``SEARCH``), all in the same jobs; patience 20, so that all are recorded; ranges of the scores."""
     from foldspark.plans.tuning import run_feedback_loop
     df = churn_clean(spark, sf_dir)
-    hist, _ = run_feedback_loop(spark, df, churn_roles(df), XP.ExperimentConfig(**SEARCH), patience=20, ahead=10)
+    hist, _ = run_feedback_loop(spark, df, churn_roles(df), XP.ExperimentConfig(**SEARCH), patience=20, ahead=20)
     inside = F.col("score").between(0, 1) & (F.get_json_object("metrics", "$.roc_auc_mean").cast("double") > 0.5)
     return hist.select("iteration", (F.col("status") == "failed").alias("failed"), inside.alias("in_range"))
 
