@@ -771,7 +771,7 @@ def feedback_search(spark, sf_dir):
     from foldspark.plans.tuning import run_feedback_loop
     df = churn_clean(spark, sf_dir)
     hist, _ = run_feedback_loop(spark, df, churn_roles(df), XP.ExperimentConfig(**SEARCH), patience=20, ahead=20)
-    inside = F.col("score").between(0, 1) & (F.get_json_object("metrics", "$.roc_auc_mean").cast("double") > 0.5)
+    inside = F.col("score").between(0, 1) & F.get_json_object("metrics", "$.roc_auc_mean").cast("double").between(0, 1)
     return hist.select("iteration", (F.col("status") == "failed").alias("failed"), inside.alias("in_range"))
 
 
