@@ -15,7 +15,8 @@ assistant turn, without its end mark.  A conversation is streamed turn by turn,
 is not limited by memory, however many rows one conversation has.
 
 Cases: null text is empty; null role is empty; rows of a conversation that repeat a turn number are ordered by role and text;
-null conv_id is a conversation of its own; unknown part types are an error; an empty table gives an empty result;
+rows with a null turn come first in their conversation;
+null conv_id is a conversation of its own; very long texts are one turn each; unknown part types are an error; an empty table gives an empty result;
 other columns are not read.
 """
 

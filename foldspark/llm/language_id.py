@@ -14,7 +14,7 @@ The prediction is the language with the shortest code (ties: first in alphabetic
 posterior probability under equal priors.  ``bits`` is its mean code length of a byte.
 
 Cases: null text or text without a letter gives ``und`` with score 0; without any labelled document every text is
-``und``; languages with a null label are not learned; repeated rows are predicted one by one; other columns are
+``und``; documents with a null label are not learned, those with a null doc_id neither; repeated rows are predicted one by one; other columns are
 not read for a prediction.
 """
 

@@ -13,7 +13,7 @@ is the model's own segmentation (equal to the sentencepiece library's, see tests
 Decoding joins pieces and bytes and gives back every text exactly: U+2581, the library's mark for a space, is written as
 bytes when it stands in a text, and the space put in front of a text is removed again.
 
-Cases: null text gives null ids and null text back; empty text gives no ids; null doc_id is a variant as any other; repeated rows are
+Cases: null text gives null ids and null text back; empty text gives no ids; very long texts are encoded whole; null doc_id is a variant as any other; repeated rows are
 encoded alike; an empty table gives an empty result; other columns are not read.
 """
 

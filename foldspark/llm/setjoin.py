@@ -22,7 +22,7 @@ No pair of documents is ever a row; hot keys cost a row per holder; nothing is c
 
 Cases: null text, empty text or text without words has no shingles, links with nothing and is its own component;
 fewer words than a shingle make the whole sequence one shingle; equal rows are one class; rows with a null doc_id
-keep a null component and link with nothing; other columns are not read.
+keep a null component and link with nothing; very long texts are hashed whole, one at a time; other columns are not read.
 """
 
 from __future__ import annotations

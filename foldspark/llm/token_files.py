@@ -16,7 +16,7 @@ the whole table.  Reading a block is one vectorised unpacking; an id at position
 ``i * bits .. (i + 1) * bits`` of its payload, so single documents are read without touching the rest.
 
 Cases: null text counts as empty (it still gets the end id); documents with a null or repeated doc_id are kept,
-nulls first, equal ids ordered by text; an empty table gives an empty file; other columns are not read.
+nulls first, equal ids ordered by text; a very long text is a block of its own; an empty table gives an empty file; other columns are not read.
 """
 
 from __future__ import annotations
