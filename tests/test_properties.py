@@ -405,3 +405,26 @@ def test_repeated_keys_and_too_deep_trees_are_errors(spark):
     with pytest.raises(ValueError, match="depth 40"):
         L.estimator(L.RandomForest(5, 40))
     assert L.estimator(L.RandomForest(5, None)).getMaxDepth() == 30
+
+
+def test_nearest_minority_looks_at_near_cells_only(spark):
+    """Rows of other categories lie in other cells, none of which holds many rows; two groups of other widths, against loops."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for g, width in ((0, 4), (1, 6)):
+        kind = rng.integers(0, 4, 400)
+        x = np.column_stack([rng.normal(size=400).round(1), np.eye(4)[kind][:, :width - 1] * 3, np.zeros((400, max(0, width - 5)))])
+        rows += [(g, i, [float(v) for v in x[i]], 1) for i in range(400)]
+        dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        for i in range(400):
+            near = sorted((dist[i, j], j) for j in range(400) if j != i)[:3]
+            want |= {(g, i, r + 1): j for r, (_, j) in enumerate(near)}
+    df = spark.createDataFrame(rows, "fold_id int, row_id int, features array<double>, label int").repartition(7)
+    got = {(r.fold_id, r.row_id, r.nn_rank): r.nn_id for r in S.nearest_minority(df, k=3, block_rows=50).collect()}
+    assert got == want
+    m = S._in_cells(df.selectExpr("fold_id as _g", "row_id", "features as x"), 800, 400, 50)
+    for cells in S._boxes(m).values():
+        assert sum(c[1] for c in cells) == 400 and max(c[1] for c in cells) <= 100
+        apart = [sum(np.maximum(0, np.maximum(a[2] - b[3], b[2] - a[3])) ** 2) > 1 for a in cells for b in cells]
+        assert np.mean(apart) > 0.5
