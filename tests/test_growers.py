@@ -241,3 +241,21 @@ def test_settings_by_group(data):
             alone = df.filter(F.col("fold") == k)
             want = {r.row_id: r.proba for r in G.fit_grouped(alone, spec, ["fold"]).predict(alone, ["row_id"]).collect()}
             assert all(abs(got[i] - p) < 1e-9 for i, p in want.items())
+
+
+def test_stack_scores_all_base_models_in_one_worker_and_cuts_bins_once(spark, data, monkeypatch):
+    """A chain of predictions held a Python worker for each base model; every learner sorted the values anew."""
+    df, *_ = data
+    calls, edges = [], GR.bin_edges
+    monkeypatch.setattr(GR, "bin_edges", lambda *a: calls.append(1) or edges(*a))
+    bases = [L.ExtraTrees(2, 3), L.RandomForest(2, 3), L.Boosted(2, 2, name="XGBoost"), L.Boosted(2, 4, 0.2, "leaf", 4, name="LightGBM")]
+    stack = G.fit_stack(df, bases, L.Logistic(name="meta"), inner_k=2, group=["fold"])
+    assert len(calls) == 1
+    rows = df.select("fold", "row_id", "features").withColumn("_part", F.lit(G.WHOLE))
+    wide = stack._probabilities(rows)
+    assert wide._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["row_id"]: [r[f"_p{i}"] for i in range(4)] for r in wide.collect()}
+    for i, (model, spec) in enumerate(zip(stack.models, bases, strict=True)):
+        alone = G.fit_grouped(df.withColumn("_part", F.lit(G.WHOLE)), spec, ["fold", "_part"])
+        for m in (model, alone):
+            assert all(r["proba"] == got[r["row_id"]][i] for r in m.predict(rows, ["row_id"]).collect())
