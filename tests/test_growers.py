@@ -259,3 +259,10 @@ def test_stack_scores_all_base_models_in_one_worker_and_cuts_bins_once(spark, da
         alone = G.fit_grouped(df.withColumn("_part", F.lit(G.WHOLE)), spec, ["fold", "_part"])
         for m in (model, alone):
             assert all(r["proba"] == got[r["row_id"]][i] for r in m.predict(rows, ["row_id"]).collect())
+
+
+def test_stack_takes_logistic_base_models(data):
+    df, *_ = data
+    stack = G.fit_stack(df, [L.Logistic(name="a"), L.Boosted(2, 2, name="XGBoost")], L.Logistic(name="meta"), inner_k=2, group=["fold"])
+    got = stack.predict_all(df, ["fold", "row_id"]).collect()
+    assert len(got) == 600 and all(0 <= r[c] <= 1 for r in got for c in ("a", "XGBoost", "proba"))
