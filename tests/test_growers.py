@@ -266,3 +266,25 @@ def test_stack_takes_logistic_base_models(data):
     stack = G.fit_stack(df, [L.Logistic(name="a"), L.Boosted(2, 2, name="XGBoost")], L.Logistic(name="meta"), inner_k=2, group=["fold"])
     got = stack.predict_all(df, ["fold", "row_id"]).collect()
     assert len(got) == 600 and all(0 <= r[c] <= 1 for r in got for c in ("a", "XGBoost", "proba"))
+
+
+@pytest.mark.parametrize("extra", [True, False])
+def test_trees_below_small_nodes_are_grown_by_tasks(data, extra, monkeypatch):
+    """The same trees, whether levels are jobs to their end, from some node on one task's work, or all of it."""
+    df = data[0]
+    jobs, run = [], FO._split_level
+    monkeypatch.setattr(FO, "_split_level", lambda *a: jobs.append(1) or run(*a))
+
+    def grown(local_bytes: int, deal_bytes: int) -> tuple[set, int]:
+        jobs.clear()
+        monkeypatch.setattr(FO, "LOCAL_BYTES", local_bytes)
+        monkeypatch.setattr(FO, "DEAL_BYTES", deal_bytes)
+        model = FO.fit_forest(df, ["fold"], key="row_id", n_trees=2, max_depth=lambda k: (None, 9)[k[0]], extra=extra, seed=7)
+        return {tuple(r) for r in model.nodes(df.sparkSession).collect()}, len(jobs)
+
+    levels, many = grown(0, 0)
+    node_bytes = 8 * len(df.first()["features"]) * 25
+    mixed, some = grown(node_bytes, 1 << 30)
+    assert many > some > 0 and mixed == levels and len(levels) > 50
+    assert grown(node_bytes, 0)[0] == levels
+    assert grown(1 << 24, 1 << 30) == (levels, 0)
