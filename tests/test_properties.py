@@ -428,3 +428,18 @@ def test_nearest_minority_looks_at_near_cells_only(spark):
         assert sum(c[1] for c in cells) == 400 and max(c[1] for c in cells) <= 100
         apart = [sum(np.maximum(0, np.maximum(a[2] - b[3], b[2] - a[3])) ** 2) > 1 for a in cells for b in cells]
         assert np.mean(apart) > 0.5
+
+
+def test_meta_features_tasks_grow_with_the_rows(spark):
+    """One dealing of the keys, to as many tasks as the caller says; unnamed models keep their keys; repeated keys raise."""
+    from foldspark.operators import ensemble as G
+    from foldspark.operators.rank import ROWS_A_TASK, tasks_for
+    rows = [(i % 3, i, m, i / 100 + j) for i in range(60) for j, m in enumerate("ab") if (i, m) != (7, "b")] + [(0, 99, "c", 0.5)]
+    oof = spark.createDataFrame(rows, "fold int, row_id int, model string, proba double")
+    wide = G.meta_features(oof, ["fold", "row_id"], ["a", "b"], partitions=37)
+    assert wide.rdd.getNumPartitions() == 37 and wide._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+    assert {tuple(r) for r in wide.collect()} == {(i % 3, i, i / 100, None if i == 7 else i / 100 + 1) for i in range(60)} | {(0, 99, None, None)}
+    with pytest.raises(Exception, match="several predictions"):
+        G.meta_features(oof.unionByName(oof.limit(1)), ["fold", "row_id"], ["a", "b"]).collect()
+    assert tasks_for(spark, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark, 1000 * ROWS_A_TASK + 1) == 1001
