@@ -288,3 +288,20 @@ def test_trees_below_small_nodes_are_grown_by_tasks(data, extra, monkeypatch):
     assert many > some > 0 and mixed == levels and len(levels) > 50
     assert grown(node_bytes, 0)[0] == levels
     assert grown(1 << 24, 1 << 30) == (levels, 0)
+
+
+@pytest.mark.parametrize("leaves", [None, 12])
+def test_boosters_of_small_groups_are_one_job(data, leaves, monkeypatch):
+    df = data[0]
+    jobs, run = [], GR.merged_level
+    monkeypatch.setattr(GR, "merged_level", lambda *a: jobs.append(1) or run(*a))
+
+    def grown() -> tuple[set, int]:
+        jobs.clear()
+        model = GR.fit_boosted(df, ["fold"], n_rounds=2, max_depth=4, num_leaves=leaves, refresh=1)
+        return {tuple(r) for r in model.nodes(df.sparkSession).collect()}, len(jobs)
+
+    here, none = grown()
+    monkeypatch.setattr(GR, "LOCAL_BYTES", 0)
+    levels, many = grown()
+    assert here == levels and none == 0 and many > 6 and len(levels) > 40
