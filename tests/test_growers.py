@@ -305,3 +305,14 @@ def test_boosters_of_small_groups_are_one_job(data, leaves, monkeypatch):
     monkeypatch.setattr(GR, "LOCAL_BYTES", 0)
     levels, many = grown()
     assert here == levels and none == 0 and many > 6 and len(levels) > 40
+
+
+def test_bin_edges_count_in_batches(spark):
+    """Missing values count for nothing, short rows are filled, and no row is exploded by feature."""
+    rows = [(i % 2, [float(i % 7), None if i % 3 else -0.0, float("nan")][:2 + i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, "_g int, features array<double>")
+    edges = GR.bin_edges(df, 2, 4)
+    for g in (0, 1):
+        own = np.array([r[1][0] for r in rows if r[0] == g])
+        assert np.allclose(edges[g][0], np.unique(np.quantile(own, [0.25, 0.5, 0.75])))
+        assert edges[g][1].tolist() == [0.0] and len(edges[g][2]) == 0
