@@ -2,7 +2,7 @@
 import pytest
 
 
-@pytest.mark.parametrize("name", ["stacking_holdout"])
+@pytest.mark.parametrize("name", ["stacking_holdout", "roc_report"])
 def test_holdout_queries_have_full_size(spark, name, monkeypatch):
     """They were registered with five trees and two or three inner folds."""
     from conftest import SF_SMALL
